@@ -53,3 +53,15 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def doc_remainder(doc_id: str | Column, n: int) -> Column:
     """crc32(doc_id as text) mod n, the fold rule of the queries."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread: Column, rows: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
+    """Join a large table with a (materialised) lookup table unique in ``keys``, where a key may hold a third of ``left``.
+
+    A counted, small ``right`` is broadcast. A larger one is repeated under ``salts`` salts and
+    ``left`` spread over them by ``spread``, so that no key's rows meet in one task.
+    """
+    if small(right, rows):
+        return left.join(F.broadcast(right), keys, how)
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
