@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import common, packing, tokens
+from trovelight.llm import common, html, langid, packing, tokens, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
@@ -25,6 +25,22 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.join(placed, "item_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from four of the five folds."""
+    docs = common.table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(common.doc_remainder("doc_id", 5) != 0))
+    found = langid.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", (common.doc_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of two of the three folds."""
+    docs = common.table(spark, sf_dir, "documents")
+    labels = common.table(spark, sf_dir, "labels").filter(common.doc_remainder("doc_id", 3) != 1)
+    found = toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"])
+    return found.select("doc_id", (common.doc_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded into flat files in doc_id order, and read back from them."""
     path = common.fresh_path(spark, "tokens")
@@ -32,8 +48,16 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_store(manifest, path)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the winning paths of its host."""
+    return html.extract_main_text(common.table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
     "op9_token_store": op9_token_store,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {}
