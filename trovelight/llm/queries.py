@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import common, html, langid, packing, tokens, toxicity
+from trovelight.llm import common, html, langid, linefreq, packing, tokens, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
@@ -25,6 +25,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.join(placed, "item_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and cross-document line frequency of every document; its source is its host."""
+    return linefreq.quality(common.table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from four of the five folds."""
     docs = common.table(spark, sf_dir, "documents")
@@ -55,9 +60,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_line_frequency": op3_line_frequency,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op9_token_store": op9_token_store,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_frequency": linefreq.ORACLE}
