@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import common, html, langid, linefreq, packing, tokens, toxicity
+from trovelight.llm import ann, common, html, langid, linefreq, mixing, packing, tokens, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all embeddings for every row whose vec_id is divisible by 20."""
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, as pieces of at most 4096 ids, with their place in a sequence."""
     docs = common.table(spark, sf_dir, "documents")
@@ -30,6 +36,14 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.quality(common.table(spark, sf_dir, "documents"))
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 0.93 of the largest entropy over sources, no source more than four times, at the budget of one epoch."""
+    docs = common.table(spark, sf_dir, "documents")
+    words = docs.select(F.sum(F.size(linefreq.words(F.coalesce("text", F.lit("")))))).first()[0]
+    rows, _ = mixing.mix(docs, 0.93, 4.0, float(words or 0))
+    return rows.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_order").alias("mix_order"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from four of the five folds."""
     docs = common.table(spark, sf_dir, "documents")
@@ -59,8 +73,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_adaptive_scan": op1_adaptive_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_frequency": op3_line_frequency,
+    "op4_temperature_mixing": op4_temperature_mixing,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op9_token_store": op9_token_store,
