@@ -65,3 +65,16 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str, sprea
         return left.join(F.broadcast(right), keys, how)
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], counts: str, share: int = 10_000) -> DataFrame:
+    """Inner join with a lookup table unique in ``keys`` whose column ``counts`` says how many rows of ``left`` each key has.
+
+    Keys with over 1/``share`` of all rows number at most ``share``, so they are broadcast; what remains is even enough to shuffle.
+    """
+    total = right.agg(F.sum(counts)).first()[0] or 0
+    heavy = F.col(counts) > total / share
+    marked = left.join(F.broadcast(right.filter(heavy).withColumn("_heavy", F.lit(True))), keys, "left")
+    rest = marked.filter("_heavy is null").select(*left.columns).join(right.filter(~heavy), keys)
+    done = marked.filter("_heavy is not null").drop("_heavy")
+    return done.unionByName(rest.select(*done.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import ann, common, html, langid, linefreq, mixing, packing, tokens, toxicity
+from trovelight.llm import ann, common, html, jaccard, langid, linefreq, mixing, packing, tokens, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
@@ -44,6 +44,11 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_order").alias("mix_order"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates (five words, 0.8), its copies and its number of links."""
+    return jaccard.similarity_classes(common.table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from four of the five folds."""
     docs = common.table(spark, sf_dir, "documents")
@@ -77,6 +82,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_frequency": op3_line_frequency,
     "op4_temperature_mixing": op4_temperature_mixing,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op9_token_store": op9_token_store,
