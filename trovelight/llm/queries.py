@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import ann, common, html, jaccard, langid, linefreq, mixing, packing, tokens, toxicity
+from trovelight.llm import ann, common, html, jaccard, langid, linefreq, lm, mixing, packing, tokens, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
@@ -65,6 +65,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (common.doc_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document by the counts of all documents."""
+    return lm.backoff_scores(common.table(spark, sf_dir, "documents"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded into flat files in doc_id order, and read back from them."""
     path = common.fresh_path(spark, "tokens")
@@ -85,6 +90,7 @@ QUERIES = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
+    "op8_stupid_backoff": op8_stupid_backoff,
     "op9_token_store": op9_token_store,
     "op10_html_extraction": op10_html_extraction,
 }
