@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trovelight.llm import common
@@ -25,7 +25,9 @@ ROWS_PER_LIST, MOST_LISTS = 800, 4096
 #: Vectors of a list that one task holds at a time.
 CHUNK_ROWS = 4_000
 #: Share of the sampled queries' neighbours whose lists are probed.
-COVERED = 0.985
+COVERED = 0.96
+#: Queries that meet a chunk in one product.
+QUERIES_AT_ONCE = 256
 COLUMN_BLOCK = 16
 #: Width of the hypothesis test: an estimate this many deviations too far abandons a candidate.
 EPSILON = 2.1
@@ -74,27 +76,33 @@ def probes_needed(x: np.ndarray, q: np.ndarray, c: np.ndarray, k: int) -> int:
     return int(ranks[int(COVERED * (len(ranks) - 1))]) + 1
 
 
-def scan(ids: np.ndarray, x: np.ndarray, xr: np.ndarray, qid: int, q: np.ndarray, qr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) of one chunk for one query: score descending, ties to the smaller id."""
+def scan(ids: np.ndarray, x: np.ndarray, xr: np.ndarray, qids: np.ndarray, q: np.ndarray, qr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of one chunk for each of some queries: (query index, ids, scores), score descending, ties to the smaller id."""
     dims, n = xr.shape[1], len(ids)
     first = min(n, 8 * k)
-    seen = ((xr[:first] - qr) ** 2).sum(1)
-    bound = np.partition(seen, k)[k] if first > k else np.inf
-    alive, part = np.arange(first, n), np.zeros(n - first)
-    for a in range(0, dims, COLUMN_BLOCK):
+    seen = distances(qr, xr[:first])
+    bound = np.partition(seen, k, 1)[:, k] if first > k else np.full(len(q), np.inf)
+    slack = 1e-9 * (1 + np.abs(bound))
+    near_q, near_x = np.nonzero(seen <= (bound + slack)[:, None])
+    # The first column block as one product; what is left of the pairs after each test goes on to the next block.
+    part, width = distances(qr[:, :COLUMN_BLOCK], xr[first:, :COLUMN_BLOCK]), min(COLUMN_BLOCK, dims)
+    limit = lambda b: (bound * (b / dims) * (1 + EPSILON / np.sqrt(b)) ** 2 if b < dims else bound) + slack
+    alive_q, alive_x = np.nonzero(part <= limit(width)[:, None])
+    part = part[alive_q, alive_x]
+    for a in range(COLUMN_BLOCK, dims, COLUMN_BLOCK):
         b = min(dims, a + COLUMN_BLOCK)
-        part += ((xr[alive, a:b] - qr[a:b]) ** 2).sum(1)
-        limit = bound * (b / dims) * (1 + EPSILON / np.sqrt(b)) ** 2 if b < dims else bound * (1 + 1e-9)
-        keep = part <= limit
-        alive, part = alive[keep], part[keep]
-        if not len(alive):
-            break
-    near = np.flatnonzero(seen <= bound * (1 + 1e-9)) if np.isfinite(bound) else np.arange(first)
-    rows = np.concatenate([near, alive])
-    rows = rows[ids[rows] != qid]
-    scores = (x[rows] * q).sum(1)
-    order = np.lexsort((ids[rows], -scores))[:k]
-    return ids[rows][order], scores[order]
+        part = part + ((qr[alive_q, a:b] - xr[first + alive_x, a:b]) ** 2).sum(1)
+        keep = part <= limit(b)[alive_q]
+        alive_q, alive_x, part = alive_q[keep], alive_x[keep], part[keep]
+    at_q, at_x = np.concatenate([near_q, alive_q]), np.concatenate([near_x, first + alive_x])
+    other = ids[at_x] != qids[at_q]
+    at_q, at_x = at_q[other], at_x[other]
+    scores = (x[at_x] * q[at_q]).sum(1)
+    order = np.lexsort((ids[at_x], -scores, at_q))
+    at_q, at_x, scores = at_q[order], at_x[order], scores[order]
+    place = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
+    best = place < k
+    return at_q[best], ids[at_x[best]], scores[best]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -153,16 +161,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     right = asked.mapInArrow(probe, f"query_id long, v {element}, list int, chunk int")
 
     def run(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        rows = {"query_id": [], "ids": [], "scores": []}
         if len(vs) and len(qs):
             x, ids = np.array(vs["v"].tolist(), np.float64), vs["vec_id"].to_numpy()
-            q = np.array(qs["v"].tolist(), np.float64)
-            xr, qr = augmented(x, norm), augmented(q, None)
-            for i, qid in enumerate(qs["query_id"].to_numpy()):
-                got, scores = scan(ids, x, xr, qid, q[i], qr[i], k)
-                found.append(pd.DataFrame({"query_id": qid, "vec_id": got, "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = left.groupBy("list", "chunk").cogroup(right.groupBy("list", "chunk")).applyInPandas(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            xr = augmented(x, norm)
+            for a in range(0, len(qs), QUERIES_AT_ONCE):
+                some = qs.iloc[a : a + QUERIES_AT_ONCE]
+                q, qids = np.array(some["v"].tolist(), np.float64), some["query_id"].to_numpy()
+                at, got, scores = scan(ids, x, xr, qids, q, augmented(q, None), k)
+                cuts = np.searchsorted(at, np.arange(len(q) + 1))
+                for i, qid in enumerate(qids):
+                    if cuts[i] < cuts[i + 1]:
+                        rows["query_id"].append(qid)
+                        rows["ids"].append(got[cuts[i] : cuts[i + 1]])
+                        rows["scores"].append(scores[cuts[i] : cuts[i + 1]])
+        return pd.DataFrame(rows)
+
+    # A row per query and chunk; a query meets a bounded number of chunks with k candidates each.
+    found = left.groupBy("list", "chunk").cogroup(right.groupBy("list", "chunk")).applyInPandas(run, "query_id long, ids array<long>, scores array<double>")
+    pairs = found.select("query_id", F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("s"), i.alias("i"))).alias("p"))
+    best = pairs.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
+    ranked = best.select("query_id", F.posexplode("p").alias("rank", "p"))
+    return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("p.i").alias("vec_id"), (-F.col("p.s")).alias("score"))
