@@ -36,7 +36,7 @@ def first_nonces(events: DataFrame, keys: list[str], ts: str, ttl: str = "10 min
 
 def timely(events: DataFrame, ts: str, now: Column, minutes: int = 5) -> DataFrame:
     """Rows within so many minutes of the server's clock, either way."""
-    return events.filter(F.abs(F.unix_micros(now) - F.unix_micros(ts)) <= minutes * 60_000_000)
+    return events.filter(F.abs(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) <= minutes * 60_000_000)
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
