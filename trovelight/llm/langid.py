@@ -172,8 +172,8 @@ def fit(docs: DataFrame) -> Model | None:
     return train([f for _, f in table], [lang for lang, _ in table])
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Add lang_pred, score, rejected to the columns ``keep`` of ``docs`` from its ``text``.
+def identify(docs: DataFrame, model: Model | None, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Add ``names`` (language, score, whether rejected) to the columns ``keep`` of ``docs`` from its ``text``.
 
     A text that is null, empty or without a letter is ``und`` at score 0 and rejected. Long texts are read whole. Ties between
     languages go to the first by name.
@@ -183,12 +183,12 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("_text")
-            for big in tokens.slices(batch, "_text"):
+            at = batch.schema.names.index("__text")
+            for big in tokens.slices(batch, "__text"):
                 for part in (big.slice(i, 256) for i in range(0, big.num_rows, 256)):
                     langs, score, rejected = shared.value.predict(part.column(at).to_pylist())
                     columns = [c for i, c in enumerate(part.columns) if i != at]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*keep, *names])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(predict, schema)
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(predict, schema)

@@ -67,7 +67,7 @@ class Encoder:
         if found is None:
             if len(self.memo) >= MEMO_PIECES:
                 self.memo.clear()
-            byte_chars = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.as_chars)
+            byte_chars = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.as_chars)
             found = self.memo[piece] = np.array([t.id for t in self.model.tokenize(byte_chars)], "<u4").tobytes()
         return found
 

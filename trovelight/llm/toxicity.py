@@ -210,16 +210,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(lexicon, trees, knots)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Add ``score`` (0 to 1) to the columns ``keep`` of ``docs`` from its whole ``text``; null and empty texts score as such."""
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """Add ``name``, a score from 0 to 1, to the columns ``keep`` of ``docs`` from its whole ``text``; null and empty texts score as such."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("_text")
-            for part in tokens.slices(batch, "_text"):
+            at = batch.schema.names.index("__text")
+            for part in tokens.slices(batch, "__text"):
                 columns = [c for i, c in enumerate(part.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(shared.value.score(part.column(at).to_pylist()), pa.float64())], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(shared.value.score(part.column(at).to_pylist()), pa.float64())], [*keep, name])
 
-    schema = docs.select(*keep).schema.add("score", "double")
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    schema = docs.select(*keep).schema.add(name, "double")
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
