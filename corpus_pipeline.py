@@ -19,14 +19,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null, blank and letterless texts go."""
     model = langid.fit(docs.filter(common.doc_remainder("doc_id", 5) != 0))
     kept = docs.columns
-    return langid.identify(docs, model, kept).filter(~F.col("rejected")).select(*kept)
+    return langid.identify(docs, model, kept, ("__lang", "__score", "__rejected")).filter(~F.col("__rejected")).select(*kept)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
     labels = common.table(spark, sf_dir, "labels").filter(common.doc_remainder("doc_id", 3) != 1)
     kept = docs.columns
-    return toxicity.score(docs, toxicity.fit(docs, labels), kept).filter(F.col("score") < toxicity.THRESHOLD).select(*kept)
+    return toxicity.score(docs, toxicity.fit(docs, labels), kept, "__score").filter(F.col("__score") < toxicity.THRESHOLD).select(*kept)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
