@@ -125,8 +125,8 @@ def leaf_buckets(sigs: DataFrame, runs: int) -> DataFrame:
     level, leaves = roots, None
     for depth in range(DEPTH):
         children = common.materialize(_split(level, sigs), "paths")
-        sizes = children.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = common.materialize(children.join(sizes, "path"), "sized-paths")
+        sizes = common.materialize(children.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path-sizes")
+        sized = common.materialize(common.join_heavy(children, sizes, ["path"], "size"), "sized-paths")
         done = (F.col("size") <= SMALL_BUCKET) | (F.col("size") * 2 > F.col("parent_size")) if depth < DEPTH - 1 else F.lit(True)
         here = sized.filter(done).select("path", "rep", "size")
         leaves = here if leaves is None else leaves.unionByName(here)
@@ -252,7 +252,9 @@ def similarity_classes(docs: DataFrame, n: int = SHINGLE, similarity: float = SI
     needed = common.materialize(needed, "needed")
     wanted = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
     wanted = common.join_hot(wanted, needed, ["row"], "inner", F.col("text"), 4_000_000).select("row", _word_hashes(F.col("text")).alias("w"))
-    whole_sets = common.materialize(whole(wanted, n).dropDuplicates(["rep"]), "whole-sets")
+    whole_sets = common.materialize(whole(wanted, n), "whole-sets")
+    if not whole_sets.groupBy("rep").count().filter("count > 1").isEmpty():  # a doc_id on several rows
+        whole_sets = whole_sets.dropDuplicates(["rep"])
     links = common.materialize(similar_links(leaves, whole_sets, similarity), "links")
     roots = components(links.select(F.col("rep").alias("u"), F.col("least").alias("v")))
     counted = links.groupBy("rep").agg(F.sum("links").alias("n_links")).join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
