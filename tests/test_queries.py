@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from trovelight.plans import relational_queries, search_queries
+from trovelight.plans import relational_queries, search_queries, workbench_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ALL = {**search_queries.QUERIES, **relational_queries.QUERIES}
-ORACLES = {**search_queries.ORACLES, **relational_queries.ORACLES}
+ALL = {**search_queries.QUERIES, **relational_queries.QUERIES, **workbench_queries.QUERIES}
+ORACLES = {**search_queries.ORACLES, **relational_queries.ORACLES, **workbench_queries.ORACLES}
 
 
 @pytest.fixture(scope="module")

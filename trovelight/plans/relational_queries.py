@@ -273,7 +273,7 @@ def json_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
-    return d.select("doc_id", F.md5(T.collapse(F.col("t"))).alias("collapsed"), F.size(T.entities(F.col("t"))).alias("n_entities"), T.human_size(F.length("t").cast("long") % 200 * 5120).alias("size"), F.md5(T.csv_cell(F.substring("t", 1, 200))).alias("cell"), F.md5(T.redact(F.col("t"))).alias("redacted"))
+    return d.select("doc_id", F.md5(T.collapse(F.col("t"))).alias("collapsed"), F.size(T.entities(F.col("t"))).alias("n_entities"), T.human_size(F.length("t").cast("long") * 1024).alias("size"), F.md5(T.csv_cell(F.col("t"))).alias("cell"), F.md5(T.redact(F.col("t"))).alias("redacted"))
 
 
 def url_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,8 +358,8 @@ ORACLES = {
  SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM c GROUP BY 1""",
     "task_state_fold": "SELECT user_id, event_id, state, n_events, state IN ('succeeded', 'partial', 'failed', 'cancelled') AS ended FROM (SELECT user_id, event_id, ['queued', 'running', 'paused', 'succeeded', 'failed'][event_id % 5 + 1] AS state, count(*) OVER (PARTITION BY user_id) AS n_events, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1",
     "json_predicate": "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS props FROM events WHERE json_extract_string(props, '$.k') = '7'",
-    "text_functions": rf"""WITH {_D}, c AS (SELECT *, trim(regexp_replace(t, '\s+', ' ', 'g')) AS c, substr(t, 1, 200) AS s FROM d)
- SELECT doc_id, md5(c) AS collapsed, least(12, len(list_distinct(regexp_extract_all(t, '[A-Za-z]+[-_.]?[A-Za-z0-9]*|[\x{{4e00}}-\x{{9fff}}]{{2,8}}'))))::INT AS n_entities, printf('%.2f KB', length(t) % 200 * 5.0) AS size,
+    "text_functions": rf"""WITH {_D}, c AS (SELECT *, trim(regexp_replace(t, '\s+', ' ', 'g')) AS c, t AS s FROM d)
+ SELECT doc_id, md5(c) AS collapsed, least(12, len(list_distinct(regexp_extract_all(t, '[A-Za-z]+[-_.]?[A-Za-z0-9]*|[\x{{4e00}}-\x{{9fff}}]{{2,8}}'))))::INT AS n_entities, CASE WHEN length(t) < 1024 THEN printf('%.2f KB', length(t)::DOUBLE) ELSE printf('%.2f MB', length(t) / 1024.0::DOUBLE) END AS size,
  md5(CASE WHEN regexp_matches(s, '[",\r\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END) AS cell, md5(regexp_replace(regexp_replace(t, '{_CRED}', '[REDACTED]', 'g'), '(?i)\b([a-z][a-z0-9+.-]*)://[^\s:@/]+:[^\s@/]+@', '\1://[REDACTED]@', 'g')) AS redacted FROM c""",
     "url_origins": "SELECT lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS origin, count(*) AS n FROM pages GROUP BY 1",
     "embedding_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * CASE WHEN (i - 1) % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE)), 6) AS x, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * CASE WHEN (i - 1) % 3 <> 0 THEN 1.0 ELSE 0.5 END::DOUBLE)), 6) AS y FROM embeddings",
