@@ -30,9 +30,9 @@ def _sums(df: DataFrame, key: str, text: str, dimensions: int) -> DataFrame:
 
 
 def _by_key(df: DataFrame, key: str, text: str, dimensions: int) -> DataFrame:
-    grouped = _sums(df, key, text, dimensions).groupBy(key).agg(F.collect_list(F.struct("slot", "s")).alias("e"))
-    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x["s"].cast("double") * x["s"]))
-    return grouped.withColumn("norm", length).select(key, F.transform("e", lambda x: F.struct(x["slot"].alias("slot"), F.round(x["s"] / F.col("norm"), 8).alias("weight"))).alias("e"))
+    # The norm is an aggregate of its own: an expression over the list would be evaluated again for each slot.
+    grouped = _sums(df, key, text, dimensions).groupBy(key).agg(F.collect_list(F.struct("slot", "s")).alias("e"), F.sqrt(F.sum(F.col("s").cast("double") * F.col("s"))).alias("norm"))
+    return grouped.select(key, F.transform("e", lambda x: F.struct(x["slot"].alias("slot"), F.round(x["s"] / F.col("norm"), 8).alias("weight"))).alias("e"))
 
 
 def embedding_slots(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:

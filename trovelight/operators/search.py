@@ -40,8 +40,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, fields: list[str]) -> DataFrame:
-    """(chunk_id, field, tokens) of each indexed field."""
-    each = [chunks.select("chunk_id", F.lit(f).alias("field"), T.index_tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("tokens")) for f in fields]
+    """(chunk_id, field, tokens) of each indexed field; a text is folded once as a whole, before it is cut into tokens."""
+    each = [chunks.select("chunk_id", F.lit(f).alias("field"), T.index_tokens(T.fold(F.coalesce(F.col(f).cast("string"), F.lit("")))).alias("tokens")) for f in fields]
     out = each[0]
     for x in each[1:]:
         out = out.unionByName(x)
@@ -60,10 +60,10 @@ def bm25_channel(queries: DataFrame, chunks: DataFrame, fields: list[str], k: in
     distinct = terms.select("phrase").distinct()
     singles = F.broadcast(distinct.filter(F.size("phrase") == 1).select(F.col("phrase")[0].alias("token"), "phrase"))
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in (weights or {}).items()], F.lit(1.0))
-    exploded = indexed.select("chunk_id", "field", F.explode("tokens").alias("raw")).withColumn("token", T.fold(F.col("raw")))
+    exploded = indexed.select("chunk_id", "field", F.explode("tokens").alias("token"))
     tf = exploded.join(singles, "token").groupBy("chunk_id", "phrase").agg(F.sum(weight).alias("tf"))
     phrases = F.broadcast(distinct.filter(F.size("phrase") > 1))
-    found = indexed.withColumn("tokens", F.transform("tokens", lambda t: T.fold(t))).join(phrases, F.array_contains(F.col("tokens"), F.col("phrase")[0]))
+    found = indexed.join(phrases, F.array_contains(F.col("tokens"), F.col("phrase")[0]))
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - F.size("phrase") + 1)), lambda i: F.slice("tokens", i, F.size("phrase")) == F.col("phrase"))
     ptf = found.groupBy("chunk_id", "phrase").agg(F.sum(weight * F.size(starts)).alias("tf")).filter("tf > 0")
     tf = tf.unionByName(ptf)
