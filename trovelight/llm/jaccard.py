@@ -133,7 +133,16 @@ def leaf_buckets(sigs: DataFrame, runs: int) -> DataFrame:
         level = sized.filter(~done).select("path", "rep", "size")
         if depth < DEPTH - 1 and level.isEmpty():
             break
-    return common.materialize(leaves, "leaves")
+    return distinct_buckets(common.materialize(leaves, "leaves"))
+
+
+def distinct_buckets(leaves: DataFrame) -> DataFrame:
+    """Small buckets that hold the very same sets, as those of sets that differ little often do, become one; large ones all stay."""
+    few = leaves.filter(F.col("size") <= SMALL_BUCKET)
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(i))) for i in (1, 2)]
+    buckets = few.groupBy("path").agg(F.count("*").alias("n"), members[0].alias("m1"), members[1].alias("m2"))
+    kept = buckets.groupBy("n", "m1", "m2").agg(F.min("path").alias("path")).select("path")
+    return common.materialize(few.join(kept, "path").unionByName(leaves.filter(F.col("size") > SMALL_BUCKET)), "kept-leaves")
 
 
 def _verify(sets: list[np.ndarray], paths: list[np.ndarray], here: int, other: list[int], similarity: float) -> list[tuple[int, int]]:
