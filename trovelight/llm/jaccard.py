@@ -31,6 +31,8 @@ SMALL_BUCKET = 48
 DEPTH = 4
 #: Sets of a large bucket that one task holds from either side of a pair of blocks.
 BLOCK = 512
+#: Bytes of an n-gram's hash that travel to the verification.
+PACKED = 6
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,24 +87,37 @@ def signatures(rows: DataFrame, n: int) -> DataFrame:
                 s = shingles(w, n)
                 size.append(len(s))
                 prints.append(_fingerprints(s, w))
-                sig.append(((s[None, :] ^ salts[:, None]) * _MIX >> np.uint64(32)).min(1).astype(np.int64) if len(s) else np.zeros(0, np.int64))
+                sig.append(((s[None, :] ^ salts[:, None]) * _MIX >> np.uint64(32)).min(1).astype(np.uint32).view(np.int32) if len(s) else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int32()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(sig, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(size, pa.int32()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
                 ["row", "n_shingles", "f1", "f2", "sig"],
             )
 
-    return rows.mapInArrow(run, "row long, n_shingles int, f1 long, f2 long, sig array<long>")
+    return rows.mapInArrow(run, "row long, n_shingles int, f1 long, f2 long, sig array<int>")
 
 
 def whole(rows: DataFrame, n: int) -> DataFrame:
-    """(rep, s): first fingerprint and sorted n-gram hashes of rows (row, word hashes)."""
+    """(rep, s): first fingerprint and packed n-gram hashes of rows (row, word hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [(shingles(w, n), w) for w in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([_fingerprints(s, w)[0] for s, w in both], pa.int64()), pa.array([s.view(np.int64) for s, _ in both], pa.list_(pa.int64()))], ["rep", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([_fingerprints(s, w)[0] for s, w in both], pa.int64()), pa.array([_packed(s) for s, _ in both], pa.binary())], ["rep", "s"])
 
-    return rows.mapInArrow(run, "rep long, s array<long>")
+    return rows.mapInArrow(run, "rep long, s binary")
+
+
+def _packed(s: np.ndarray) -> bytes:
+    """The upper PACKED bytes of each hash, which tell the n-grams of two texts apart but for some 1 in 10**9 pairs of a thousand words."""
+    short = np.unique(s >> np.uint64(8 * (8 - PACKED)))
+    return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    short = np.frombuffer(data, np.uint8).reshape(-1, PACKED)
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, :PACKED] = short
+    return wide.view("<u8").ravel()
 
 
 def _word_hashes(text: Column) -> Column:
@@ -188,7 +203,7 @@ def _verify(sets: list[np.ndarray], paths: list[np.ndarray], here: int, other: l
 def similar_links(leaves: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(rep, links, least): per set and bucket, its new similar sets and the least set of its linked part of the bucket.
 
-    ``leaves(path, rep, size)``; ``sets(rep, s)`` sorted distinct n-gram hashes. The rows grow with the sets, not with the pairs.
+    ``leaves(path, rep, size)``; ``sets(rep, s)`` packed n-gram hashes. The rows grow with the sets, not with the pairs.
     """
     paths = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("path")).alias("paths"))  # a set has a bounded number of paths
     # A pair can only be new in a bucket; blocks: block a meets block b for a <= b.
@@ -204,7 +219,7 @@ def similar_links(leaves: DataFrame, sets: DataFrame, similarity: float) -> Data
         a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
         reps = pdf["rep"].to_numpy()
         side = [2] * len(pdf) if a == b else (pdf["block"] == b).astype(int).tolist()
-        pairs = _verify([np.asarray(x, np.int64) for x in pdf["s"]], [np.asarray(x, np.int64) for x in pdf["paths"]], int(pdf["path"].iloc[0]), side, similarity)
+        pairs = _verify([_unpacked(x) for x in pdf["s"]], [np.asarray(x, np.int64) for x in pdf["paths"]], int(pdf["path"].iloc[0]), side, similarity)
         links, least = np.zeros(len(pdf), np.int64), list(range(len(pdf)))
 
         def root(i: int) -> int:
@@ -261,9 +276,9 @@ def similarity_classes(docs: DataFrame, n: int = SHINGLE, similarity: float = SI
     needed = common.materialize(needed, "needed")
     wanted = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
     wanted = common.join_hot(wanted, needed, ["row"], "inner", F.col("text"), 4_000_000).select("row", _word_hashes(F.col("text")).alias("w"))
-    whole_sets = common.materialize(whole(wanted, n), "whole-sets")
-    if not whole_sets.groupBy("rep").count().filter("count > 1").isEmpty():  # a doc_id on several rows
-        whole_sets = whole_sets.dropDuplicates(["rep"])
+    whole_sets = whole(wanted, n)
+    if common.join_hot(signed.select("row", "f1"), needed, ["row"], "inner", F.col("f1"), 4_000_000).count() > needed.count():  # a doc_id on several rows
+        whole_sets = common.materialize(whole_sets, "whole-sets").dropDuplicates(["rep"])
     links = common.materialize(similar_links(leaves, whole_sets, similarity), "links")
     roots = components(links.select(F.col("rep").alias("u"), F.col("least").alias("v")))
     counted = links.groupBy("rep").agg(F.sum("links").alias("n_links")).join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
