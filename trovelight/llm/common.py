@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only when its measured rows are at most this many.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch that carries whole texts.
+TEXT_BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,21 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session to ``TEXT_BATCH_ROWS`` rows, or fewer where it says so: rows of whole texts are large."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if now <= 0 or now > TEXT_BATCH_ROWS:
+        spark.conf.set(setting, TEXT_BATCH_ROWS)
+
+
+def with_text(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    """The columns ``keep`` and the name of the one that holds ``text`` as a string; a kept text does not travel twice."""
+    if "text" in keep and docs.schema["text"].dataType.simpleString() == "string":
+        return docs.select(*keep), "text"
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")), "__text"
+
+
 def doc_remainder(doc_id: str | Column, n: int) -> Column:
     """crc32(doc_id as text) mod n, the fold rule of the queries."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
