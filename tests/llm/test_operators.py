@@ -350,6 +350,17 @@ def test_backoff_scores(docs, empty):
     assert sum(map(len, got.values())) == len(ROWS) and lm.backoff_scores(empty).count() == 0
 
 
+def test_backoff_tells_rare_words_apart_in_a_large_input(spark):
+    # 7 million words, so that a floor by share of all words would pool those that occur three times.
+    big = spark.range(70).select(F.col("id").alias("doc_id"), F.expr("repeat('a b ', 50000)").alias("text"))
+    few = spark.createDataFrame([(1000 + i, "rare pair") for i in range(3)] + [(2000, "odd one"), (2001, "odd two"), (2002, "odd three")], "doc_id long, text string")
+    got = {r.doc_id: r.log_score for r in lm.backoff_scores(big.unionByName(few)).filter("doc_id >= 1000").collect()}
+    n = 7_000_000 + 12
+    assert all(abs(got[1000 + i] - (math.log(3 / n) + math.log(2 / 3))) < 1e-9 for i in range(3))
+    # (odd, unknown) is one bigram: two of three are in other texts.
+    assert all(abs(got[2000 + i] - (math.log(3 / n) + math.log(2 / 3))) < 1e-9 for i in range(3))
+
+
 PAGE = (
     "<html><head><title>t</title><style>p{}</style><script>var a='</p>';</script></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav><div id='cookie-notice'>We use cookies</div>"
     "<div class='wrap'><div class='sidebar'><p>Side text that is long enough to matter here</p></div><div class='post-{n}'><h1>Title &amp; more</h1><p>First&nbsp;paragraph   with <b>bold</b> text.<p>Second &lt;one&gt;"

@@ -1,11 +1,11 @@
 """Stupid-backoff language-model scores of every document, from the counts of the whole corpus.
 
-Words are counted; those with at least a fixed share of all words form the vocabulary (so its size is bounded
-by arithmetic), the others are equally likely members of one unknown word. The bigrams of all documents are exploded and dealt by hash
-over buckets; a bucket counts its bigrams, joins the counts to the exploded rows, and returns one sum per document. A document's own
-bigrams don't count for itself: what no other text holds backs off to the word's own share.
+All words that occur twice or more are told apart, at every size of input; words that occur once are equally likely members of one
+unknown word. Words are coded per batch of documents; a batch asks the buckets of words for the counts of its distinct words, and then the
+buckets of bigrams for the counts of its distinct bigrams, so no count table is collected or broadcast. A document's own bigrams don't count
+for itself: what no other text holds backs off to the word's own share.
 
-The exploded rows travel packed: per batch of documents and bucket, the distinct bigrams in order, how often each occurs, and where.
+Words are known by hashes of 64 bits, and bigrams by a hash of both: at a billion different ones, about a 3 % chance that any two meet.
 """
 
 from __future__ import annotations
@@ -21,12 +21,16 @@ from pyspark.sql import functions as F
 from trovelight.llm import common, tokens
 
 BACKOFF = 0.4
-#: A word of the vocabulary has at least this share of all words, so there are at most 2 ** 21 of them.
-VOCABULARY_SHARE = 2.0**-21
+#: Words that occur less often are unknown.
 LEAST_COUNT = 2
-#: Bigrams of a bucket, at about, and the least number of buckets.
-BUCKET_BIGRAMS, LEAST_BUCKETS = 8_000_000, 64
-_ID_BITS = 22
+#: Text of a batch, at about.
+BATCH_BYTES = 4 << 20
+#: Entries of a bucket, at about, and the least number of buckets.
+BUCKET_ENTRIES, LEAST_BUCKETS = 2_000_000, 64
+#: Bucket of the row that holds a batch itself.
+_SELF = -1
+_BATCH = "batch long, bucket long, keys binary, times binary, doc_ids array<long>, n_words array<long>"
+_REPLY = "batch long, bucket long, times binary, entries long, rare_kinds long, rare_words long"
 
 
 def _word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,33 +48,115 @@ def _word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, index[real], before[offsets - offsets[0]]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): hash of each word and its count in all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                hashes, index, _ = _word_codes(part.column(0))
-                n = np.bincount(index, minlength=len(hashes))
-                some = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64), pa.int64()), pa.array(n[some], pa.int64())], ["word", "n"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Rising integers as differences of 32 bits where those fit, else of 64."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    return b"\4" + d.astype("<u4").tobytes() if len(d) == 0 or d.max() < 1 << 32 else b"\10" + d.astype("<u8").tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, lowest first, as many as the largest one needs."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each of ``buckets`` equal ranges of hashes begins in the rising ``keys``."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _asked(batch: int, keys: np.ndarray, times: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row per bucket with the rising ``keys`` in it, as differences, and how often each occurs in the batch."""
+    cuts = _cuts(keys, buckets)
+    some = np.flatnonzero(np.diff(cuts))
+    return pa.RecordBatch.from_pydict(
+        {
+            "batch": [batch] * len(some),
+            "bucket": some.tolist(),
+            "keys": [_planes(np.diff(keys[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))) for b in some],
+            "times": [_planes(times[cuts[b] : cuts[b + 1]]) for b in some],
+        },
+        schema=pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("times", pa.binary())]),
+    )
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """The counts of one bucket over all batches, returned to each batch in the order in which it asked."""
+    keys = [np.cumsum(_unplanes(k), dtype=np.uint64) for k in table["keys"].to_pylist()]
+    times = np.concatenate([_unplanes(t) for t in table["times"].to_pylist()]).astype(np.int64)
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.zeros(len(distinct), np.int64)
+    np.add.at(count, place, times)
+    rare = count < LEAST_COUNT
+    ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    first = [1] + [0] * (len(keys) - 1)  # the sums of the bucket stand in its first row
+    return pa.table({
+        "batch": table["batch"],
+        "bucket": table["bucket"],
+        "times": pa.array([_planes(count[place[a:b]]) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+        "entries": pa.array([int(len(distinct)) * f for f in first], pa.int64()),
+        "rare_kinds": pa.array([int(rare.sum()) * f for f in first], pa.int64()),
+        "rare_words": pa.array([int(count[rare].sum()) * f for f in first], pa.int64()),
+    })
+
+
+def _coded(docs: DataFrame) -> DataFrame:
+    """A row per batch of documents: its distinct words from the most frequent, the index of each word, its doc_ids and their numbers of words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1), dtype=np.uint64)
+        part_id, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for part in tokens.slices(batch, "text", BATCH_BYTES):
+                hashes, index, offsets = _word_codes(part.column(1))
+                used, place = np.unique(hashes, return_inverse=True)
+                n = np.bincount(place[index], minlength=len(used))
+                order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
+                rank = np.zeros(len(used), np.int64)
+                rank[order] = np.arange(len(order))
+                row = {
+                    "batch": [(part_id << 32) + made],
+                    "bucket": [_SELF],
+                    "keys": [used[order].astype("<u8").tobytes()],
+                    "times": [_planes(rank[place][index])],
+                    "doc_ids": [part.column(0).to_pylist()],
+                    "n_words": [np.diff(offsets)],
+                }
+                made += 1
+                yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64()))]))
+
+    return docs.mapInArrow(run, _BATCH)
+
+
+class _Batch:
+    """A coded batch with the counts of its words."""
+
+    def __init__(self, row: dict, counts: np.ndarray, rare_words: int, rare_kinds: int, total: int):
+        hashes = np.frombuffer(row["keys"], "<u8")
+        count = np.zeros(len(hashes), np.int64)
+        count[np.argsort(hashes)] = counts
+        known = count >= LEAST_COUNT
+        self.doc_ids, self.lens = row["doc_ids"], np.array(row["n_words"], np.int64)
+        self.word = _unplanes(row["times"]).astype(np.int64)
+        self.ids = np.where(known, hashes, np.uint64(0))
+        self.context = np.log(np.where(known, count, max(rare_words, 1)).astype(float))
+        self.share = np.log(np.where(known, count, max(rare_words, 1) / max(1, rare_kinds)) / max(total, 1))
+        doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        at = np.flatnonzero(doc[1:] == doc[:-1])
+        key = _mix(_mix(self.ids[self.word[at]]) * np.uint64(0x9E3779B97F4A7C15) + self.ids[self.word[at + 1]])
+        order = np.argsort(key, kind="stable")  # documents stay in order within a bigram
+        #: Sorted bigrams, their documents, and the places of their first words.
+        self.key, self.at = key[order], at[order]
+        self.doc = doc[self.at]
+        self.new = np.concatenate([[True], self.key[1:] != self.key[:-1]])[: len(self.key)]
 
 
 def backoff_scores(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
@@ -79,94 +165,54 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     A null or blank text has no words, log_score 0 and a null mean. Repeated rows are rows of their own, so each is evidence for the
     other. Words differ by case only as they are lowered. Long texts are scored whole. Other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = common.materialize(word_counts(docs), "word-counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(LEAST_COUNT, total * VOCABULARY_SHARE)
-    known = counts.filter(F.col("n") >= least).toArrow()  # at most 1 / VOCABULARY_SHARE rows
-    word, n = known["word"].to_numpy().view(np.uint64), known["n"].to_numpy()
-    order = np.argsort(word)
-    word, n = word[order], n[order]
-    unknown = total - n.sum()
-    context = np.log(np.concatenate([[max(unknown, 1)], n]).astype(float))  # by id; 0 is the unknown word
-    share = np.log(np.concatenate([[max(unknown, 1) / max(1, kinds - len(n))], n]) / max(total, 1))
-    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BIGRAMS))
-    vocabulary = spark.sparkContext.broadcast(word)
-    logs = spark.sparkContext.broadcast((context, share))
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    coded = common.materialize(_coded(docs), "word-codes")
+    total, entries = coded.select(F.coalesce(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.coalesce(F.sum(F.length("keys") / 8), F.lit(0)).cast("long")).first()
+    word_buckets = max(LEAST_BUCKETS, -(-entries // BUCKET_ENTRIES))
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_ENTRIES))
 
-        part_id, made = TaskContext.get().partitionId(), 0
-        vocab, (_, share) = vocabulary.value, logs.value
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for big in tokens.slices(batch, "text"):
-                for part in (big.slice(i, 1 << 16) for i in range(0, big.num_rows, 1 << 16)):
-                    hashes, index, offsets = _word_codes(part.column(1))
-                    at = np.searchsorted(vocab, hashes)
-                    found = np.append(vocab, np.uint64(0))[at] == hashes
-                    ids = np.where(found, at + 1, 0)[index].astype(np.uint64)
-                    lens = np.diff(offsets)
-                    doc = np.repeat(np.arange(len(lens)), lens)
-                    first = np.zeros(len(lens))
-                    first[lens > 0] = share[ids[offsets[:-1][lens > 0]].astype(int)]
-                    group = (part_id << 24) + made
-                    made += 1
-                    inside = doc[1:] == doc[:-1]
-                    key = (ids[:-1] << np.uint64(_ID_BITS) | ids[1:])[inside]
-                    of = doc[1:][inside].astype("<u2")
-                    bucket = (_mix(key + np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
-                    order = np.lexsort((of, key, bucket))
-                    key, of, bucket = key[order], of[order], bucket[order]
-                    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                    rows = {"bucket": [-1 - part_id], "batch": [group], "n_docs": [len(lens)], "keys": [b""], "times": [b""], "docs": [b""], "doc_ids": [part.column(0)], "n_words": [lens], "first": [first]}
-                    for b in np.flatnonzero(np.diff(cuts)):
-                        k, o = key[cuts[b] : cuts[b + 1]], of[cuts[b] : cuts[b + 1]]
-                        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                        for name, value in (("bucket", int(b)), ("batch", group), ("n_docs", len(lens)), ("keys", _pack(k[starts])), ("times", np.diff(starts, append=len(k)).astype("<u4").tobytes()), ("docs", o.tobytes()), ("doc_ids", None), ("n_words", None), ("first", None)):
-                            rows[name].append(value)
-                    schema = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("n_docs", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("docs", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("first", pa.list_(pa.float64()))])
-                    rows["doc_ids"] = [part.column(0).to_pylist()] + [None] * (len(rows["bucket"]) - 1)
-                    yield pa.RecordBatch.from_pydict(rows, schema=schema)
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                hashes = np.frombuffer(row["keys"], "<u8")
+                n = np.bincount(_unplanes(row["times"]).astype(np.int64), minlength=len(hashes))
+                order = np.argsort(hashes)
+                yield _asked(row["batch"], hashes[order], n[order], word_buckets)
+
+    asked = "batch long, bucket long, keys binary, times binary"
+    words = coded.select("batch", "keys", "times").mapInArrow(ask_words, asked).groupBy("bucket").applyInArrow(_answer, _REPLY)
+    words = common.materialize(words, "word-counts")
+    rare_words, rare_kinds = words.select(F.coalesce(F.sum("rare_words"), F.lit(0)), F.coalesce(F.sum("rare_kinds"), F.lit(0))).first()
+
+    def replies(df: DataFrame, kind: int) -> DataFrame:
+        return df.select("batch", (F.col("bucket") + F.lit(kind << 40)).alias("bucket"), "times")
+
+    def read(table: pa.Table) -> tuple[_Batch, np.ndarray]:
+        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+        counts = [np.concatenate([np.zeros(0, np.int64), *(_unplanes(r["times"]).astype(np.int64) for r in rows if r["bucket"] >> 40 == kind)]) for kind in (1, 2)]
+        return _Batch(rows[0], counts[0], rare_words, rare_kinds, total), counts[1]
+
+    def ask_bigrams(table: pa.Table) -> pa.Table:
+        batch, _ = read(table)
+        starts = np.flatnonzero(batch.new)
+        return pa.Table.from_batches([_asked(table["batch"][0].as_py(), batch.key[starts], np.diff(starts, append=len(batch.key)), buckets)])
 
     def score(table: pa.Table) -> pa.Table:
-        context, share = logs.value
-        rows = table.to_pylist()
-        out = {"batch": [], "sums": [], "doc_ids": [], "n_words": []}
-        if rows and rows[0]["bucket"] < 0:
-            for r in rows:
-                for name, value in (("batch", r["batch"]), ("sums", r["first"]), ("doc_ids", r["doc_ids"]), ("n_words", r["n_words"])):
-                    out[name].append(value)
-        elif rows:
-            keys = [_unpack(r["keys"]) for r in rows]
-            times = [np.frombuffer(r["times"], "<u4").astype(np.int64) for r in rows]
-            distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.bincount(place, np.concatenate(times), len(distinct))  # the count table of this bucket
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-            for i, r in enumerate(rows):
-                at = np.repeat(place[ends[i] : ends[i + 1]], times[i])
-                doc = np.frombuffer(r["docs"], "<u2").astype(np.int64)
-                starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
-                own = np.diff(starts, append=len(at))
-                at, doc = at[starts], doc[starts]
-                others, key = count[at] - own, distinct[at]
-                seen = np.log(np.maximum(others, 1)) - context[(key >> np.uint64(_ID_BITS)).astype(int)]
-                s = np.where(others > 0, seen, np.log(backoff) + share[(key & np.uint64((1 << _ID_BITS) - 1)).astype(int)])
-                out["batch"].append(r["batch"])
-                out["sums"].append(np.bincount(doc, own * s, r["n_docs"]))
-                out["doc_ids"].append(None)
-                out["n_words"].append(None)
-        return pa.Table.from_pydict(out, schema=pa.schema([("batch", pa.int64()), ("sums", pa.list_(pa.float64())), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64()))]))
-
-    def total_up(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["doc_ids"] is not None)
-        s = np.sum([r["sums"] for r in sorted(rows, key=lambda r: r["sums"])], axis=0) if rows else np.zeros(0)
-        words = np.array(head["n_words"], np.int64)
-        mean = pa.array(s / np.maximum(words, 1), pa.float64(), mask=words == 0)
-        return pa.Table.from_arrays([pa.array(head["doc_ids"], pa.int64()), pa.array(words, pa.int64()), pa.array(s, pa.float64()), mean], ["doc_id", "n_words", "log_score", "mean_log_score"])
-
-    packed = docs.mapInArrow(explode, "bucket long, batch long, n_docs long, keys binary, times binary, docs binary, doc_ids array<long>, n_words array<long>, first array<double>")
-    sums = packed.groupBy("bucket").applyInArrow(score, "batch long, sums array<double>, doc_ids array<long>, n_words array<long>")
-    return sums.groupBy("batch").applyInArrow(total_up, "doc_id long, n_words long, log_score double, mean_log_score double")
+        batch, counts = read(table)
+        # A part is the occurrences of a bigram in a document.
+        starts = np.flatnonzero(batch.new | np.concatenate([[True], batch.doc[1:] != batch.doc[:-1]])[: len(batch.key)])
+        own = np.diff(starts, append=len(batch.key))
+        at = batch.at[starts]
+        others = counts[np.cumsum(batch.new)[starts] - 1] - own
+        seen = np.log(np.maximum(others, 1)) - batch.context[batch.word[at]]
+        s = np.where(others > 0, seen, np.log(backoff) + batch.share[batch.word[at + 1]])
+        sums = np.bincount(batch.doc[starts], own * s, len(batch.lens))
+        some = batch.lens > 0
+        sums[some] += batch.share[batch.word[(np.cumsum(batch.lens) - batch.lens)[some]]]
+        mean = pa.array(sums / np.maximum(batch.lens, 1), pa.float64(), mask=~some)
+        return pa.Table.from_arrays([pa.array(batch.doc_ids, pa.int64()), pa.array(batch.lens, pa.int64()), pa.array(sums, pa.float64()), mean], ["doc_id", "n_words", "log_score", "mean_log_score"])
+
+    with_words = coded.unionByName(replies(words, 1), allowMissingColumns=True)
+    bigrams = common.materialize(with_words.groupBy("batch").applyInArrow(ask_bigrams, asked).groupBy("bucket").applyInArrow(_answer, _REPLY).select("batch", "bucket", "times"), "bigram-counts")
+    both = with_words.unionByName(replies(bigrams, 2), allowMissingColumns=True)
+    return both.groupBy("batch").applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")

@@ -126,12 +126,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about SLICE_BYTES of text each (one long text may exceed it)."""
+def slices(batch: pa.RecordBatch, column: str, size_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size_bytes`` of text each (one long text may exceed it)."""
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(size) // SLICE_BYTES
+    group = np.cumsum(size) // size_bytes
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(a, b - a)
