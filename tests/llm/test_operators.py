@@ -97,6 +97,23 @@ def test_packing_of_nothing_and_of_whole_items(spark):
     assert len(got) == len(rows) and len({r.sequence_id for r in got}) == 6
 
 
+@pytest.mark.parametrize("rows_per_sweep", [300, 60_000])
+def test_packing_in_parts_opens_as_many_sequences_as_one_sweep(spark, monkeypatch, rows_per_sweep):
+    monkeypatch.setattr(packing, "ROWS_PER_SWEEP", rows_per_sweep)
+    lengths = np.random.default_rng(3).integers(1, 1000, 6000).tolist() + [340] * 1500
+    length_of = dict(enumerate(lengths))
+    rows = packing.pack(spark.createDataFrame(list(length_of.items()), "item_id long, length long"), 1000).collect()
+    want, _ = packing.sweep(lengths, list(length_of), [], [], 1000)
+    assert sorted(r.item_id for r in rows) == list(length_of)
+    assert len({r.sequence_id for r in rows}) == len({s for _, s, _ in want})
+    seq = collections.defaultdict(list)
+    for r in rows:
+        seq[r.sequence_id].append((r.offset, length_of[r.item_id], r.item_id))
+    for s, v in seq.items():
+        v.sort()
+        assert v[0][2] == s and sum(x[1] for x in v) <= 1000 and all(a[0] + a[1] == b[0] for a, b in zip(v, v[1:]))
+
+
 def test_sweep_is_best_fit():
     rng = np.random.default_rng(1)
     lengths, gaps = rng.integers(1, 50, 200).tolist(), rng.integers(1, 100, 60).tolist()

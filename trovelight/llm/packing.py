@@ -1,53 +1,71 @@
 """Best-fit packing of items into sequences of a fixed capacity, in bulk-synchronous rounds.
 
-Each round takes one class of lengths, longest first. The documents of the
-class and the gaps of all open sequences are each range-sorted by size and
-dealt, by their place in that order, over the same number of partitions, so
-that equal shares of both meet; ties of a hot length are spread by id. Each
-partition sweeps its documents from the longest: the successor (smallest gap
-that is large enough) takes it, documents of equal length in order of their
-ids, and what fits nowhere opens a sequence. The gaps are updated and the next
-round begins.
+Each round takes the items of one length, longest first. They go to their successor, the smallest gap that is large enough; where items and
+gaps of that size differ in number, ranks decide; the gaps are updated, and what found no place goes on to the next larger gap. Only when
+none is left are sequences opened. The rounds need only know how many items have each length and how many sequences each gap, so they
+run on a histogram and give the sequences of one sweep over all items, at every size. They leave a table of
+runs: which ranks of a length go to which sequences, at which offset. The items are then ranked in Spark and look up their runs.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelight.llm import common
 
-#: Items and gaps that one task sweeps, at about.
+#: Items that one task ranks, at about.
 ROWS_PER_SWEEP = 60_000
-#: Upper ends of the length classes as shares of the capacity.
-CLASSES = (1.0, 1 / 2, 1 / 3, 1 / 4, 1 / 6, 1 / 12)
 
 
-def _dealt(rows: DataFrame, size: str, key: str, parts: int, capacity: int) -> DataFrame:
-    """Add ``part``: the place of a row in the order of descending size, as one of ``parts`` equal shares.
+def rounds(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Runs (length, first rank, first sequence, items per sequence, offset) in that order, of the best fit of ``counts[length]`` items.
 
-    The histogram has a row per size, so at most ``capacity`` rows.
+    A run ends where the next one of its length begins. A group of sequences with equal gaps is filled as a whole, which at least halves its gap, and a
+    round splits at most two off, so the runs are bounded by the number of lengths times the logarithm of the capacity.
     """
-    hist = {r[0]: r[1] for r in rows.groupBy(size).count().collect()}
-    total, before, at = max(1, sum(hist.values())), 0, {}
-    for s in sorted(hist, reverse=True):
-        at[s] = (before, hist[s])
-        before += hist[s]
-    if not at:
-        return rows.withColumn("part", F.lit(0))
-    table = rows.sparkSession.createDataFrame([(s, float(a), float(n)) for s, (a, n) in at.items()], f"{size} long, _a double, _n double")
-    share = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
-    part = F.least(F.floor((F.col("_a") + share * F.col("_n")) * parts / total).cast("int"), F.lit(parts - 1))
-    return rows.join(F.broadcast(table), size).withColumn("part", part).drop("_a", "_n")  # at most ``capacity`` rows
+    groups: dict[int, list[tuple[int, int]]] = {}  # gap: (first sequence, sequences)
+    gaps: list[int] = []
+    runs, opened = [], 0
+
+    def put(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in groups:
+                insort(gaps, gap)
+                groups[gap] = []
+            groups[gap].append((first, n))
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            k = bisect_left(gaps, length)
+            if k < len(gaps):
+                gap = gaps[k]
+                first, n = groups[gap].pop()
+                if not groups[gap]:
+                    del groups[gap], gaps[k]
+            else:
+                gap, first, n = capacity, opened, -(-left // (capacity // length))
+                opened += n
+            each = gap // length
+            full = min(n, left // each)
+            runs.append((length, counts[length] - left, first, each, capacity - gap))
+            left -= full * each
+            put(gap - each * length, first, full)
+            if full < n:
+                put(gap - left * length, first + full, 1)
+                put(gap, first + full + 1, n - full - 1)
+                left = 0
+    return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
 def sweep(lengths: list[int], ids: list[int], bins: list[int], gaps: list[int], capacity: int) -> tuple[list, list]:
-    """Best fit of one partition: (item, sequence, offset) placements and (sequence, gap) afterwards."""
+    """Best fit item by item, which ``pack`` must equal: (item, sequence, offset) placements and (sequence, gap) afterwards."""
     open_at = sorted(zip(gaps, bins))
     placed = []
     for length, item in sorted(zip(lengths, ids), key=lambda x: (-x[0], x[1])):
@@ -63,39 +81,38 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     """Pack ``items(item_id long unique, length long 1..capacity)``: item_id, sequence_id, offset.
 
     Items of length null or 0 get a sequence of their own at offset 0; longer ones than ``capacity``
-    raise. Ties go to the smaller item_id. An empty table gives an empty result. Other columns are ignored.
+    raise. Ties go to the hashed order of item_id. An empty table gives an empty result. Other columns are ignored.
     """
     items = items.select("item_id", F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length"))
     items = items.withColumn("length", F.when(F.col("length") > capacity, F.raise_error("an item is longer than the capacity")).otherwise(F.col("length")))
     whole = (F.col("length") == 0) | (F.col("length") == capacity)
-    results = [items.filter(whole).select("item_id", F.col("item_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    cuts = [int(capacity * c) for c in CLASSES]
-    bounds = [(hi, lo) for hi, lo in zip(cuts, [*cuts[1:], 0]) if hi > lo]
-    hi, lo = bounds[0]
-    # No two of the first class fit together: each opens a sequence of its own.
-    first = items.filter((F.col("length") > lo) & (F.col("length") < capacity))
-    results.append(first.select("item_id", F.col("item_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-    gaps = first.select(F.col("item_id").alias("sequence_id"), (capacity - F.col("length")).alias("gap"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_item = pdf["is_item"].to_numpy()
-        docs, holes = pdf[is_item], pdf[~is_item]
-        placed, left = sweep(docs["size"].tolist(), docs["id"].tolist(), holes["id"].tolist(), holes["size"].tolist(), capacity)
-        a = np.array([(i, s, o, -1) for i, s, o in placed] + [(-1, s, -1, g) for s, g in left], np.int64).reshape(-1, 4)
-        return pd.DataFrame(a, columns=["item_id", "sequence_id", "offset", "gap"])
-
-    for hi, lo in bounds[1:]:
-        docs = items.filter((F.col("length") > lo) & (F.col("length") <= hi))
-        counts = docs.agg(F.count("*")).first()[0], gaps.agg(F.count("*")).first()[0]
-        if not counts[0]:
-            continue
-        parts = max(1, -(-sum(counts) // ROWS_PER_SWEEP))
-        both = _dealt(docs, "length", "item_id", parts, capacity).select(
-            "part", F.lit(True).alias("is_item"), F.col("item_id").alias("id"), F.col("length").alias("size")
-        ).unionByName(
-            _dealt(gaps, "gap", "sequence_id", parts, capacity).select("part", F.lit(False).alias("is_item"), F.col("sequence_id").alias("id"), F.col("gap").alias("size"))
-        )
-        state = common.materialize(both.groupBy("part").applyInPandas(run, "item_id long, sequence_id long, offset long, gap long"), "packing")
-        results.append(state.filter("item_id >= 0").select("item_id", "sequence_id", "offset"))
-        gaps = state.filter("item_id < 0").select("sequence_id", "gap")
-    return reduce(DataFrame.unionByName, results)
+    alone = items.filter(whole).select("item_id", F.col("item_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    counts = {r[0]: r[1] for r in items.groupBy("length").count().collect() if 0 < r[0] < capacity}  # at most ``capacity`` rows
+    if not counts:
+        return alone
+    spark = items.sparkSession
+    runs = spark.sparkContext.broadcast(rounds(counts, capacity))
+    bits = max(counts.values()).bit_length()
+    # Ranks within a length: items are dealt by hash over parts of a bounded size, and the parts of a length follow each other.
+    parts = spark.createDataFrame([(v, -(-n // ROWS_PER_SWEEP)) for v, n in counts.items()], "length long, parts long")
+    dealt = items.filter(~whole).join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts"))).select("item_id", "length", "part")
+    sizes = dealt.groupBy("length", "part").count()
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = common.materialize(sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("before")), "packing-parts")
+    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("item_id"))
+    ranked = dealt.withColumn("within", within).join(F.broadcast(sizes), ["length", "part"])  # a row per length, and one more per ROWS_PER_SWEEP items at most
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = runs.value
+        starts = table[:, 0] << bits | table[:, 1]
+        for batch in batches:
+            length, rank = (batch.column(i).to_numpy() for i in (1, 2))
+            run = table[np.searchsorted(starts, length << bits | rank, side="right") - 1]
+            sequence, nth = np.divmod(rank - run[:, 1], run[:, 3])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(run[:, 2] + sequence), pa.array(run[:, 4] + nth * length)], ["item_id", "sequence", "offset"])
+
+    placed = ranked.select("item_id", "length", (F.col("before") + F.col("within") - 1).cast("long").alias("rank")).mapInArrow(place, "item_id long, sequence long, offset long")
+    placed = common.materialize(placed, "packing")
+    # A sequence bears the id of the item that opened it.
+    openers = placed.filter("offset = 0").select("sequence", F.col("item_id").alias("sequence_id"))
+    return alone.unionByName(placed.join(openers, "sequence").select("item_id", "sequence_id", "offset"))
