@@ -282,6 +282,21 @@ def test_mixing_realises_its_budgets(spark):
     assert 0 <= order[0] and order[1] <= 1
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mixing_keeps_the_documents_of_any_number_of_sources(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 5, raising=False)
+    if not broadcast:
+        monkeypatch.setattr(mixing.common, "small", lambda df, rows=0: False)
+    rows = [(i, " ".join(["w"] * (3 + i % 4)), f"s{i % 40}") for i in range(400)] + [(1000, "", "blank")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out, found = mixing.mix(docs, 0.99, 4.0)
+    assert {r.doc_id for r in out.select("doc_id").collect()} == {r[0] for r in rows}
+    assert len(found.sources) == 41 and abs(sum(found.weights) - 1) < 1e-9
+    tokens_ = np.array([sum(3 + i % 4 for i in range(400) if i % 40 == int(s[1:])) if s != "blank" else 0 for s in found.sources], float)
+    exponent, w, spent = mixing.solve(tokens_, 0.99, 4.0, None)
+    assert abs(exponent - found.exponent) < 1e-9 and np.allclose(found.budgets, w * spent)
+
+
 def test_mixing_edge_rows(docs, empty):
     out, _ = mixing.mix(docs, 0.9, 4.0)
     assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
