@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only when its measured rows are at most this many.
 BROADCAST_ROWS = 1_000_000
-#: Rows of an Arrow batch that carries whole texts.
-TEXT_BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch that carries whole texts.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 1_000, 8 << 20
+
+_OWN: dict[str, str | None] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made.
+    Only where that setting is absent on a single machine (tests) a temporary folder is made; on a cluster that is an error,
+    since each executor would write to a disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='trovelight-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _OWN.setdefault("dir", None) or f"file://{tempfile.mkdtemp(prefix='trovelight-')}"
+        _OWN["dir"] = found
     return found.rstrip("/")
 
 
@@ -52,19 +58,37 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def lean_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session to ``TEXT_BATCH_ROWS`` rows, or fewer where it says so: rows of whole texts are large."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(setting))
-    if now <= 0 or now > TEXT_BATCH_ROWS:
-        spark.conf.set(setting, TEXT_BATCH_ROWS)
+def lean_batches(query):
+    """For queries whose session is their own: Arrow batches of at most TEXT_BATCH_ROWS rows and TEXT_BATCH_BYTES, as rows of whole texts are large."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        for setting, most in (("maxRecordsPerBatch", TEXT_BATCH_ROWS), ("maxBytesPerBatch", TEXT_BATCH_BYTES)):
+            now = spark.conf.get(f"spark.sql.execution.arrow.{setting}", None)
+            if now is None or not now.isdigit() or not 0 < int(now) <= most:
+                spark.conf.set(f"spark.sql.execution.arrow.{setting}", most)
+        return query(spark, *args)
+
+    return run
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def with_text(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
     """The columns ``keep`` and the name of the one that holds ``text`` as a string; a kept text does not travel twice."""
     if "text" in keep and docs.schema["text"].dataType.simpleString() == "string":
         return docs.select(*keep), "text"
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")), "__text"
+    (name,) = free(docs, "__text")
+    return docs.select(*keep, F.col("text").cast("string").alias(name)), name
 
 
 def doc_remainder(doc_id: str | Column, n: int) -> Column:

@@ -26,6 +26,8 @@ BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 6, 4.0
 #: Share of the correct calibration rows that may be rejected.
 REJECT_SHARE = 0.0005
 UNKNOWN = "und"
+#: Bytes of text that are scored at a time; the arrays of n-grams and class scores take some hundred times as much.
+PREDICT_BYTES = 256 << 10
 
 
 def _letters() -> np.ndarray:
@@ -149,7 +151,6 @@ def sample_by(docs: DataFrame, label: str, per_label: int, key: str) -> DataFram
 def fit(docs: DataFrame) -> Model | None:
     """Learn from ``docs(doc_id, text, lang)``; rows with a null lang or without a letter don't count. None if there are none."""
 
-    common.lean_batches(docs.sparkSession)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,17 +184,15 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], names: tuple
     model = model or Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    common.lean_batches(docs.sparkSession)
     rows, text = common.with_text(docs, keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.names.index(text)
-            for big in tokens.slices(batch, text):
-                for part in (big.slice(i, 256) for i in range(0, big.num_rows, 256)):
-                    langs, score, rejected = shared.value.predict(part.column(at).to_pylist())
-                    columns = [c for i, c in enumerate(part.columns) if i != at or text in keep]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*keep, *names])
+            for part in tokens.slices(batch, text, PREDICT_BYTES):
+                langs, score, rejected = shared.value.predict(part.column(at).to_pylist())
+                columns = [c for i, c in enumerate(part.columns) if i != at or text in keep]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*keep, *names])
 
     schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
     return rows.mapInArrow(predict, schema)

@@ -83,15 +83,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_adaptive_scan": op1_adaptive_scan,
-    "op2_best_fit_packing": op2_best_fit_packing,
-    "op3_line_frequency": op3_line_frequency,
-    "op4_temperature_mixing": op4_temperature_mixing,
-    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
-    "op6_language_id": op6_language_id,
-    "op7_toxicity": op7_toxicity,
-    "op8_stupid_backoff": op8_stupid_backoff,
-    "op9_token_store": op9_token_store,
-    "op10_html_extraction": op10_html_extraction,
-}
+    query.__name__: common.lean_batches(query)
+    for query in (
+        op1_adaptive_scan, op2_best_fit_packing, op3_line_frequency, op4_temperature_mixing, op5_ngram_jaccard_join,
+        op6_language_id, op7_toxicity, op8_stupid_backoff, op9_token_store, op10_html_extraction,
+    )
+}
 ORACLES: dict[str, str] = {"op3_line_frequency": linefreq.ORACLE}

@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from trovelight.llm import common
 
 END_ID = 1
-#: Pieces that a worker keeps with their ids; the memory of older ones is dropped at once.
-MEMO_PIECES = 800_000
+#: Bytes, at about, of the pieces that a worker keeps with their ids; the memory of older ones is dropped at once.
+MEMO_BYTES = 32 << 20
+#: What an entry takes beside its characters and ids, and the longest piece that is kept.
+ENTRY_BYTES, LONGEST_KEPT = 240, 64
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 
 
 class Encoder:
@@ -61,14 +63,19 @@ class Encoder:
         self.as_chars = {b: chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)}
         self.punct = frozenset(".,;:!?*$%&#|()[]{}<>-_+=/\\\"@^~`")
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
 
     def piece(self, piece: str) -> bytes:
         found = self.memo.get(piece)
         if found is None:
-            if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
             byte_chars = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.as_chars)
-            found = self.memo[piece] = np.array([t.id for t in self.model.tokenize(byte_chars)], "<u4").tobytes()
+            found = np.array([t.id for t in self.model.tokenize(byte_chars)], "<u4").tobytes()
+            if len(piece) <= LONGEST_KEPT:
+                self.memo_bytes += ENTRY_BYTES + 2 * len(piece) + len(found)
+                if self.memo_bytes > MEMO_BYTES:
+                    self.memo.clear()
+                    self.memo_bytes = 0
+                self.memo[piece] = found
         return found
 
     def word(self, word: str) -> bytes:

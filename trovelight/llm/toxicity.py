@@ -172,7 +172,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     Without labelled rows every score is 0.5 of nothing learnt, that is 0.
     """
-    common.lean_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = sample_by(known, "toxic", TRAIN_ROWS_PER_CLASS, "doc_id")  # bounded per class, so it may be broadcast
     rows = common.materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")), "toxic-sample")
@@ -215,7 +214,6 @@ def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -
     """Add ``name``, a score from 0 to 1, to the columns ``keep`` of ``docs`` from its whole ``text``; null and empty texts score as such."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    common.lean_batches(docs.sparkSession)
     rows, text = common.with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
