@@ -86,17 +86,27 @@ def solve(tokens: np.ndarray, target_entropy: float, most_repeats: float, budget
 
 
 def mix(docs: DataFrame, target_entropy: float, most_repeats: float, budget: float | None = None, source: str = "source", text: str = "text", key: str = "doc_id", seed: int = 1) -> tuple[DataFrame, Mixture]:
-    """The rows of ``docs`` in the mixture, each as often as it is drawn, with _epoch and _order (its place in the mixed stream, 0 to 1).
+    """The rows of ``docs`` in the mixture, each as often as it is drawn, with _epoch, _order (its place in the mixed stream, 0 to 1) and _tokens.
 
-    Tokens are words. A null source counts as ''. Documents without a word are in every epoch of their source and cost nothing; a source with
-    no words at all stays as it is. Equal rows share a verdict. All columns of ``docs`` are kept; texts are not shuffled.
+    Tokens are words. A null source counts as ''. Documents without a word, also null and empty ones, are in every epoch of their source and cost nothing; a
+    source with no words at all stays as it is. Equal rows share a verdict. All columns of ``docs`` are kept; where one is named like an added column, the added one
+    gets underscores at its end. Texts are not shuffled. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    t = F.btrim(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    keyed = docs.withColumns({
-        "_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
+    added = common.free(docs, "_epoch", "_order", "_tokens")
+    # Columns of the input go by their places meanwhile, so that none is mistaken for one of the columns made here.
+    names = [f"in_{i}" for i in range(len(docs.columns))]
+    place_of = dict(zip(docs.columns, names))
+    original = docs.columns
+
+    def restored(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(n).alias(c) for n, c in zip(names, original)], *[F.col(c).alias(a) for c, a in zip(("_epoch", "_order", "_tokens"), added)])
+
+    t = F.btrim(F.coalesce(F.col(place_of[text]).cast("string"), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    keyed = docs.toDF(*names).withColumns({
+        "_source": F.coalesce(F.col(place_of[source]).cast("string"), F.lit("")),
         "_tokens": F.when(F.length(t) > 0, F.size(F.split(t, r"[\x20\x09-\x0D]+"))).otherwise(0).cast("long"),
-        "_hash": F.xxhash64(F.col(key), F.col(text), F.lit(seed)),
+        "_hash": F.xxhash64(F.col(place_of[key]), F.col(place_of[text]), F.lit(seed)),
     })
     lean = common.materialize(keyed.select("_source", "_tokens", "_hash"), "mix-lean")
     totals = common.materialize(lean.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n")), "mix-sources")
@@ -104,7 +114,7 @@ def mix(docs: DataFrame, target_entropy: float, most_repeats: float, budget: flo
     sizes = sorted((r[0], r[1]) for r in totals.filter("tokens > 0").groupBy("tokens").count().collect())
     if not sizes:
         none = totals.select(F.col("_source").alias("source"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("budget"))
-        return keyed.drop("_source", "_tokens", "_hash").withColumn("_epoch", F.lit(0)).withColumn("_order", F.lit(0.0)), Mixture(1.0, none)
+        return restored(keyed.withColumn("_epoch", F.lit(0)).withColumn("_order", F.lit(0.0))), Mixture(1.0, none)
     tokens, alike = np.array(sizes, float).T
     exponent, w, spent = solve(tokens, target_entropy, most_repeats, budget, alike)
     weighed = spark.createDataFrame([(t, x) for (t, _), x in zip(sizes, w.tolist())], "tokens long, _weight double")
@@ -140,4 +150,4 @@ def mix(docs: DataFrame, target_entropy: float, most_repeats: float, budget: flo
     jitter = F.pmod(F.xxhash64("_hash", "_epoch"), F.lit(1 << 20)) / float(1 << 20)
     place = F.when(F.col("_epoch") < F.col("_epochs"), F.col("_epoch") * F.col("_total")).otherwise(F.col("_epochs") * F.col("_total"))
     rows = rows.withColumn("_order", F.least(F.lit(1.0), (place + F.col("_before") + jitter * F.col("_in_block")) / F.col("_budget")))
-    return rows.select(*[F.col(c) for c in docs.columns], "_epoch", "_order", F.col("_tokens")), found
+    return restored(rows), found
