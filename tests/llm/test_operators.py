@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trovelight.llm import ann, html, jaccard, langid, linefreq, lm, mixing, packing, queries, tokens, toxicity
+from trovelight.llm import ann, common, html, jaccard, langid, linefreq, lm, mixing, packing, queries, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
@@ -214,6 +214,56 @@ def test_jaccard_edge_rows(docs, empty):
     assert jaccard.similarity_classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("hash_bytes", [6, 8])
+def test_jaccard_links_do_not_depend_on_the_packing(spark, hash_bytes):
+    rows = [(i, BASE + " " + BASE.upper() + f" tail{i // 2}") for i in range(20)]
+    got = jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), hash_bytes=hash_bytes).collect()
+    assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {9} and {r.copy_id for r in got} == set(range(0, 20, 2))
+
+
+def test_runs_reach_the_recall_though_they_share_samples():
+    rng = np.random.default_rng(8)
+    k, runs = rng.binomial(jaccard.COORDINATES, 0.8, 100_000) / jaccard.COORDINATES, jaccard.runs_for(0.999, 0.8)
+    miss = np.zeros(len(k))
+    for _ in range(jaccard.DEPTH):
+        miss = (1 - k + k * miss) ** jaccard.BRANCH
+    assert (miss**runs).mean() <= 0.0012 and (miss ** (runs - 1)).mean() > 0.0008
+    agreeing = rng.binomial(jaccard.COORDINATES, 0.8, 1_000_000)
+    assert (agreeing < jaccard.least_agreeing(0.8)).mean() <= 2e-5
+
+
+def test_first_of_classes_tells_texts_of_one_id_apart(spark):
+    a, b = BASE + " " + BASE[::-1], "another text with nothing in common " + " ".join(f"x{i}" for i in range(40))
+    rows = [(3, a, 1, 2), (7, b, 1, 2), (7, a + " more", 1, 2), (9, b, 1, 2), (9, b, 1, 2), (None, a, 1, 2), (11, b + " y", 1, 2), (12, "short", 1, 2), (12, "short", 1, 2), (13, None, 1, 2), (14, "", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, t int")
+    got = sorted((tuple(r) for r in jaccard.first_of_classes(docs).collect()), key=str)
+    assert got == sorted([(3, a, 1, 2), (7, b, 1, 2), (None, a, 1, 2), (12, "short", 1, 2), (13, None, 1, 2)], key=str)
+    assert jaccard.first_of_classes(docs.limit(0)).columns == docs.columns and jaccard.first_of_classes(docs.limit(0)).count() == 0
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(i, "a b c", f"s{i % 3}", *range(8)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _source int, _tokens int, _hash int, _block int, _n int, _edge int, _order int, _epoch int")
+    out, _ = mixing.mix(docs, 0.9, 4.0)
+    assert out.columns == [*docs.columns, "_epoch_", "_order_", "_tokens_"]
+    assert {tuple(r)[:11] for r in out.collect()} == {tuple(r) for r in rows} and {r["_tokens_"] for r in out.collect()} == {3}
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+
+
+def test_free_names(docs):
+    assert common.free(docs, "score", "new", "ROW") == ["score_", "new", "ROW_"]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.rep: r.root for r in jaccard.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -3,16 +3,17 @@
 Copies (equal sets of n-grams) form classes first. The sets of the class representatives are sampled by min-wise hashing into
 a fixed number of coordinates. A run begins with all sets in one bucket; a bucket is split along two
 coordinates that a hash of its path chooses, so that sets sharing a sampled n-gram meet in a child bucket. Splitting ends when a bucket is
-small or no longer shrinks; then all pairs of the bucket are verified on the whole sets, each pair only in the first bucket that its two sets share. As many runs
-are made as the target recall needs. A bucket that stays large is verified in pairs of blocks of a bounded size.
+small or no longer shrinks; then all pairs of the bucket are compared, each pair only in the first bucket that its two sets share. As many runs
+are made as the target recall needs. Pairs whose samples agree too rarely for the threshold are dismissed; the sets of the others are verified as a whole.
+A bucket that stays large is compared in pairs of blocks of a bounded size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +30,12 @@ BRANCH = 2
 #: Buckets of at most this many sets are verified; larger ones are split up to DEPTH levels.
 SMALL_BUCKET = 48
 DEPTH = 4
-#: Sets of a large bucket that one task holds from either side of a pair of blocks.
-BLOCK = 512
-#: Bytes of an n-gram's hash that travel to the verification.
-PACKED = 6
+#: Sets of a large bucket, and n-grams in all of them, that one task holds at about from either side of a pair of blocks.
+BLOCK, BLOCK_NGRAMS = 4_096, 2_000_000
+#: Bytes of an n-gram's hash that travel to the verification; 8 are all of it.
+HASH_BYTES = 8
+#: Share of the pairs at the threshold that the comparison of samples may dismiss.
+SAMPLE_MISS = 1e-5
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,17 +56,30 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+def _agreeing(similarity: float) -> np.ndarray:
+    """Chance that 0 to COORDINATES samples of two sets of that similarity agree."""
+    return np.array([math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(COORDINATES + 1)])
+
+
 def runs_for(recall: float, similarity: float) -> int:
-    """Runs after which a pair at the threshold has met with probability ``recall``."""
-    miss = 0.0
+    """Runs after which a pair at the threshold has met with probability ``recall``; all runs draw on the same samples."""
+    share, miss = np.arange(COORDINATES + 1) / COORDINATES, np.zeros(COORDINATES + 1)
     for _ in range(DEPTH):  # a path is lost if no chosen coordinate agrees, or all that agree are lost later
-        miss = (1 - similarity + similarity * miss) ** BRANCH
-    return max(1, int(np.ceil(np.log(1 - recall) / np.log(miss))))
+        miss = (1 - share + share * miss) ** BRANCH
+    chance, runs = _agreeing(similarity), 1
+    while (chance * miss**runs).sum() > 1 - recall and runs < 64:
+        runs += 1
+    return runs
+
 
+def least_agreeing(similarity: float) -> int:
+    """Samples that agree in all but SAMPLE_MISS of the pairs at the threshold."""
+    return int(np.searchsorted(np.cumsum(_agreeing(similarity)), SAMPLE_MISS))
 
-def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+
+def _texts(batch: pa.RecordBatch, column: str = "w") -> Iterator[np.ndarray]:
     """The word hashes of each row from a list column."""
-    hashes = batch.column(1)
+    hashes = batch.column(batch.schema.get_field_index(column))
     flat = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     ends = np.concatenate([[0], np.cumsum(np.asarray(hashes.value_lengths().fill_null(0)))])
     for a, b in zip(ends[:-1], ends[1:]):
@@ -77,7 +93,7 @@ def _fingerprints(s: np.ndarray, w: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(rows: DataFrame, n: int) -> DataFrame:
-    """row, n_shingles, f1, f2 (fingerprints of the set) and sig (its COORDINATES min-wise samples) for rows (row, word hashes)."""
+    """row, t, n_shingles, f1, f2 (fingerprints of the set) and sig (its COORDINATES min-wise samples) for rows (row, t, w word hashes)."""
     salts = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _MIX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,36 +103,36 @@ def signatures(rows: DataFrame, n: int) -> DataFrame:
                 s = shingles(w, n)
                 size.append(len(s))
                 prints.append(_fingerprints(s, w))
-                sig.append(((s[None, :] ^ salts[:, None]) * _MIX >> np.uint64(32)).min(1).astype(np.uint32).view(np.int32) if len(s) else np.zeros(0, np.int32))
+                # A sample at a time, so that a very long text takes no more than a few times its own length.
+                sig.append(np.array([((s ^ salt) * _MIX >> np.uint64(32)).min() for salt in salts]).astype(np.uint32).view(np.int32) if len(s) else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int32()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
-                ["row", "n_shingles", "f1", "f2", "sig"],
+                [*batch.columns[:2], pa.array(size, pa.int32()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
+                ["row", "t", "n_shingles", "f1", "f2", "sig"],
             )
 
-    return rows.mapInArrow(run, "row long, n_shingles int, f1 long, f2 long, sig array<int>")
+    return rows.mapInArrow(run, "row long, t long, n_shingles int, f1 long, f2 long, sig array<int>")
 
 
-def whole(rows: DataFrame, n: int) -> DataFrame:
-    """(rep, s): first fingerprint and packed n-gram hashes of rows (row, word hashes)."""
+def whole(rows: DataFrame, n: int, hash_bytes: int) -> DataFrame:
+    """(rep, s): packed n-gram hashes of rows (rep, w word hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [(shingles(w, n), w) for w in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([_fingerprints(s, w)[0] for s, w in both], pa.int64()), pa.array([_packed(s) for s, _ in both], pa.binary())], ["rep", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(shingles(w, n), hash_bytes) for w in _texts(batch)], pa.binary())], ["rep", "s"])
 
     return rows.mapInArrow(run, "rep long, s binary")
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """The upper PACKED bytes of each hash, which tell the n-grams of two texts apart but for some 1 in 10**9 pairs of a thousand words."""
-    short = np.unique(s >> np.uint64(8 * (8 - PACKED)))
-    return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+def _packed(s: np.ndarray, hash_bytes: int) -> bytes:
+    """The upper ``hash_bytes`` of each hash; six tell the n-grams of two texts apart but for some 1 in 10**9 pairs of a thousand words."""
+    short = np.unique(s >> np.uint64(8 * (8 - hash_bytes)))
+    return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :hash_bytes].tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    short = np.frombuffer(data, np.uint8).reshape(-1, PACKED)
+def _unpacked(data: bytes, hash_bytes: int) -> np.ndarray:
+    short = np.frombuffer(data, np.uint8).reshape(-1, hash_bytes)
     wide = np.zeros((len(short), 8), np.uint8)
-    wide[:, :PACKED] = short
+    wide[:, :hash_bytes] = short
     return wide.view("<u8").ravel()
 
 
@@ -125,25 +141,25 @@ def _word_hashes(text: Column) -> Column:
 
 
 def _split(paths: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Children of (path, rep, parent_size): BRANCH coordinates, chosen by a hash of the path, and the set's values there."""
+    """Children of (path, rep, size): BRANCH coordinates, chosen by a hash of the path, and the set's values there."""
     joined = paths.join(sigs, "rep")
     picks = [F.pmod(F.xxhash64("path", F.lit(i)), F.lit(COORDINATES)) for i in range(BRANCH)]
     picks[1] = F.pmod(picks[0] + 1 + F.pmod(F.xxhash64("path", F.lit(1)), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
     child = F.explode(F.array(*[F.xxhash64("path", p, F.get("sig", p.cast("int"))) for p in picks]))
-    return joined.select(child.alias("path"), "rep", "size").withColumnRenamed("size", "parent_size")
+    return joined.select(child.alias("path"), "rep", F.col("size").alias("parent_size"), "n_shingles")
 
 
 def leaf_buckets(sigs: DataFrame, runs: int) -> DataFrame:
-    """(path, rep, size): the buckets of two or more sets in which splitting ended."""
+    """(path, rep, size, ngrams): the buckets of two or more sets in which splitting ended, with the n-grams in all of their sets."""
     total = sigs.count()
     roots = sigs.select("rep").withColumn("path", F.explode(F.array(*[F.xxhash64(F.lit("run"), F.lit(i)) for i in range(runs)]))).withColumn("size", F.lit(total).cast("long"))
     level, leaves = roots, None
     for depth in range(DEPTH):
         children = common.materialize(_split(level, sigs), "paths")
-        sizes = common.materialize(children.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path-sizes")
+        sizes = common.materialize(children.groupBy("path").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("ngrams")).filter("size > 1"), "path-sizes")
         sized = common.materialize(common.join_heavy(children, sizes, ["path"], "size"), "sized-paths")
         done = (F.col("size") <= SMALL_BUCKET) | (F.col("size") * 2 > F.col("parent_size")) if depth < DEPTH - 1 else F.lit(True)
-        here = sized.filter(done).select("path", "rep", "size")
+        here = sized.filter(done).select("path", "rep", "size", "ngrams")
         leaves = here if leaves is None else leaves.unionByName(here)
         level = sized.filter(~done).select("path", "rep", "size")
         if depth < DEPTH - 1 and level.isEmpty():
@@ -160,83 +176,147 @@ def distinct_buckets(leaves: DataFrame) -> DataFrame:
     return common.materialize(few.join(kept, "path").unionByName(leaves.filter(F.col("size") > SMALL_BUCKET)), "kept-leaves")
 
 
-def _verify(sets: list[np.ndarray], paths: list[np.ndarray], here: int, other: list[int], similarity: float) -> list[tuple[int, int]]:
-    """Pairs (i, j) of similar sets whose first common bucket is ``here``; ``other`` is 0 or 1 by block, 2 where both blocks are one."""
-    n = len(sets)
-    lens = np.array([len(s) for s in sets])
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each key (the first ``n_keys`` long columns) of a stream that is sorted by them."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows - 1, bool)
+        for i in range(n_keys):
+            new |= np.diff(batch.column(i).to_numpy()) != 0
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(a, b - a)
+        rest = batch.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+class _Bucket:
+    """The sets of a bucket, or of two of its blocks, and which pairs of them are its own: those whose first common bucket it is."""
+
+    def __init__(self, rows: pa.RecordBatch, similarity: float):
+        column = lambda name: rows.column(rows.schema.get_field_index(name))
+        a, b, here = column("a")[0].as_py(), column("b")[0].as_py(), column("path")[0].as_py()
+        order = np.argsort(column("rep").to_numpy())
+        self.order, self.reps = order, column("rep").to_numpy()[order]
+        self.lens = column("n_shingles").to_numpy()[order].astype(np.int64)
+        self.side = None if a == b else column("block").to_numpy()[order] == b
+        self.n, self.similarity = len(order), similarity
+        # A bucket that both sets have and that sorts before this one has seen the pair.
+        lists = column("paths")
+        ends, flat = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), lists.flatten().to_numpy()
+        owner, earlier = np.repeat(np.arange(self.n), np.diff(ends)), flat < here
+        names, coded = np.unique(flat[earlier], return_inverse=True)
+        shared = np.bincount(coded, minlength=len(names)) > 1
+        place = np.cumsum(shared) - 1
+        kept = shared[coded] if len(names) else np.zeros(0, bool)
+        has = np.zeros((self.n, int(shared.sum())), np.float32)
+        has[owner[earlier][kept], place[coded[kept]]] = 1
+        self.has = has[order]
+
+    def own(self, i: int) -> np.ndarray:
+        """Which later sets make a pair of this bucket with set ``i``, by earlier buckets, blocks and sizes."""
+        later = np.arange(self.n) > i
+        if self.has.shape[1]:
+            later &= (self.has @ self.has[i]) == 0
+        if self.side is not None:
+            later &= self.side != self.side[i]
+        return later & (np.minimum(self.lens, self.lens[i]) >= self.similarity * np.maximum(self.lens, self.lens[i]))
+
+
+def _plausible(bucket: _Bucket, sig: np.ndarray, least: int) -> np.ndarray:
+    """Which sets have a pair in the bucket whose samples agree in ``least`` places."""
+    found = np.zeros(bucket.n, bool)
+    for i in range(bucket.n - 1):
+        js = np.flatnonzero(bucket.own(i))
+        if len(js):
+            js = js[(sig[js] == sig[i]).sum(1) >= least]
+            found[js] = True
+            found[i] |= bool(len(js))
+    return found
+
+
+def _verify(bucket: _Bucket, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(new links of each set, the least set of its linked part of the bucket)."""
+    n, lens = bucket.n, np.array([len(s) for s in sets])
     ends = np.concatenate([[0], np.cumsum(lens)])
-    flat = np.concatenate(sets)
-    _, flat = np.unique(flat, return_inverse=True)
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(flat.max() + 1 if len(flat) else 1, np.int32)
-    width = max(map(len, paths))
-    earlier = np.full((n, width), np.iinfo(np.int64).max)
-    for i, p in enumerate(paths):
-        p = p[p < here]
-        earlier[i, : len(p)] = p
-    # A bucket that both sets have and that sorts before this one has seen the pair.
-    names, coded = np.unique(earlier, return_inverse=True)
-    coded = coded.reshape(n, width)
-    has = np.zeros((n, len(names)), bool)
-    np.put_along_axis(has, coded, True, 1)
-    has[:, names == np.iinfo(np.int64).max] = False
-    has = has[:, has.any(0)].astype(np.float32)
-    side, out = np.array(other), []
-    for i in range(n):
-        new = np.ones(n, bool) if not has.shape[1] else (has @ has[i]) == 0
-        new &= (np.arange(n) > i) & ((side[i] == 2) | (side != side[i]))
-        new &= (np.minimum(lens, lens[i]) >= similarity * np.maximum(lens, lens[i]))
-        if not new.any():
+    links, least = np.zeros(n, np.int64), list(range(n))
+
+    def root(i: int) -> int:
+        while least[i] != i:
+            least[i] = least[least[i]]
+            i = least[i]
+        return i
+
+    for i in range(n - 1):
+        js = np.flatnonzero(bucket.own(i))
+        if not len(js):
             continue
         mine = flat[ends[i] : ends[i + 1]]
         mark[mine] = 1
-        js = np.flatnonzero(new)
         if len(js) * 4 > n:
-            common_n = np.add.reduceat(mark[flat], ends[:-1])[js]
+            shared = np.add.reduceat(mark[flat], ends[:-1])[js]
         else:
-            common_n = np.array([mark[flat[ends[j] : ends[j + 1]]].sum() for j in js])
+            shared = np.array([mark[flat[ends[j] : ends[j + 1]]].sum() for j in js])
         mark[mine] = 0
-        union = lens[i] + lens[js] - common_n
-        out += [(i, int(j)) for j in js[common_n >= similarity * union - 1e-9]]
-    return out
+        js = js[shared >= bucket.similarity * (lens[i] + lens[js] - shared) - 1e-9]
+        links[js] += 1
+        links[i] += len(js)
+        for j in js.tolist():
+            x, y = root(i), root(j)
+            least[max(x, y)] = min(x, y)
+    return links, np.array([root(i) for i in range(n)], np.int64)
 
 
-def similar_links(leaves: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(rep, links, least): per set and bucket, its new similar sets and the least set of its linked part of the bucket.
+def candidate_sets(leaves: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
+    """(path, a, b, block, rep, n_shingles, paths): the sets of a bucket, or of two of its blocks, that may be similar to another one there.
 
-    ``leaves(path, rep, size)``; ``sets(rep, s)`` packed n-gram hashes. The rows grow with the sets, not with the pairs.
+    ``leaves(path, rep, size, ngrams)``; ``sigs(rep, n_shingles, sig)``.
     """
     paths = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("path")).alias("paths"))  # a set has a bounded number of paths
-    # A pair can only be new in a bucket; blocks: block a meets block b for a <= b.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = leaves.withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(17)), F.col("n_blocks")).cast("int"))
-    rows = rows.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("a"), F.greatest(b, F.col("block")).alias("b")))))
-    rows = rows.join(sets.join(paths, "rep"), "rep").select("path", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "block", "rep", "s", "paths")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pd.DataFrame({"rep": [], "links": [], "least": []})
-        pdf = pdf.sort_values("rep")
-        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-        reps = pdf["rep"].to_numpy()
-        side = [2] * len(pdf) if a == b else (pdf["block"] == b).astype(int).tolist()
-        pairs = _verify([_unpacked(x) for x in pdf["s"]], [np.asarray(x, np.int64) for x in pdf["paths"]], int(pdf["path"].iloc[0]), side, similarity)
-        links, least = np.zeros(len(pdf), np.int64), list(range(len(pdf)))
-
-        def root(i: int) -> int:
-            while least[i] != i:
-                least[i] = least[least[i]]
-                i = least[i]
-            return i
-
-        for i, j in pairs:
-            links[i] += 1
-            links[j] += 1
-            x, y = root(i), root(j)
-            least[max(x, y)] = min(x, y)
-        some = np.flatnonzero(links)
-        return pd.DataFrame({"rep": reps[some], "links": links[some], "least": reps[[root(i) for i in some]] if len(some) else reps[:0]})
+    # Blocks: block a meets block b for a <= b.
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("ngrams") / BLOCK_NGRAMS)).cast("int")
+    rows = leaves.withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(17)), F.col("n_blocks")))
+    rows = rows.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: F.struct(F.least(b.cast("long"), F.col("block")).alias("a"), F.greatest(b.cast("long"), F.col("block")).alias("b")))))
+    rows = rows.join(sigs.join(paths, "rep"), "rep").select("path", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "block", "rep", "n_shingles", "paths", "sig")
+    least = least_agreeing(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            if rows.num_rows > 1:
+                bucket = _Bucket(rows, similarity)
+                sig = rows.column(7).flatten().to_numpy().reshape(-1, COORDINATES)[bucket.order]
+                found = bucket.order[_plausible(bucket, sig, least)]
+                if len(found):
+                    yield rows.select(range(7)).take(pa.array(np.sort(found)))
+
+    dealt = rows.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b")
+    return dealt.mapInArrow(run, "path long, a long, b long, block long, rep long, n_shingles int, paths array<long>")
+
+
+def similar_links(candidates: DataFrame, sets: DataFrame, similarity: float, hash_bytes: int) -> DataFrame:
+    """(rep, links, least): per candidate and bucket, its new similar sets and the least set of its linked part of the bucket.
+
+    ``candidates`` as of ``candidate_sets``; ``sets(rep, s)`` packed n-gram hashes. The rows grow with the sets, not with the pairs.
+    """
+    rows = candidates.join(sets, "rep").select("path", "a", "b", "block", "rep", "n_shingles", "paths", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            bucket = _Bucket(rows, similarity)
+            packed = rows.column(7)
+            links, least = _verify(bucket, [_unpacked(packed[int(i)].as_py(), hash_bytes) for i in bucket.order])
+            some = np.flatnonzero(links)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.reps[some]), pa.array(links[some]), pa.array(bucket.reps[least[some]])], ["rep", "links", "least"])
 
-    return rows.groupBy("path", "a", "b").applyInPandas(run, "rep long, links long, least long")
+    return rows.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b").mapInArrow(run, "rep long, links long, least long")
 
 
 def components(edges: DataFrame, nodes: str = "rep") -> DataFrame:
@@ -257,35 +337,65 @@ def components(edges: DataFrame, nodes: str = "rep") -> DataFrame:
             return edges.select(F.col("u").alias(nodes), F.col("v").alias("root"))
 
 
-def similarity_classes(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
-    """Row-wise result for ``docs(doc_id, text)``: doc_id, class_id, copy_id, n_links.
+def _text_hash(text: Column) -> Column:
+    """Tells the rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
-    Documents with the same set of n-grams are copies: copy_id is their least doc_id. n_links counts the other sets (different texts) at
-    ``similarity`` or more; class_id is the least doc_id of all that links and copies connect. Texts shorter than n words are copies only of
-    texts with the same words; a null text counts as empty, and all texts without a word are copies. Repeated rows are kept; a null doc_id keeps its row
-    with its own class null. Other columns are ignored.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("row"), _word_hashes(F.col("text")).alias("w"))
+
+def _classes(docs: DataFrame, n: int, similarity: float, recall: float, hash_bytes: int) -> DataFrame:
+    """row, t (hash of the text), class_key, class_id, copy_id, n_links of each row; class_key is unique to a class."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("row"), _text_hash(F.col("text")).alias("t"), _word_hashes(F.col("text")).alias("w"))
     signed = common.materialize(signatures(rows, n), "signatures")
-    # Copies are combined before the shuffle; f1 stands for their set from here on.
-    sets = signed.groupBy("f1", "f2", "n_shingles").agg(F.count("*").alias("n_rows"), F.min("row").alias("copy_id"), F.min_by("sig", "row").alias("sig"))
-    sets = common.materialize(sets, "sets")
-    sigs = sets.filter((F.col("n_shingles") > 0) & F.col("copy_id").isNotNull()).select(F.col("f1").alias("rep"), "sig")
+    # Copies are combined before the shuffle. Two fingerprints and a size tell sets apart; rep is the number of a set, so that none are mixed up from here on.
+    first = F.min(F.when(F.col("row").isNotNull(), F.struct("row", "t"))).alias("first")
+    sets = signed.groupBy("f1", "f2", "n_shingles").agg(F.count("*").alias("n_rows"), first, F.min_by("sig", "row").alias("sig"))
+    sets = common.materialize(sets.select("f1", "f2", "n_shingles", "n_rows", F.col("first.row").alias("copy_id"), F.col("first.t").alias("copy_t"), "sig", F.monotonically_increasing_id().alias("rep")), "sets")
+    sigs = sets.filter((F.col("n_shingles") > 0) & F.col("copy_id").isNotNull()).select("rep", "n_shingles", "sig")
     leaves = leaf_buckets(sigs, runs_for(recall, similarity))
-    needed = leaves.select("rep").distinct().join(sets.select(F.col("f1").alias("rep"), "copy_id"), "rep").select(F.col("copy_id").alias("row")).distinct()
+    candidates = common.materialize(candidate_sets(leaves, sigs, similarity), "candidates")
+    needed = sets.join(candidates.select("rep").distinct(), "rep", "left_semi").select(F.col("copy_id").alias("row"), F.col("copy_t").alias("t"), "rep")
     needed = common.materialize(needed, "needed")
-    wanted = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
-    wanted = common.join_hot(wanted, needed, ["row"], "inner", F.col("text"), 4_000_000).select("row", _word_hashes(F.col("text")).alias("w"))
-    whole_sets = whole(wanted, n)
-    if common.join_hot(signed.select("row", "f1"), needed, ["row"], "inner", F.col("f1"), 4_000_000).count() > needed.count():  # a doc_id on several rows
+    wanted = docs.select(F.col("doc_id").cast("long").alias("row"), _text_hash(F.col("text")).alias("t"), "text")
+    wanted = common.join_hot(wanted, needed, ["row", "t"], "inner", F.col("text"), 4_000_000).select("rep", _word_hashes(F.col("text")).alias("w"))
+    whole_sets = whole(wanted, n, hash_bytes)
+    if common.join_hot(signed.select("row", "t"), needed, ["row", "t"], "inner", F.col("t"), 4_000_000).count() > needed.count():  # the same row more than once
         whole_sets = common.materialize(whole_sets, "whole-sets").dropDuplicates(["rep"])
-    links = common.materialize(similar_links(leaves, whole_sets, similarity), "links")
+    links = common.materialize(similar_links(candidates, whole_sets, similarity, hash_bytes), "links")
     roots = components(links.select(F.col("rep").alias("u"), F.col("least").alias("v")))
     counted = links.groupBy("rep").agg(F.sum("links").alias("n_links")).join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    linked = sets.select(F.col("f1").alias("rep"), "copy_id").join(counted, "rep")
+    linked = sets.select("rep", "copy_id").join(counted, "rep")
     named = common.materialize(linked.groupBy("root").agg(F.min("copy_id").alias("class_id")), "class-names")
-    linked = common.join_hot(linked, named, ["root"], "inner", F.col("rep")).select(F.col("rep").alias("f1"), "class_id", "n_links")
-    classes = sets.drop("sig").join(linked, "f1", "left").withColumn("class_id", F.coalesce("class_id", "copy_id")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    linked = common.join_hot(linked, named, ["root"], "inner", F.col("rep")).select("rep", "root", "class_id", "n_links")
+    classes = sets.drop("sig", "copy_t").join(linked, "rep", "left").select(
+        "f1", "f2", "n_shingles", "n_rows", "copy_id", F.coalesce("root", "rep").alias("class_key"), F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
     classes = common.materialize(classes, "classes")
-    joined = common.join_heavy(signed.drop("sig"), classes, ["f1", "f2", "n_shingles"], "n_rows")
-    return joined.select(F.col("row").alias("doc_id"), "class_id", "copy_id", "n_links")
+    return common.join_heavy(signed.drop("sig"), classes, ["f1", "f2", "n_shingles"], "n_rows").select("row", "t", "class_key", "class_id", "copy_id", "n_links")
+
+
+def similarity_classes(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = TARGET_RECALL, hash_bytes: int = HASH_BYTES) -> DataFrame:
+    """Row-wise result for ``docs(doc_id, text)``: doc_id, class_id, copy_id, n_links.
+
+    Documents with the same set of n-grams are copies: copy_id is their least doc_id. n_links counts the other sets (different texts) at
+    ``similarity`` or more; class_id is the least doc_id of all that links and copies connect. Texts shorter than n words are copies only of
+    texts with the same words; a null text counts as empty, and all texts without a word are copies. Repeated rows are kept; a null doc_id keeps its row
+    with its own class null. Long texts take part whole. Other columns are ignored; an empty table gives an empty result.
+    """
+    return _classes(docs, n, similarity, recall, hash_bytes).select(F.col("row").alias("doc_id"), "class_id", "copy_id", "n_links")
+
+
+def first_of_classes(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = TARGET_RECALL, hash_bytes: int = HASH_BYTES) -> DataFrame:
+    """One row of ``docs(doc_id, text, ...)`` of each class of near duplicates, with all its columns: the one with the least doc_id.
+
+    Where several texts of a class bear that id, one of them stays, and so does one of rows that repeat. Rows without a doc_id take no part and stay.
+    """
+    found = common.materialize(_classes(docs, n, similarity, recall, hash_bytes).filter("row is not null").select("row", "t", "class_key"), "class-rows")
+    kept = found.groupBy("class_key").agg(F.min(F.struct("row", "t")).alias("r")).select("r.*").distinct()
+    row, t = common.free(docs, "row", "t")
+    kept = common.materialize(kept.select(F.col("row").alias(row), F.col("t").alias(t)), "kept-rows")
+    keyed = docs.filter(F.col("doc_id").isNotNull()).withColumns({row: F.col("doc_id").cast("long"), t: _text_hash(F.col("text"))})
+    out = common.join_hot(keyed, kept, [row, t], "inner", F.col(t), 4_000_000)
+    repeated = common.join_hot(found.select(F.col("row").alias(row), F.col("t").alias(t)), kept, [row, t], "left_semi", F.col(t), 4_000_000).count() > kept.count()
+    if repeated:
+        out = out.dropDuplicates([row, t])
+    return out.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
