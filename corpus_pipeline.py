@@ -15,38 +15,60 @@ from trovelight.llm import common, jaccard, langid, mixing, packing, queries, to
 TARGET_ENTROPY, MOST_REPEATS = 0.93, 4.0
 
 
+@common.lean_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; null, blank and letterless texts go."""
+    """Documents whose language is recognised.
+
+    Null, empty and letterless texts are rejected and go. Long texts are read whole; repeated rows share a verdict; further columns stay. An empty
+    table stays empty.
+    """
     model = langid.fit(docs.filter(common.doc_remainder("doc_id", 5) != 0))
     kept = docs.columns
-    return langid.identify(docs, model, kept, ("__lang", "__score", "__rejected")).filter(~F.col("__rejected")).select(*kept)
+    names = common.free(docs, "lang_pred", "score", "rejected")
+    return langid.identify(docs, model, kept, names).filter(~F.col(names[2])).select(*kept)
 
 
+@common.lean_batches
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold."""
+    """Documents that score below the threshold.
+
+    Null and empty texts score as what they are, texts without a word, and long ones as a whole; repeated rows share a verdict; a null doc_id has no label
+    and is scored like any other. Further columns stay. Without labelled rows nothing is learnt and all stay. An empty table stays empty.
+    """
     labels = common.table(spark, sf_dir, "labels").filter(common.doc_remainder("doc_id", 3) != 1)
     kept = docs.columns
-    return toxicity.score(docs, toxicity.fit(docs, labels), kept, "__score").filter(F.col("__score") < toxicity.THRESHOLD).select(*kept)
+    (name,) = common.free(docs, "score")
+    return toxicity.score(docs, toxicity.fit(docs, labels), kept, name).filter(F.col(name) < toxicity.THRESHOLD).select(*kept)
 
 
+@common.lean_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the least doc_id. Rows without a doc_id stay."""
-    found = jaccard.similarity_classes(docs).filter(F.col("doc_id") == F.col("class_id"))
-    kept = common.materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
-    out = common.join_hot(docs.filter(F.col("doc_id").isNotNull()), kept.select("doc_id"), ["doc_id"], "inner", F.col("text"), 4_000_000)
-    if kept.filter("n > 1").isEmpty():
-        return out.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
-    return out.select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each class of near duplicates: the one with the least doc_id.
+
+    Null and empty texts are copies of each other; repeated rows are copies too, so one stays. Rows without a doc_id take no part and stay. Rows that share a
+    doc_id but differ in text are told apart. Further columns stay. An empty table stays empty.
+    """
+    return jaccard.first_of_classes(docs)
 
 
+@common.lean_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; every document stays at least once, those of small sources more often."""
+    """Sources at their target weights; every document stays at least once, those of small sources more often.
+
+    A null source is a source of its own, ''. Texts without a word cost nothing and stay. Repeated rows are drawn alike. Further columns stay. An empty table
+    stays empty.
+    """
     rows, _ = mixing.mix(docs, TARGET_ENTROPY, MOST_REPEATS)
     return rows.select(*docs.columns)
 
 
+@common.lean_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences.
+
+    A null or empty text is its end id alone; longer ones than a sequence are cut, so nothing is lost. Repeated rows are packed as often as they occur. Other columns are
+    ignored. An empty table gives an empty result.
+    """
     pieces = common.materialize(tokens.tokenized_pieces(docs, queries.tokenizer_path(), queries.SEQUENCE_TOKENS), "pieces")
     placed = packing.pack(pieces, queries.SEQUENCE_TOKENS)
     return pieces.join(placed, "item_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
