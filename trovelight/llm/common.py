@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only when its measured rows are at most this many.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 #: Rows and bytes of an Arrow batch that carries whole texts.
 TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 1_000, 8 << 20
 

@@ -356,9 +356,9 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float, hash_byt
     needed = sets.join(candidates.select("rep").distinct(), "rep", "left_semi").select(F.col("copy_id").alias("row"), F.col("copy_t").alias("t"), "rep")
     needed = common.materialize(needed, "needed")
     wanted = docs.select(F.col("doc_id").cast("long").alias("row"), _text_hash(F.col("text")).alias("t"), "text")
-    wanted = common.join_hot(wanted, needed, ["row", "t"], "inner", F.col("text"), 4_000_000).select("rep", _word_hashes(F.col("text")).alias("w"))
+    wanted = wanted.join(common.maybe_broadcast(needed), ["row", "t"]).select("rep", _word_hashes(F.col("text")).alias("w"))
     whole_sets = whole(wanted, n, hash_bytes)
-    if common.join_hot(signed.select("row", "t"), needed, ["row", "t"], "inner", F.col("t"), 4_000_000).count() > needed.count():  # the same row more than once
+    if signed.select("row", "t").join(common.maybe_broadcast(needed), ["row", "t"]).count() > needed.count():  # the same row more than once
         whole_sets = common.materialize(whole_sets, "whole-sets").dropDuplicates(["rep"])
     links = common.materialize(similar_links(candidates, whole_sets, similarity, hash_bytes), "links")
     roots = components(links.select(F.col("rep").alias("u"), F.col("least").alias("v")))
@@ -394,8 +394,7 @@ def first_of_classes(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMI
     row, t = common.free(docs, "row", "t")
     kept = common.materialize(kept.select(F.col("row").alias(row), F.col("t").alias(t)), "kept-rows")
     keyed = docs.filter(F.col("doc_id").isNotNull()).withColumns({row: F.col("doc_id").cast("long"), t: _text_hash(F.col("text"))})
-    out = common.join_hot(keyed, kept, [row, t], "inner", F.col(t), 4_000_000)
-    repeated = common.join_hot(found.select(F.col("row").alias(row), F.col("t").alias(t)), kept, [row, t], "left_semi", F.col(t), 4_000_000).count() > kept.count()
-    if repeated:
+    out = keyed.join(common.maybe_broadcast(kept), [row, t])
+    if found.select(F.col("row").alias(row), F.col("t").alias(t)).join(common.maybe_broadcast(kept), [row, t], "left_semi").count() > kept.count():
         out = out.dropDuplicates([row, t])
     return out.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from trovelight.llm import common, tokens
 
-#: Bound of the fitted sample: documents per language (by hash of the row), and n-grams of each, evenly spread over its whole text.
-TRAIN_DOCS_PER_LANG = 1_500
+#: Bound of the fitted sample: documents over all languages, which share them alike (by hash of the row), and n-grams of each, evenly spread over its whole text.
+TRAIN_DOCS = 6_000
 TRAIN_NGRAMS = 1_000
 ORDERS = (2, 3, 4)
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 6, 4.0
@@ -117,15 +117,18 @@ def train(features: list[np.ndarray], labels: list[str], seed: int = 7) -> Model
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     lin, bias = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
     weight = len(fit) / len(langs) / np.maximum(np.bincount(y[fit], minlength=len(langs)), 1)
+    # An n-gram that a row holds often is looked up once.
+    rows = {i: np.unique(features[i], return_counts=True) for i in fit.tolist()}
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for i in rng.permutation(fit):
-            f = features[i]
-            mean = emb[f].mean(0)
+        for i in rng.permutation(fit).tolist():
+            f, times = rows[i]
+            share = (times / len(features[i])).astype(np.float32)
+            mean = share @ emb[f]
             g = softmax((mean @ lin + bias)[None])[0]
             g[y[i]] -= 1
             g *= weight[y[i]]
-            np.add.at(emb, f, -(rate / len(f) * (lin @ g)).astype(np.float32))
+            emb[f] -= np.outer(share, (rate * (lin @ g)).astype(np.float32))
             lin -= 0.1 * rate * np.outer(mean, g)
             bias -= 0.02 * rate * g
     model = Model(langs, (emb @ lin).astype(np.float32), bias)
@@ -149,8 +152,11 @@ def sample_by(docs: DataFrame, label: str, per_label: int, key: str) -> DataFram
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """Learn from ``docs(doc_id, text, lang)``; rows with a null lang or without a letter don't count. None if there are none."""
+    """Learn from ``docs(doc_id, text, lang)``; rows with a null lang or without a letter don't count. None if there are none.
 
+    Of a repeated row, all or none are in the sample; of a doc_id with two languages, both rows may be. Long texts give n-grams from all of their length. The driver holds at most about
+    TRAIN_DOCS rows of TRAIN_NGRAMS numbers, however many languages there are.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,13 +171,17 @@ def fit(docs: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.list_(pa.int32()))], ["lang", "features"])
 
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    labelled = sample_by(rows.select("doc_id", "lang"), "lang", TRAIN_DOCS_PER_LANG, "doc_id")
-    ids = labelled.select("doc_id", "lang").distinct()  # bounded by TRAIN_DOCS_PER_LANG per language
-    chosen = rows.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("lang", "text")
-    got = chosen.mapInArrow(features, "lang string, features array<int>").toArrow()
+    langs = rows.agg(F.count_distinct("lang")).first()[0]
+    labelled = sample_by(rows.select("doc_id", "lang"), "lang", max(1, TRAIN_DOCS // max(1, langs)), "doc_id")
+    ids = labelled.select("doc_id", "lang").distinct()  # at most about TRAIN_DOCS, or one for each language
+    chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
+    got = chosen.mapInArrow(features, "lang string, features array<int>").toArrow().combine_chunks()
     if not got.num_rows:
         return None
-    table = sorted(zip(got["lang"].to_pylist(), (np.array(x, np.int64) for x in got["features"].to_pylist())), key=lambda x: (x[0], x[1][:32].tolist(), len(x[1])))
+    lists = got["features"].combine_chunks() if isinstance(got["features"], pa.ChunkedArray) else got["features"]
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    table = sorted(zip(got["lang"].to_pylist(), (flat[a:b] for a, b in zip(ends[:-1], ends[1:]))), key=lambda x: (x[0], x[1][:32].tolist(), len(x[1])))
     return train([f for _, f in table], [lang for lang, _ in table])
 
 
