@@ -28,7 +28,7 @@ def test_block_splitter(spark):
     assert [(r.type, r.content_text, r.start_line, r.end_line) for r in rows] == [("heading", "A", 1, 2), ("paragraph", "para one\nline two", 3, 6 - 1), ("code", "```py\nx", 7, 9), ("paragraph", "y\n```", 10, 12)]
 
 
-@pytest.mark.parametrize("text,n", [("", 1), ("python", 2), ("安装指南", 3), ("安装 Ordi 需要 Python", 6)])
+@pytest.mark.parametrize("text,n", [("", 1), ("python", 2), ("安装指南", 3), ("启动 Demo 之前 Python", 6)])
 def test_token_estimate(spark, text, n):
     assert one(spark, T.token_estimate(F.col("t"), "ceil"), t=text) == n
 
@@ -43,7 +43,7 @@ def test_hash_embedding(spark):
     assert one(spark, V.cosine(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == 0.0
 
 
-CORPUS = [("a", "Install guide", "Install guide / paragraph 1", "python is needed to install"), ("b", "Other", "Other / paragraph 1", "python python fast api"), ("d", "安装指南", "安装指南 / heading 1", "安装 Ordo 需要 python。如何安装"), ("c", "Misc", "Misc / heading 1", "nothing here at all"), ("e", "Zed", "Zed / x 1", "café naïve"), ("f", "Yed", "Yed / x 1", "foo-bar v1.2")]
+CORPUS = [("a", "Install guide", "Install guide / paragraph 1", "python is needed to install"), ("b", "Other", "Other / paragraph 1", "python python fast api"), ("d", "安装指南", "安装指南 / heading 1", "安装 Demo 需要 python。如何安装"), ("c", "Misc", "Misc / heading 1", "nothing here at all"), ("e", "Zed", "Zed / x 1", "café naïve"), ("f", "Yed", "Yed / x 1", "foo-bar v1.2")]
 
 
 def test_bm25_scores_and_terms(spark):
@@ -74,18 +74,27 @@ def test_answers(spark):
     q = spark.createDataFrame([("q", "x"), ("r", "y")], "query_id string, query string")
     ev = spark.createDataFrame([("q", True, 1, "First. Second."), ("q", True, 2, "No stop")], "query_id string, selected boolean, ordinal int, content string")
     got = {r.query_id: (r.answer, list(r.citations), r.status, r.valid) for r in S.validate_citations(S.extractive_answers(ev, q), ev).collect()}
-    assert got == {"q": ("First.[1] No stop。[2]", [1, 2], "sufficient", True), "r": ("insufficient evidence", [], "insufficient", True)}
+    assert got == {"q": (T.BY_EVIDENCE + "\n\nFirst. [1]\n\nNo stop。 [2]", [1, 2], "sufficient", True), "r": (T.NO_EVIDENCE, [], "insufficient", True)}
 
 
 @pytest.mark.parametrize("column,value,want", [
     (lambda c: T.mask_sensitive(c), "a@b.org 13812345678 token=abc 4213812345678000", "[EMAIL] [PHONE] [CREDENTIAL] 4213812345678000"),
-    (lambda c: T.redact(c), "postgres://u:pw@h/db password: x", "postgres://[REDACTED]@h/db [REDACTED]"),
+    (lambda c: T.redact(c), "postgres://u:pw@h/db Password: x, Authorization=y", "[REDACTED_CONNECTION] Password=[REDACTED], Authorization=[REDACTED]"),
+    (lambda c: T.mask_sensitive(c), "password=a,b;c end", "[CREDENTIAL] end"),
+    (lambda c: T.human_size(F.length(c) * 0 + 1152 * 1024), "x", "1.12 MB"),
+    (lambda c: T.human_size(F.length(c) * 0 + 1000), "x", "0.98 KB"),
+    (lambda c: T.refuses(c).cast("string"), "我不知道", "true"),
+    (lambda c: T.vector_weight(c).cast("string"), "第一列", "0.9"),
+    (lambda c: T.first_sentence(c), "  a b\n c", "  a b\n c。"),
+    (lambda c: T.locator(F.struct(F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("slide"), F.lit(None).cast("string").alias("sheet"), F.length(c).alias("start"), F.lit(None).cast("int").alias("end"))), "abc", "第 3-3 行"),
+    (lambda c: T.iso_millis(F.timestamp_millis(F.length(c) + 1234)), "abc", "1970-01-01T00:00:01.237Z"),
     (lambda c: T.origin(c), "HTTPS://User@Example.org:443/a?b", "https://example.org"),
     (lambda c: T.origin(c), "http://h:8080/", "http://h:8080"),
     (lambda c: T.origin(c), "ftp://h/", None),
     (lambda c: T.csv_cell(c), 'a "b", c', '"a ""b"", c"'),
-    (lambda c: T.intent(c), "how to install it", "procedure"),
-    (lambda c: T.intent(c), "what is it", "fact"),
+    (lambda c: T.intent(c), "怎么做", "procedure"),
+    (lambda c: T.intent(c), "统计一下", "fact"),
+    (lambda c: T.intent(c), "how to install it", "knowledge_query"),
     (lambda c: T.language(c), "安装", "zh-CN"),
     (lambda c: T.fold(c), "café ß", "cafe ß"),
     (lambda c: T.stable_json(c), '{"b": 1, "a": {"d": 2, "c": null}}', '{"a":{"c":null,"d":2},"b":1}'),
@@ -117,7 +126,7 @@ def test_profile():
         config.normalise_weights(0, 0)
 
 
-@pytest.mark.parametrize("sql,ok", [("SELECT 1", True), ("WITH t AS (SELECT 1) SELECT * FROM t", True), ("SELECT 1;", True), ("DELETE FROM t", False), ("SELECT 1; SELECT 2", False), ("SELECT 1 -- x", False), ("SELECT * FROM t WHERE a='DROP'", False)])
+@pytest.mark.parametrize("sql,ok", [("SELECT 1", True), ("WITH t AS (SELECT 1) SELECT * FROM t", True), ("SELECT 1;", True), ("DELETE FROM t", False), ("SELECT 1; SELECT 2", False), ("SELECT 1 -- x", False), ("SELECT * FROM t WHERE a='DROP'", False), ("SELECT analyze FROM t", False), ("SELECT load_extension('x')", False), ("SELECT 1 */", False)])
 def test_sql_guard(sql, ok):
     if ok:
         connectors.guard(sql)
@@ -196,18 +205,22 @@ def test_revisions(spark):
 
 
 def test_audit_chain(spark):
-    rows, prev = [], "GENESIS"
     import hashlib
-
-    for i in range(6):
-        h = hashlib.sha256(f"{prev}|{i}|act{i}".encode()).hexdigest()
-        rows.append(("w", i, f"act{i}" if i != 3 else "changed", prev, h))
-        prev = h
-    ev = spark.createDataFrame(rows, "workspace_id string, seq int, action string, previous_hash string, event_hash string")
-    r = L.verify_chain(ev, "workspace_id", "seq", ["seq", "action"]).first()
-    assert (r.n_events, r.n_broken, r.first_broken, r.reason) == (6, 1, 3, "event_hash")
-    r = L.verify_chain(ev.filter("seq != 2"), "workspace_id", "seq", ["seq", "action"]).first()
-    assert (r.first_broken, r.reason) == (3, "previous_hash")
+    import json
+
+    events = spark.createDataFrame([("w", i, f"a\"ct{i}", '{"k":1}') for i in range(6)] + [("v", 1, None, "{}")], "workspaceId string, eventId int, action string, details string")
+    empty = events.limit(0).select("*", F.lit("").alias("previous_hash"), F.lit("").alias("event_hash"))
+    first = L.append_events(empty, events.filter("eventId < 3"), "workspaceId", "eventId", L.AUDIT_JSON)
+    chain = L.append_events(first, events.filter("eventId >= 3"), "workspaceId", "eventId", L.AUDIT_JSON)
+    prev = "GENESIS"
+    for r in chain.filter("workspaceId = 'w'").orderBy("eventId").collect():
+        body = json.dumps({"eventId": r.eventId, "workspaceId": "w", "action": r.action, "details": {"k": 1}, "previous": prev}, separators=(",", ":"))
+        assert (r.previous_hash, r.event_hash) == (prev, hashlib.sha256(body.encode()).hexdigest())
+        prev = r.event_hash
+    check = lambda c: {r.workspaceId: tuple(r)[1:] for r in L.verify_chain(c, "workspaceId", "eventId", L.AUDIT_JSON).collect()}
+    assert check(chain) == {"w": (6, 0, None, None), "v": (1, 0, None, None)}
+    assert check(chain.withColumn("action", F.when(F.col("eventId") == 3, "x").otherwise(F.col("action"))))["w"] == (6, 1, 3, "event_hash mismatch")
+    assert check(chain.filter("eventId != 2"))["w"][2:] == (3, "previous_hash mismatch")
 
 
 def test_idempotent_tasks(spark):

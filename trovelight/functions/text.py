@@ -11,15 +11,30 @@ from pyspark.sql import functions as F
 HASH_TOKEN = r"[\u3400-\u9fff]|[a-z0-9_./-]+"
 INDEX_TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 ENTITY = r"[A-Za-z]+[-_.]?[A-Za-z0-9]*|[\u4e00-\u9fff]{2,8}"
-PROCEDURE = r"如何|怎么|步骤|流程|安装|配置|(?i:\b(?:how|install|setup|configure|steps?)\b)"
-FACT = r"什么|多少|哪|谁|何时|(?i:\b(?:what|which|who|when|where|how many)\b)"
+PROCEDURE = r"怎么|如何|步骤|安装|配置"
+FACT = r"多少|几|统计"
 EXACT = r"[A-Z]{2,}[-_]?\d+|\b\d{3,}\b"
-TABULAR = r"表格|统计|数量|总数|(?i:\b(?:table|count|total|sum|average)\b)"
-REFUSAL = r"无法回答|没有足够|证据不足|(?i:insufficient evidence|cannot answer|not enough evidence)"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+TABULAR = r"表格|字段|列|行|统计|数量"
+REFUSAL = r"无法回答|不能回答|未找到|没有找到|证据不足|无法确认|无法确定|不知道"
+EMAIL = r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
 MOBILE = r"(?<!\d)1[3-9]\d{9}(?!\d)"
-CREDENTIAL = r"(?i)\b(?:api[_-]?key|token|password|secret)\b\s*[:=]\s*[^\s,;]+"
-CONNECTION = r"(?i)\b([a-z][a-z0-9+.-]*)://[^\s:@/]+:[^\s@/]+@"
+CREDENTIAL = r"(?i)(?:api[_-]?key|password|token)\s*[:=]\s*\S+"
+SECRET_VALUE = r"(?i)(api[_-]?key|password|secret|token|authorization)\s*[:=]\s*[^\s,;]+"
+CONNECTION = r"(?i)(postgres(?:ql)?|mysql|mongodb)://[^\s]+"
+#: Texts of an extractive answer.
+NO_EVIDENCE = "当前知识版本中没有找到能够直接支持该问题的证据，因此无法回答。"
+BY_EVIDENCE = "根据当前知识版本中的证据："
+#: Fixed value: the locator of what has no finer place.
+WHOLE_DOCUMENT = "文档内容"
+
+#: White space beyond what the JVM's \s knows.
+_MORE_SPACE = r"\x0b\x1c-\x1f\x85\p{Z}"
+
+
+def wide(pattern: str) -> str:
+    """A pattern whose word characters and white space are those of all scripts, in a form that Java and RE2 share."""
+    out = pattern.replace(r"[\w", r"[\p{L}\p{N}_").replace(r"[^\s", r"[^\s" + _MORE_SPACE)
+    return out.replace(r"\s*", rf"[\s{_MORE_SPACE}]*").replace(r"\S", rf"[^\s{_MORE_SPACE}]")
 
 
 def folding() -> tuple[str, str]:
@@ -60,6 +75,15 @@ def intent(text: Column) -> Column:
     return F.when(text.rlike(PROCEDURE), "procedure").when(text.rlike(FACT), "fact").otherwise("knowledge_query")
 
 
+def parse_plan(text: Column, strict: Column) -> Column:
+    """The plan of a question: normalised text, entities, language, intent, whether to ask back, and the evidence policy."""
+    t = collapse(text)
+    return F.struct(
+        t.alias("normalised"), entities(t).alias("entities"), language(t).alias("language"), intent(t).alias("intent"),
+        (F.length(t) < 2).alias("needs_clarification"), F.when(strict, "strict_evidence").otherwise("evidence_preferred").alias("policy"),
+    )
+
+
 def full_text_weight(text: Column) -> Column:
     return F.when(text.rlike(EXACT), 1.4).otherwise(1.0)
 
@@ -68,6 +92,11 @@ def vector_weight(text: Column) -> Column:
     return F.when(text.rlike(TABULAR), 0.9).otherwise(1.0)
 
 
+def strategy(full_text: Column, vector: Column) -> Column:
+    """hybrid with both channels, the name of the only one, or none."""
+    return F.when(full_text & vector, "hybrid").when(full_text, "full_text").when(vector, "vector").otherwise("none")
+
+
 def refuses(text: Column) -> Column:
     return text.rlike(REFUSAL)
 
@@ -87,36 +116,39 @@ def token_estimate(text: Column, rounding: str = "parser") -> Column:
 
 
 def first_sentence(text: Column, limit: int = 280) -> Column:
-    """The first non-empty sentence, cut to ``limit`` characters; a full stop is added where none ends it."""
-    parts = F.filter(F.transform(F.split(collapse(text), r"(?<=[。！？.!?])\s*"), lambda s: F.trim(s)), lambda s: s != "")
-    cut = F.substring(F.coalesce(F.get(parts, F.lit(0)), F.lit("")), 1, limit)
-    return F.when(cut == "", cut).when(cut.rlike(r"[。！？.!?]$"), cut).otherwise(F.concat(cut, F.lit("。")))
+    """The first sentence that isn't empty, cut to ``limit`` characters; a full stop is added where none ends it."""
+    parts = F.filter(F.split(text, wide(r"(?<=[。！？.!?])\s*")), lambda s: s != "")
+    cut = F.substring(F.coalesce(F.get(parts, F.lit(0)), text), 1, limit)
+    return F.when(cut.rlike(r"[。！？.!?]\z"), cut).otherwise(F.concat(cut, F.lit("。")))
 
 
-def lexical_score(query: Column, content: Column) -> Column:
-    """Share of the query's distinct terms that occur in the content as substrings; 0 without terms."""
-    terms = F.array_distinct(hash_tokens(query))
-    low = F.lower(content)
+def share_found(terms: Column, low: Column) -> Column:
+    """Share of the terms that occur in a text as substrings; 0 without terms."""
     hits = F.size(F.filter(terms, lambda t: F.instr(low, t) > 0))
     return F.when(F.size(terms) > 0, hits / F.size(terms)).otherwise(0.0)
 
 
+def lexical_score(query: Column, content: Column) -> Column:
+    """Share of the query's distinct terms that occur in the content."""
+    return share_found(F.array_distinct(hash_tokens(query)), F.lower(content))
+
+
 def mask_sensitive(text: Column) -> Column:
     """E-mail addresses, then mobile numbers, then credentials."""
-    out = F.regexp_replace(text, EMAIL, "[EMAIL]")
+    out = F.regexp_replace(text, wide(EMAIL), "[EMAIL]")
     out = F.regexp_replace(out, MOBILE, "[PHONE]")
-    return F.regexp_replace(out, CREDENTIAL, "[CREDENTIAL]")
+    return F.regexp_replace(out, wide(CREDENTIAL), "[CREDENTIAL]")
 
 
 def redact(text: Column) -> Column:
-    """For logs: credentials and the passwords of connection strings."""
-    return F.regexp_replace(F.regexp_replace(text, CREDENTIAL, "[REDACTED]"), CONNECTION, "$1://[REDACTED]@")
+    """For logs: the values of secrets, of which the names stay, and connection strings."""
+    return F.regexp_replace(F.regexp_replace(text, wide(SECRET_VALUE), "$1=[REDACTED]"), wide(CONNECTION), "[REDACTED_CONNECTION]")
 
 
 def scan_sensitive(text: Column) -> Column:
     """array<struct<kind, value>> of all finds."""
     one = lambda kind, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-    return F.concat(one("email", EMAIL), one("phone", MOBILE), one("credential", CREDENTIAL))
+    return F.concat(one("email", wide(EMAIL)), one("phone", MOBILE), one("credential", wide(CREDENTIAL)))
 
 
 def safe_filename(name: Column) -> Column:
@@ -128,8 +160,9 @@ def mask_secret(secret: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
+    """Kilobytes below a megabyte, else megabytes, to two places; ties go to the even digit."""
     mib = 1 << 20
-    return F.when(n < mib, F.format_string("%.2f KB", n / 1024.0)).otherwise(F.format_string("%.2f MB", n / float(mib)))
+    return F.when(n < mib, F.format_string("%.2f KB", F.bround(n / 1024.0, 2))).otherwise(F.format_string("%.2f MB", F.bround(n / float(mib), 2)))
 
 
 def csv_cell(value: Column) -> Column:
@@ -143,10 +176,12 @@ def citations(answer: Column) -> Column:
 
 
 def locator(loc: Column) -> Column:
-    """Page, slide, sheet, lines, or the document, whichever a source locator has first."""
+    """Page, slide, rows of a sheet, lines, or the document as a whole, whichever a struct (page, slide, sheet, start, end) has first."""
+    n = lambda f, other: F.coalesce(loc[f].cast("string"), other)
     return F.coalesce(
-        F.concat(F.lit("page "), loc["page"].cast("string")), F.concat(F.lit("slide "), loc["slide"].cast("string")), F.concat(F.lit("sheet "), loc["sheet"]),
-        F.concat(F.lit("lines "), loc["start"].cast("string"), F.lit("-"), loc["end"].cast("string")), F.lit("document"),
+        F.concat(F.lit("第 "), loc["page"].cast("string"), F.lit(" 页")), F.concat(F.lit("幻灯片 "), loc["slide"].cast("string")),
+        F.concat(loc["sheet"], F.lit(" 第 "), n("start", F.lit("1")), F.lit("-"), n("end", F.lit("?")), F.lit(" 行")),
+        F.concat(F.lit("第 "), loc["start"].cast("string"), F.lit("-"), n("end", loc["start"].cast("string")), F.lit(" 行")), F.lit(WHOLE_DOCUMENT),
     )
 
 

@@ -2,49 +2,76 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from trovelight.functions import text as T
 
 DIMENSIONS = 128
 CONTRIBUTIONS = 8
+#: Bytes of text that are embedded at a time.
+PART_BYTES = 1 << 20
 
 
-def contributions(tokens: DataFrame, key: str, token: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, slot, sign): eight slots per token, from three neighbouring bytes each of its SHA-256.
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about PART_BYTES of text each."""
+    if not batch.num_rows:
+        return
+    group = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(a, b - a)
 
-    The digest and its two integers are columns of their own, so that each is computed once per token.
-    """
-    digest = tokens.select(key, F.sha2(F.col(token), 256).alias("digest"))
-    parts = digest.select(key, F.conv(F.substring("digest", 1, 14), 16, 10).cast("long").alias("low"), F.conv(F.substring("digest", 9, 12), 16, 10).cast("long").alias("high"))
-    three = [F.shiftright("low", 8 * (4 - i)) if i < 4 else F.shiftright("high", 8 * (7 - i)) for i in range(CONTRIBUTIONS)]  # bytes 0 to 6, and 4 to 9
-    each = parts.select(key, F.explode(F.array(*[x.bitwiseAND(0xFFFFFF) for x in three])).alias("x"))
-    return each.select(key, (F.shiftright("x", 8) % dimensions).cast("int").alias("slot"), (2 * F.col("x").bitwiseAND(1) - 1).alias("sign"))
 
+def hash_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """L2-normalised hash embeddings, rounded to 8 places; the zero vector without tokens.
 
-def _sums(df: DataFrame, key: str, text: str, dimensions: int) -> DataFrame:
-    """(key, slot, s). Rows move once, by key; all later groupings by key find them in place."""
-    tokens = df.select(key, text).repartition(key).select(key, F.explode(T.hash_tokens(F.col(text))).alias("token"))
-    return contributions(tokens, key, "token", dimensions).groupBy(key, "slot").agg(F.sum("sign").alias("s")).filter("s != 0")
+    A token adds 1 or -1 to eight slots, from three neighbouring bytes each of its SHA-256; each distinct token is hashed once.
+    """
+    found = [re.findall(T.HASH_TOKEN, t.lower().replace("\u3000", " ")) if t else [] for t in texts]
+    known: dict[str, int] = {}
+    ids = np.array([known.setdefault(t, len(known)) for each in found for t in each], np.int64)
+    sums = np.zeros((len(texts), dimensions))
+    if len(ids):
+        digest = np.frombuffer(b"".join(hashlib.sha256(t.encode()).digest()[: CONTRIBUTIONS + 2] for t in known), np.uint8).reshape(-1, CONTRIBUTIONS + 2).astype(np.int64)
+        slots = (digest[:, :-2] * 256 + digest[:, 1:-1]) % dimensions
+        signs = np.where(digest[:, 2:] & 1, 1.0, -1.0)
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        sums = np.bincount((row[:, None] * dimensions + slots[ids]).ravel(), signs[ids].ravel(), len(texts) * dimensions).reshape(-1, dimensions)
+    norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+    return np.round(sums / np.where(norm > 0, norm, 1.0), 8)
+
+
+def with_embedding(df: DataFrame, text: str, name: str = "embedding", dimensions: int = DIMENSIONS) -> DataFrame:
+    """``df`` with the hash embedding (array<double>) of a string column; rows stay where they are, in one vectorised pass."""
+    names, at = [*df.columns, name], df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, at):
+                v = hash_vectors(part.column(at).to_pylist(), dimensions)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dimensions), pa.int32()), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names)
+
+    return df.mapInArrow(run, df.select("*").schema.add(name, ArrayType(DoubleType())))
 
 
-def _by_key(df: DataFrame, key: str, text: str, dimensions: int) -> DataFrame:
-    # The norm is an aggregate of its own: an expression over the list would be evaluated again for each slot.
-    grouped = _sums(df, key, text, dimensions).groupBy(key).agg(F.collect_list(F.struct("slot", "s")).alias("e"), F.sqrt(F.sum(F.col("s").cast("double") * F.col("s"))).alias("norm"))
-    return grouped.select(key, F.transform("e", lambda x: F.struct(x["slot"].alias("slot"), F.round(x["s"] / F.col("norm"), 8).alias("weight"))).alias("e"))
+def embed(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, embedding array<double>) for every row; a text without tokens has the zero vector."""
+    return with_embedding(df.select(key, F.col(text).cast("string").alias("_text")), "_text", "embedding", dimensions).drop("_text")
 
 
 def embedding_slots(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, slot, weight): the non-zero slots of the L2-normalised hash embedding, rounded to 8 places."""
-    return _by_key(df, key, text, dimensions).select(key, F.inline("e"))
-
-
-def embed(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, embedding array<double>) for every row; a text without tokens has the zero vector."""
-    slots = _by_key(df, key, text, dimensions).select(key, F.map_from_entries("e").alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return df.select(key).join(slots, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dimensions)).otherwise(dense).alias("embedding"))
+    """(key, slot, weight): the non-zero slots of the hash embedding."""
+    return embed(df, key, text, dimensions).select(key, F.posexplode("embedding").alias("slot", "weight")).filter("weight != 0")
 
 
 def dot(a: Column, b: Column) -> Column:

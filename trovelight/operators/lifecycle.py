@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,12 +139,9 @@ def waterfall(stages: DataFrame, trace: str, order: str, duration: str) -> DataF
 
 
 def compare_candidates(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """added, removed and common candidates of two result lists."""
-    return (
-        right.join(left.select(*keys), keys, "left_anti").select(*keys, F.lit("added").alias("change"))
-        .unionByName(left.join(right.select(*keys), keys, "left_anti").select(*keys, F.lit("removed").alias("change")))
-        .unionByName(left.join(right.select(*keys), keys, "left_semi").select(*keys, F.lit("common").alias("change")))
-    )
+    """added, removed and common candidates of two result lists, by one full join."""
+    both = left.select(*keys, F.lit(True).alias("_left")).join(right.select(*keys, F.lit(True).alias("_right")), keys, "full_outer")
+    return both.select(*keys, F.when(F.col("_left").isNull(), "added").when(F.col("_right").isNull(), "removed").otherwise("common").alias("change"))
 
 
 def compare_stages(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -174,15 +174,57 @@ def inspect_stages(stages: DataFrame) -> DataFrame:
 # --- audit -------------------------------------------------------------------------------------------------------------
 
 
-def audit_hash(previous: Column, fields: list[str]) -> Column:
-    """SHA-256 of the previous hash and the event's fields in their given order."""
-    return F.sha2(F.concat_ws("|", previous, *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256)
+#: Fields of an audit event in the order in which they are hashed; ``details`` is JSON already.
+AUDIT_JSON = ("eventId", "workspaceId", "action", "details")
 
 
-def verify_chain(events: DataFrame, workspace: str, order: str, fields: list[str]) -> DataFrame:
+def audit_payload(fields: tuple[str, ...], previous: Column) -> Column:
+    """Compact JSON of the fields in their order and the previous hash; null fields are null, ``details`` is taken as JSON."""
+
+    def one(name: str) -> Column:
+        value = F.col(name) if name == "details" else F.regexp_replace(F.to_json(F.struct(F.col(name).alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":|\}$', "")
+        return F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("null")))
+
+    return F.concat(F.lit("{"), F.concat_ws(",", *[one(f) for f in fields], F.concat(F.lit('"previous":"'), previous, F.lit('"'))), F.lit("}"))
+
+
+def audit_hash(previous: Column, fields: tuple[str, ...]) -> Column:
+    return F.sha2(audit_payload(fields, previous), 256)
+
+
+def append_events(chain: DataFrame, events: DataFrame, workspace: str, order: str, fields: tuple[str, ...]) -> DataFrame:
+    """``chain`` with ``events`` appended per workspace, each with previous_hash and event_hash.
+
+    A hash needs the one before it, so a workspace's new events are one ordered run; they are hashed as they stream by, with nothing held but the last hash, and workspaces side by side.
+    """
+    heads = chain.groupBy(workspace).agg(F.max_by("event_hash", order).alias("head"))
+    names = [c for c in chain.columns if c not in ("previous_hash", "event_hash")]
+    # The payload is built with a mark in place of the hash that is not yet known.
+    mark = "\x00"
+    rows = events.join(heads, workspace, "left").select(*names, F.coalesce("head", F.lit("GENESIS")).alias("_head"), audit_payload(fields, F.lit(mark)).alias("_payload"))
+    rows = rows.repartition(workspace).sortWithinPartitions(workspace, order)
+    at = names.index(workspace)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), ""
+        for batch in batches:
+            before, hashes = [], []
+            for key, head, payload in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+                last = last if key == now else head
+                now = key
+                before.append(last)
+                last = hashlib.sha256(payload.replace(mark, last).encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(before, pa.string()), pa.array(hashes, pa.string())], [*names, "previous_hash", "event_hash"])
+
+    new = rows.mapInArrow(run, events.select(*names).schema.add("previous_hash", "string").add("event_hash", "string"))
+    return chain.select(*names, "previous_hash", "event_hash").unionByName(new)
+
+
+def verify_chain(events: DataFrame, workspace: str, order: str, fields: tuple[str, ...]) -> DataFrame:
     """Per workspace: events, broken ones, and the first break with its reason. Each row stores the previous hash, so rows verify side by side."""
     before = F.lag("event_hash", 1, "GENESIS").over(Window.partitionBy(workspace).orderBy(order))
-    reason = F.when(F.col("previous_hash") != before, "previous_hash").when(F.col("event_hash") != audit_hash(F.col("previous_hash"), fields), "event_hash")
+    reason = F.when(F.col("previous_hash") != before, "previous_hash mismatch").when(F.col("event_hash") != audit_hash(F.col("previous_hash"), fields), "event_hash mismatch")
     judged = events.withColumn("reason", reason)
     first = F.min(F.when(F.col("reason").isNotNull(), F.struct(F.col(order).alias("at"), "reason")))
     return judged.groupBy(workspace).agg(F.count("*").alias("n_events"), F.count("reason").alias("n_broken"), first.alias("f")).select(workspace, "n_events", "n_broken", F.col("f.at").alias("first_broken"), F.col("f.reason").alias("reason"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelight.functions import text as T
-from trovelight.functions import vectors as V
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -23,14 +30,80 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str) ->
     return df.withColumn(name, rank(by, *order)).filter(F.col(name) <= k)
 
 
+#: Questions that are compared with the chunks in one pass.
+QUERIES_AT_ONCE = 256
+#: Hits (term and chunk) that are weighed at a time.
+HITS_AT_ONCE = 20_000
+#: A side of a join is broadcast only when it was counted to have at most so many rows.
+BROADCAST_ROWS = 500_000
+
+
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast after counting; a larger table joins by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _best(query_ids: pa.Array, chunk_ids: pa.Array, scores: np.ndarray, hit: np.ndarray, k: int, name: str) -> pa.RecordBatch:
+    """(query_id, chunk_id, ``name``): the ``k`` highest hits of each question (a row of ``scores``), ties to the smaller chunk_id."""
+    n = len(chunk_ids)
+    by_id = np.zeros(n, np.int64)  # places in the order of chunk_id
+    by_id[pc.sort_indices(chunk_ids).to_numpy()] = np.arange(n)
+    rounded = np.where(hit, np.round(scores, TIE_PLACES), -np.inf)
+    least = np.partition(rounded, n - min(k, n), axis=1)[:, n - min(k, n)] if n else np.zeros(len(scores))
+    out_q, out_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(scores)):
+        some = np.flatnonzero((rounded[i] >= least[i]) & (rounded[i] > -np.inf))
+        best = some[np.lexsort((by_id[some], -rounded[i, some]))][:k]
+        out_q.append(np.full(len(best), i))
+        out_c.append(best)
+    q, c = np.concatenate(out_q).astype(np.int64), np.concatenate(out_c).astype(np.int64)
+    return pa.RecordBatch.from_arrays([query_ids.take(pa.array(q)), chunk_ids.take(pa.array(c)), pa.array(scores[q, c])], ["query_id", "chunk_id", name])
+
+
+def _blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    n = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    for i in range(n):
+        yield queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+
+
+def _nearest(asked: pa.Table, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, vector_score): the best k of each Arrow batch for each question."""
+    lists = asked["embedding"].to_pylist()
+    sizes = sorted({len(v) for v in lists if v is not None})
+    blocks = [(np.array([i for i, v in enumerate(lists) if v is not None and len(v) == d]), np.array([v for v in lists if v is not None and len(v) == d], np.float64)) for d in sizes]
+    query_ids = asked["query_id"].combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, n = batch.column(1), batch.num_rows
+            size = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+            scores = np.zeros((len(lists), n))
+            for at, q in blocks:
+                rows = np.flatnonzero(size == q.shape[1])
+                if len(rows):
+                    v = pc.fill_null(vectors.take(pa.array(rows)).flatten(), 0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+                    scores[np.ix_(at, rows)] = q @ v.reshape(len(rows), -1).T
+            yield _best(query_ids, batch.column(0), scores, np.ones(n, bool), k, "vector_score")
+
+    kinds = dict(chunks.dtypes)
+    schema = f"query_id {_spark_type(asked.schema.field('query_id').type)}, chunk_id {kinds['chunk_id']}, vector_score double"
+    return chunks.select("chunk_id", "embedding").mapInArrow(run, schema)
+
+
+def _spark_type(kind: pa.DataType) -> str:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return from_arrow_type(kind).simpleString()
+
+
 def vector_channel(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """queries(query_id, embedding) against all chunks(chunk_id, embedding): query_id, chunk_id, vector_score, vector_rank.
 
-    The questions of a batch are the small side: each chunk is scored where it lies, and only the best k of each task's question meet.
+    Each chunk is scored where it lies, by blocks of QUERIES_AT_ONCE questions as one matrix product, and only the best k of each batch meet. Vectors of
+    another length than the question's, and null ones, score 0; ties go to the smaller chunk_id.
     """
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("_q")))
-    scored = chunks.select("chunk_id", "embedding").crossJoin(q).select("query_id", "chunk_id", V.cosine(F.col("_q"), F.col("embedding")).alias("vector_score"))
-    return top(scored, ["query_id"], [F.desc(F.round("vector_score", TIE_PLACES)), F.col("chunk_id")], k, "vector_rank")
+    found = reduce(DataFrame.unionByName, [_nearest(block.toArrow(), chunks, k) for block in _blocks(queries.select("query_id", "embedding"))])
+    return top(found, ["query_id"], [F.desc(F.round("vector_score", TIE_PLACES)), F.col("chunk_id")], k, "vector_rank")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -39,44 +112,105 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.withColumn("phrase", F.transform(T.index_tokens(F.col("term")), lambda t: T.fold(t))).filter(F.size("phrase") > 0)
 
 
-def postings(chunks: DataFrame, fields: list[str]) -> DataFrame:
-    """(chunk_id, field, tokens) of each indexed field; a text is folded once as a whole, before it is cut into tokens."""
-    each = [chunks.select("chunk_id", F.lit(f).alias("field"), T.index_tokens(T.fold(F.coalesce(F.col(f).cast("string"), F.lit("")))).alias("tokens")) for f in fields]
-    out = each[0]
-    for x in each[1:]:
-        out = out.unionByName(x)
-    return out
+def field_tokens(field: str) -> Column:
+    """The index tokens of a field; the text is folded once as a whole, before it is cut."""
+    return T.index_tokens(T.fold(F.coalesce(F.col(field).cast("string"), F.lit(""))))
+
+
+def with_tokens(chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """``chunks`` with a column <field>_tokens per field, for ``bm25_channel`` to read."""
+    return chunks.withColumns({f"{f}_tokens": field_tokens(f) for f in fields if f"{f}_tokens" not in chunks.columns})
+
+
+class ReleaseCache:
+    """Indexed releases that stay persisted, the least recently used of ``most`` going first; safe because releases are immutable."""
+
+    def __init__(self, most: int = 4):
+        self.most, self.held = most, OrderedDict()
+
+    def get(self, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self.held:
+            self.held[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.move_to_end(key)
+        while len(self.held) > self.most:
+            self.held.popitem(last=False)[1].unpersist()
+        return self.held[key]
+
+
+#: Hits of the last questions, for they are counted before they are weighed.
+_HITS = ReleaseCache(2)
+
+
+def _term_hits(indexed: DataFrame, phrases: DataFrame, fields: list[str], weights: dict[str, float]) -> DataFrame:
+    """(chunk_id, len, pid, tf): weighted occurrences of phrases(pid, phrase). Tokens are exploded once and joined with those of the phrases."""
+    wanted = phrases.select("pid", F.size("phrase").alias("m"), F.posexplode("phrase").alias("j", "token"))
+    length = reduce(lambda a, b: a + b, [F.size(f"{f}_tokens") for f in fields]).alias("len")
+    each = [indexed.select("chunk_id", length, F.lit(i).alias("field"), F.lit(float(weights.get(f, 1.0))).alias("weight"), F.posexplode(f"{f}_tokens").alias("at", "token")) for i, f in enumerate(fields)]
+    # A phrase begins where each of its tokens stands at its own distance.
+    begin = F.when(F.col("m") == 1, 0).otherwise(F.col("at") - F.col("j"))
+    found = reduce(DataFrame.unionByName, each).join(checked_broadcast(wanted), "token").groupBy("chunk_id", "len", "pid", "m", "field", "weight", begin.alias("begin")).agg(F.count("*").alias("n"))
+    times = F.when(F.col("m") == 1, F.col("n")).otherwise((F.col("n") == F.col("m")).cast("long"))
+    return found.groupBy("chunk_id", "len", "pid").agg(F.sum(F.col("weight") * times).alias("tf")).filter("tf > 0")
+
+
+def _weighed(block: DataFrame, indexed: DataFrame, fields: list[str], k: int, weights: dict[str, float], within: DataFrame | None, n_docs: int, avg_len: float) -> DataFrame | None:
+    spark = indexed.sparkSession
+    terms = [(r.query_id, tuple(r.phrase)) for r in query_terms(block).select("query_id", "phrase").collect()]  # of at most QUERIES_AT_ONCE questions
+    if not terms:
+        return None
+    pid = {p: i for i, p in enumerate(sorted({p for _, p in terms}))}
+    hits = _term_hits(indexed, spark.createDataFrame([(i, list(p)) for p, i in pid.items()], "pid int, phrase array<string>"), fields, weights)
+    hits = _HITS.get((object(),), lambda: hits)
+    df = np.zeros(len(pid))
+    for r in hits.groupBy("pid").count().collect():
+        df[r[0]] = r[1]
+    idf = np.log((n_docs - df + 0.5) / (df + 0.5))
+    idf[idf <= 0] = LEAST_IDF
+    ids = sorted({q for q, _ in terms})
+    place = {q: i for i, q in enumerate(ids)}
+    matrix = np.zeros((len(pid), len(ids)))
+    for q, p in terms:
+        matrix[pid[p], place[q]] += idf[pid[p]]
+    query_ids = pa.array(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entries = batch.column(2)
+            ends = np.concatenate([[0], np.cumsum(entries.value_lengths().to_numpy())])
+            flat = entries.flatten()
+            at, tf = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            length = np.repeat(batch.column(1).to_numpy(), np.diff(ends))
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ends[1:] // HITS_AT_ONCE)) + 1, [batch.num_rows]]).astype(int)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a < b:
+                    rows = slice(ends[a], ends[b])
+                    scores = np.add.reduceat(matrix[at[rows]] * part[rows, None], ends[a:b] - ends[a], axis=0).T
+                    yield _best(query_ids, batch.column(0).slice(a, b - a), scores, scores > 0, k, "score")
+
+    per_chunk = hits.groupBy("chunk_id", "len").agg(F.collect_list(F.struct("pid", "tf")).alias("e"))  # at most the terms of a block of questions a chunk
+    if within is not None:
+        per_chunk = per_chunk.join(within.select("chunk_id"), "chunk_id", "left_semi")
+    schema = f"query_id {dict(block.dtypes)['query_id']}, chunk_id {dict(indexed.dtypes)['chunk_id']}, score double"
+    return per_chunk.select("chunk_id", "len", "e").mapInArrow(run, schema)
 
 
 def bm25_channel(queries: DataFrame, chunks: DataFrame, fields: list[str], k: int, weights: dict[str, float] | None = None, within: DataFrame | None = None) -> DataFrame:
     """OR-query BM25: query_id, chunk_id, bm25 (lower is better), full_text_rank.
 
-    Statistics cover all ``chunks``; ``within(chunk_id)`` filters after scoring. A term of several tokens is a phrase.
+    Statistics cover all ``chunks``; ``within(chunk_id)`` filters what is scored. A term of several tokens is a phrase. Columns <field>_tokens of ``chunks`` are
+    read where they exist. By blocks of questions, the hits of a chunk are weighed where they lie, as one product with the terms of the questions, and only the best k of
+    each batch meet.
     """
-    indexed = postings(chunks, fields)
-    lengths = indexed.groupBy("chunk_id").agg(F.sum(F.size("tokens")).alias("len"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    terms = query_terms(queries)
-    distinct = terms.select("phrase").distinct()
-    singles = F.broadcast(distinct.filter(F.size("phrase") == 1).select(F.col("phrase")[0].alias("token"), "phrase"))
-    weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in (weights or {}).items()], F.lit(1.0))
-    exploded = indexed.select("chunk_id", "field", F.explode("tokens").alias("token"))
-    tf = exploded.join(singles, "token").groupBy("chunk_id", "phrase").agg(F.sum(weight).alias("tf"))
-    phrases = F.broadcast(distinct.filter(F.size("phrase") > 1))
-    found = indexed.join(phrases, F.array_contains(F.col("tokens"), F.col("phrase")[0]))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - F.size("phrase") + 1)), lambda i: F.slice("tokens", i, F.size("phrase")) == F.col("phrase"))
-    ptf = found.groupBy("chunk_id", "phrase").agg(F.sum(weight * F.size(starts)).alias("tf")).filter("tf > 0")
-    tf = tf.unionByName(ptf)
-    df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    n, d = F.col("n_docs"), F.col("df")
-    raw_idf = F.ln((n - d + 0.5) / (d + 0.5))
-    idf = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.when(raw_idf <= 0, LEAST_IDF).otherwise(raw_idf))
-    per_term = terms.join(idf, "phrase")  # a row per question and term
-    hits = tf.join(F.broadcast(per_term), "phrase").join(lengths, "chunk_id")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.groupBy("query_id", "chunk_id").agg((-F.sum(part)).alias("bm25"))
-    if within is not None:
-        scored = scored.join(within.select("chunk_id"), "chunk_id", "left_semi")
+    indexed = with_tokens(chunks, fields)
+    length = reduce(lambda a, b: a + b, [F.size(f"{f}_tokens") for f in fields])
+    n_docs, avg_len = indexed.agg(F.count("*"), F.avg(length)).first()
+    found = [_weighed(block, indexed, fields, k, weights or {}, within, n_docs, avg_len or 1.0) for block in _blocks(queries)]
+    found = [x for x in found if x is not None]
+    if not found:
+        kinds = dict(queries.dtypes) | dict(chunks.dtypes)
+        return chunks.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, bm25 double, full_text_rank int")
+    scored = reduce(DataFrame.unionByName, found).select("query_id", "chunk_id", (-F.col("score")).alias("bm25"))
     return top(scored, ["query_id"], [F.round("bm25", TIE_PLACES), F.col("chunk_id")], k, "full_text_rank")
 
 
@@ -88,14 +222,17 @@ def fuse(vector: DataFrame, full_text: DataFrame, k: int = 60, vector_weight: fl
 
 
 def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """Order by fusion + 0.01 lexical; scores rounded as they are returned."""
-    rows = fused.join(F.broadcast(queries.select("query_id", "query")), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
-    rows = rows.withColumn("lexical", T.lexical_score(F.col("query"), F.col("content")))
+    """Order by fusion + 0.01 lexical; scores rounded as they are returned. Columns title and locator of the chunks are kept."""
+    more = [c for c in ("title", "locator") if c in chunks.columns]
+    low = F.col("content_low") if "content_low" in chunks.columns else F.lower("content")
+    asked = queries.select("query_id", F.array_distinct(T.hash_tokens(F.col("query"))).alias("_terms"))
+    rows = fused.join(checked_broadcast(asked), "query_id").join(chunks.select("chunk_id", "content", low.alias("_low"), *more), "chunk_id")
+    rows = rows.withColumn("lexical", T.share_found(F.col("_terms"), F.col("_low")))
     rows = rows.withColumn("_order", F.round(F.col("fusion") + 0.01 * F.col("lexical"), 12))
     order = [F.desc("_order"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("full_text_rank"), F.col("chunk_id")]
     rows = top(rows, ["query_id"], order, limit, "rank")
     return rows.select(
-        "query_id", "rank", "chunk_id", "content", F.round("vector_score", 6).alias("vector_score"), "vector_rank",
+        "query_id", "rank", "chunk_id", "content", *more, F.round("vector_score", 6).alias("vector_score"), "vector_rank",
         F.round(-F.col("bm25"), 6).alias("full_text_score"), "full_text_rank", F.round("fusion", 8).alias("fusion_score"), F.col("lexical").alias("rerank_score"),
     )
 
@@ -118,21 +255,34 @@ def select_evidence(results: DataFrame, most: int = 6, threshold: float | None =
 def extractive_answers(evidence: DataFrame, queries: DataFrame, sentences: int = 3) -> DataFrame:
     """query_id, answer, citations, status: first sentences of the best evidence with their ordinals; a refusal without evidence."""
     first = evidence.filter("selected").filter(F.col("ordinal") <= sentences)
-    parts = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.concat(T.first_sentence(F.col("content")), F.lit("["), F.col("ordinal").cast("string"), F.lit("]")).alias("s")))).alias("p"))
+    line = F.concat(T.first_sentence(F.col("content")), F.lit(" ["), F.col("ordinal").cast("string"), F.lit("]"))
+    parts = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("s")))).alias("p"))  # at most ``sentences`` a question
     rows = queries.select("query_id").join(parts, "query_id", "left")
-    answer = F.array_join(F.transform("p", lambda x: x["s"]), " ")
-    return rows.select("query_id", F.coalesce(answer, F.lit("insufficient evidence")).alias("answer")).withColumn("citations", T.citations(F.col("answer"))).withColumn(
-        "status", F.when(F.size("citations") > 0, "sufficient").otherwise("insufficient")
-    )
+    answer = F.concat(F.lit(T.BY_EVIDENCE + "\n\n"), F.array_join(F.transform("p", lambda x: x["s"]), "\n\n"))
+    marks = F.coalesce(F.transform("p", lambda x: x["ordinal"]), F.array().cast("array<int>"))
+    return rows.select("query_id", F.coalesce(answer, F.lit(T.NO_EVIDENCE)).alias("answer"), marks.alias("citations")).withColumn("status", F.when(F.size("citations") > 0, "sufficient").otherwise("insufficient"))
 
 
 def prompts(evidence: DataFrame, queries: DataFrame, most_chars: int = 12_000) -> DataFrame:
-    """query_id, prompt: the numbered evidence up to a number of characters, and the question."""
+    """query_id, prompt: the numbered evidence (title, place, content) up to a number of characters, and the question."""
     most_chars = max(100, min(100_000, most_chars))
-    rows = evidence.filter("selected").withColumn("line", F.concat(F.lit("["), F.col("ordinal").cast("string"), F.lit("] "), F.col("content")))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), "\n")
+    place = T.locator(F.col("locator")) if "locator" in evidence.columns else F.lit(T.WHOLE_DOCUMENT)
+    title = F.coalesce(F.col("title"), F.lit("")) if "title" in evidence.columns else F.lit("")
+    head = F.concat(F.lit("["), F.col("ordinal").cast("string"), F.lit("] "), title, F.lit(" | "), place, F.lit("\n"))
+    rows = evidence.filter("selected").withColumn("line", F.concat(head, F.substring("content", 1, most_chars)))  # what a cut would drop anyway doesn't travel
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), "\n\n")
     joined = queries.select("query_id", "query").join(rows.groupBy("query_id").agg(body.alias("body")), "query_id", "left")
-    return joined.select("query_id", F.concat(F.substring(F.coalesce("body", F.lit("")), 1, most_chars), F.lit("\n\n"), F.col("query")).alias("prompt"))
+    return joined.select("query_id", F.concat(F.lit("问题："), F.col("query"), F.lit("\n\n证据：\n"), F.substring(F.coalesce("body", F.lit("")), 1, most_chars)).alias("prompt"))
+
+
+def messages(prompted: DataFrame, history: DataFrame, turns: int = 6, most_chars: int = 800) -> DataFrame:
+    """query_id, messages array<struct<role, content>>: the last ``turns`` of history(query_id, turn, role, content) by users and assistants, then the prompt."""
+    told = history.filter(F.col("role").isin("user", "assistant"))
+    told = told.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("turn"), F.desc("role")))).filter(F.col("_n") <= turns)
+    each = F.struct((-F.col("_n")).alias("n"), "role", F.substring(F.coalesce("content", F.lit("")), 1, most_chars).alias("content"))
+    past = told.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(each)), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("past"))
+    own = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
+    return prompted.join(past, "query_id", "left").select("query_id", F.when(F.col("past").isNull(), own).otherwise(F.concat("past", own)).alias("messages"))
 
 
 def validate_citations(answers: DataFrame, evidence: DataFrame, strict: bool = True) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import difflib
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,33 +34,33 @@ def graph_level(node: Column, degree: int = DEGREE) -> Column:
     return F.least(F.lit(MAX_LEVEL), F.floor(-F.ln(uniform) / F.ln(F.lit(float(degree)))).cast("int"))
 
 
-def find_spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end>> of all finds (0-based, end excluded).
-
-    The text between finds and the finds alternate, so that offsets are running sums of their lengths.
-    """
-    finds = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(finds)), finds, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        span = F.array(F.struct(begin.alias("start"), (begin + x["m"]).alias("end")))
-        return F.struct((begin + x["m"]).alias("at"), F.concat(acc["spans"], span).alias("spans"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+KINDS = {"email": (T.EMAIL, "@"), "phone": (T.MOBILE, "1"), "credential": (T.CREDENTIAL, None)}
 
 
-def sensitive_spans(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, kind, start, end, replacement of every e-mail address, mobile number and credential."""
+def sensitive_spans(df: DataFrame, key: str, text: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """key, kind, start, end (code points, 0-based, end excluded), replacement of every find of the given kinds.
 
-
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(find_spans(F.col(text), pattern), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-
-    found = df.select(key, F.inline(F.concat(of("email", T.EMAIL), of("phone", T.MOBILE), of("credential", T.CREDENTIAL))))
-    return found.withColumn("replacement", F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
+    Offsets of finds can't be had from Spark's functions but by work that grows with the square of the finds, so texts are scanned in Arrow batches. A text
+    that lacks a character which all finds hold doesn't leave the JVM. Null and empty texts have none; repeated rows are scanned each.
+    """
+    patterns = {k: re.compile(KINDS[k][0]) for k in kinds}
+    needs = [F.contains(F.col(text), F.lit(KINDS[k][1])) if KINDS[k][1] else F.col(text).rlike("[:=]") for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i in range(batch.num_rows):
+                t = batch.column(1)[i].as_py()
+                for kind, pattern in patterns.items():
+                    for m in pattern.finditer(t):
+                        at.append(i)
+                        found.append((kind, m.start(), m.end()))
+            columns = list(zip(*found)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["key", "kind", "start", "end"])
+
+    rows = df.filter(reduce(lambda a, b: a | b, needs)).select(key, F.col(text).cast("string").alias("t"))
+    out = rows.mapInArrow(run, f"key {dict(df.dtypes)[key]}, kind string, start int, end int").withColumnRenamed("key", key)
+    return out.withColumn("replacement", F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
 
 
 def midpoint_parts(text: Column) -> Column:

@@ -90,17 +90,13 @@ def trace_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain per user over the events, of which some rows were tampered with after they were hashed."""
-    e = _events(spark, sf_dir).select("user_id", "event_id", "event_type", F.col("event_id").cast("string").alias("payload"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    # Each event's hash covers a previous hash that it stores, here a hash of the event before.
-    e = e.withColumn("previous_hash", F.coalesce(F.sha2(F.concat_ws("|", F.lit("seed"), F.lag("payload").over(w)), 256), F.lit("GENESIS")))
-    e = e.withColumn("previous_hash", F.when(F.lag("payload").over(w).isNull(), "GENESIS").otherwise(F.col("previous_hash")))
-    e = e.withColumn("event_hash", F.sha2(F.concat_ws("|", F.lit("seed"), "payload"), 256))
-    e = e.withColumn("previous_hash", F.when(F.col("event_id") % 501 == 0, "tampered").otherwise(F.col("previous_hash")))
-    before = F.lag("event_hash", 1, "GENESIS").over(w)
-    bad = F.when(F.col("previous_hash") != before, F.col("event_id"))
-    return e.select("user_id", bad.alias("bad")).groupBy("user_id").agg(F.count("*").alias("n_events"), F.count("bad").alias("n_broken"), F.min("bad").alias("first_broken"))
+    """A chain per user over the events, hashed event by event, of which some rows were tampered with afterwards."""
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("workspaceId"), F.col("event_id").alias("eventId"), F.col("event_type").alias("action"), F.coalesce("props", F.lit("{}")).alias("details"))
+    chained = L.append_events(e.limit(0).select("*", F.lit("").alias("previous_hash"), F.lit("").alias("event_hash")), e, "workspaceId", "eventId", L.AUDIT_JSON)
+    changed = chained.withColumn("action", F.when(F.col("eventId") % 501 == 0, "changed").otherwise(F.col("action")))
+    changed = changed.filter(F.col("eventId") % 997 != 5)
+    found = L.verify_chain(changed, "workspaceId", "eventId", L.AUDIT_JSON)
+    return found.select(F.col("workspaceId").alias("user_id"), "n_events", "n_broken", "first_broken", "reason")
 
 
 def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +297,7 @@ QUERIES = {f.__name__: f for f in (
 
 _D = "d AS (SELECT doc_id, coalesce(text, '') AS t, source, lang FROM documents)"
 _G = "g AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0))"
-_EMAIL, _CRED = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(?i)\b(?:api[_-]?key|token|password|secret)\b\s*[:=]\s*[^\s,;]+"
+_EMAIL, _CRED, _SECRET, _CONNECTION = (T.wide(p) for p in (T.EMAIL, T.CREDENTIAL, T.SECRET_VALUE, T.CONNECTION))
 #: RE2 has no lookaround: a mobile number is a whole run of eleven digits.
 _PHONE = "list_filter(regexp_extract_all(t, '[0-9]+'), lambda x: regexp_full_match(x, '1[3-9][0-9]{9}'))"
 ORACLES = {
@@ -323,8 +319,12 @@ ORACLES = {
     "conversation_context": "SELECT conv_id, turn, role, substr(coalesce(text, ''), 1, 800) AS excerpt, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS n FROM conversations) WHERE n <= 6",
     "trace_waterfall": """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 97 <> 0 THEN round(value * 10)::BIGINT END AS duration_ms FROM events), s AS (SELECT *, CASE WHEN coalesce(count_if(duration_ms IS NULL) OVER w, 0) = 0 THEN coalesce(sum(duration_ms) OVER w, 0)::BIGINT END AS start_ms FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
  SELECT user_id, event_id, duration_ms, start_ms, start_ms + duration_ms AS end_ms FROM s""",
-    "audit_chain_verify": """WITH e AS (SELECT user_id, event_id, event_id::VARCHAR AS p FROM events), h AS (SELECT user_id, event_id, sha256('seed|' || p) AS event_hash, CASE WHEN event_id % 501 = 0 THEN 'tampered' ELSE coalesce(sha256('seed|' || lag(p) OVER w), 'GENESIS') END AS previous_hash FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
- b AS (SELECT user_id, CASE WHEN previous_hash <> coalesce(lag(event_hash) OVER (PARTITION BY user_id ORDER BY event_id), 'GENESIS') THEN event_id END AS bad FROM h) SELECT user_id, count(*) AS n_events, count(bad) AS n_broken, min(bad) AS first_broken FROM b GROUP BY 1""",
+    "audit_chain_verify": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS a, coalesce(props, '{}') AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+ c AS (SELECT user_id, event_id, a, p, n, 'GENESIS' AS prev, sha256('{"eventId":' || event_id || ',"workspaceId":' || user_id || ',"action":' || to_json(a)::VARCHAR || ',"details":' || p || ',"previous":"GENESIS"}') AS h FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.a, e.p, e.n, c.h, sha256('{"eventId":' || e.event_id || ',"workspaceId":' || e.user_id || ',"action":' || to_json(e.a)::VARCHAR || ',"details":' || e.p || ',"previous":"' || c.h || '"}') FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1),
+ t AS (SELECT *, lag(h, 1, 'GENESIS') OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM c WHERE event_id % 997 <> 5),
+ j AS (SELECT *, CASE WHEN prev <> before THEN 'previous_hash mismatch' WHEN event_id % 501 = 0 THEN 'event_hash mismatch' END AS reason FROM t)
+ SELECT user_id, count(*) AS n_events, count(reason) AS n_broken, min(CASE WHEN reason IS NOT NULL THEN event_id END) AS first_broken, arg_min(reason, event_id) AS reason FROM j GROUP BY 1""",
     "dashboard_counts": "SELECT count(*) AS total, count_if(o_orderstatus = 'F')::BIGINT AS done, count_if(o_orderstatus IN ('O', 'P'))::BIGINT AS pending, count_if(o_totalprice > 100000)::BIGINT AS large, count_if(starts_with(o_orderpriority, '1'))::BIGINT AS urgent FROM orders",
     "status_groupby": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL",
     "request_trend": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts::DATE >= (SELECT max(ts::DATE) FROM events) - 6 GROUP BY ALL",
@@ -360,7 +360,7 @@ ORACLES = {
     "json_predicate": "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS props FROM events WHERE json_extract_string(props, '$.k') = '7'",
     "text_functions": rf"""WITH {_D}, c AS (SELECT *, trim(regexp_replace(t, '\s+', ' ', 'g')) AS c, t AS s FROM d)
  SELECT doc_id, md5(c) AS collapsed, least(12, len(list_distinct(regexp_extract_all(t, '[A-Za-z]+[-_.]?[A-Za-z0-9]*|[\x{{4e00}}-\x{{9fff}}]{{2,8}}'))))::INT AS n_entities, CASE WHEN length(t) < 1024 THEN printf('%.2f KB', length(t)::DOUBLE) ELSE printf('%.2f MB', length(t) / 1024.0::DOUBLE) END AS size,
- md5(CASE WHEN regexp_matches(s, '[",\r\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END) AS cell, md5(regexp_replace(regexp_replace(t, '{_CRED}', '[REDACTED]', 'g'), '(?i)\b([a-z][a-z0-9+.-]*)://[^\s:@/]+:[^\s@/]+@', '\1://[REDACTED]@', 'g')) AS redacted FROM c""",
+ md5(CASE WHEN regexp_matches(s, '[",\r\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END) AS cell, md5(regexp_replace(regexp_replace(t, '{_SECRET}', '\1=[REDACTED]', 'g'), '{_CONNECTION}', '[REDACTED_CONNECTION]', 'g')) AS redacted FROM c""",
     "url_origins": "SELECT lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS origin, count(*) AS n FROM pages GROUP BY 1",
     "embedding_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * CASE WHEN (i - 1) % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE)), 6) AS x, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * CASE WHEN (i - 1) % 3 <> 0 THEN 1.0 ELSE 0.5 END::DOUBLE)), 6) AS y FROM embeddings",
     "storage_totals": f"WITH {_D} SELECT source, count(*) AS n_blobs, sum(size)::BIGINT AS bytes FROM (SELECT DISTINCT source, sha256(t), octet_length(encode(t)) AS size FROM d) GROUP BY 1",

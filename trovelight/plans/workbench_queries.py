@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trovelight.functions import text as T
 from trovelight.operators import workbench as W
 from trovelight.plans.tables import read
 
@@ -20,8 +21,12 @@ def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = W.sensitive_spans(_docs(spark, sf_dir), "doc_id", "t").filter("kind = 'email'")
-    return found.select("doc_id", "start", F.col("end").alias("stop"))
+    return W.sensitive_spans(_docs(spark, sf_dir), "doc_id", "t", ("email",)).select("doc_id", "start", F.col("end").alias("stop"))
+
+
+def sensitive_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of e-mail addresses and credentials with what replaces them."""
+    return W.sensitive_spans(_docs(spark, sf_dir), "doc_id", "t", ("email", "credential")).select("doc_id", "kind", "start", F.col("end").alias("stop"), "replacement")
 
 
 def default_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +108,20 @@ def revision_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    graph_levels, email_spans, default_split, conversation_chapters, source_tree, chunk_stats, default_choice, signed_requests, citation_open,
+    graph_levels, email_spans, sensitive_spans, default_split, conversation_chapters, source_tree, chunk_stats, default_choice, signed_requests, citation_open,
     trace_drafts, replay_requests, document_scatter, task_list, part_suppliers, revision_diffs,
 )}
 
 _D = "d AS (SELECT doc_id, coalesce(text, '') AS t, source, lang FROM documents)"
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_EMAIL = T.wide(T.EMAIL)
+
+
+def _spans(pattern: str) -> str:
+    """Spans of a pattern in d(doc_id, t)."""
+    return rf"""SELECT doc_id, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT AS start, (list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))))::INT AS stop
+ FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS m FROM d))"""
+
+
 _KEY = SECRET.encode().ljust(64, b"\0")
 _INNER, _OUTER = (bytes(b ^ x for b in _KEY).hex() for x in (0x36, 0x5C))
 
@@ -123,8 +136,8 @@ def _slots(table: str, key: str) -> str:
 
 ORACLES = {
     "graph_levels": "SELECT vec_id, least(16, floor(-ln((('0x' || substr(sha256(vec_id::VARCHAR), 1, 16))::UBIGINT::DOUBLE + 1) / 18446744073709551617.0::DOUBLE) / ln(12.0::DOUBLE)))::INT AS level FROM embeddings",
-    "email_spans": rf"""WITH {_D}, p AS (SELECT doc_id, string_split_regex(t, '{_EMAIL}') AS g, regexp_extract_all(t, '{_EMAIL}') AS m FROM d), i AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM p)
- SELECT doc_id, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT AS start, (list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))))::INT AS stop FROM i""",
+    "email_spans": f"WITH {_D} {_spans(_EMAIL)}",
+    "sensitive_spans": f"WITH {_D} SELECT 'email' AS kind, *, '[EMAIL]' AS replacement FROM ({_spans(_EMAIL)}) UNION ALL SELECT 'credential', *, '[CREDENTIAL]' FROM ({_spans(T.wide(T.CREDENTIAL))})",
     "default_split": f"WITH {_D} SELECT doc_id, md5(substr(t, 1, length(t) // 2)) AS first_md5, md5(substr(t, length(t) // 2 + 1)) AS second_md5 FROM d WHERE length(t) >= 2",
     "conversation_chapters": r"SELECT conv_id, count(*)::INT AS n, md5(string_agg(title, '|' ORDER BY turn, title)) AS titles_md5 FROM (SELECT conv_id, turn, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 120) AS title FROM conversations) GROUP BY 1",
     "source_tree": "SELECT source, sum(n)::BIGINT AS n, string_agg(concat_ws(':', lang, n::VARCHAR), ',' ORDER BY lang NULLS FIRST) AS children FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1",
