@@ -98,10 +98,35 @@ def release_snapshot(chunks: DataFrame, keys: list[str], order: list[Column], ba
 
 
 def fingerprint(snapshot: DataFrame, keys: list[str], ident: str, content: str, config_hash: str = "") -> DataFrame:
-    """SHA-256 over ``id:sha256(content)`` in the order of ids, joined by |, and the configuration's hash."""
-    each = F.struct(F.col(ident).alias("id"), F.concat(F.col(ident).cast("string"), F.lit(":"), F.sha2(F.col(content), 256)).alias("s"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["s"]), "|")
-    return snapshot.groupBy(*keys).agg(F.sha2(F.concat(joined, F.lit("|" + config_hash)), 256).alias("content_hash"), F.count("*").alias("n_chunks"))
+    """SHA-256 over ``id:sha256(content)`` in the order of ids, joined by |, and the configuration's hash.
+
+    The hash of a release is one digest over all of its rows in order, so the rows of a release stream through one digest; only ids and hashes travel, and no list is held.
+    """
+    rows = snapshot.select(*keys, F.col(ident).alias("_id"), F.concat(F.col(ident).cast("string"), F.lit(":"), F.sha2(F.col(content), 256)).alias("_line"))
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count, digest, names = None, 0, None, None
+        done: list[tuple] = []
+        for batch in batches:
+            names = batch.schema
+            for *key, line in zip(*[batch.column(i).to_pylist() for i in range(n)], batch.column(n + 1).to_pylist()):
+                if digest is None or key != now:
+                    if digest is not None:
+                        done.append((*now, digest, count))
+                    now, count, digest = key, 0, hashlib.sha256()
+                digest.update((b"|" if count else b"") + line.encode())
+                count += 1
+        if digest is not None:
+            done.append((*now, digest, count))
+        for row in done:
+            row[n].update(f"|{config_hash}".encode())
+        if done:
+            columns = list(zip(*done))
+            yield pa.RecordBatch.from_arrays([*[pa.array(columns[i], names.field(i).type) for i in range(n)], pa.array([d.hexdigest() for d in columns[n]]), pa.array(columns[n + 1], pa.int64())], [*keys, "content_hash", "n_chunks"])
+
+    schema = snapshot.select(*keys).schema.add("content_hash", "string").add("n_chunks", "long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_id").mapInArrow(run, schema)
 
 
 def release_id(key: Column) -> Column:

@@ -141,10 +141,10 @@ def parent_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def global_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = [("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"), ("nation", "n_nationkey", "n_name")]
+    each = [("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"), ("document", "doc_id", "source")]
     hits = None
     for i, (t, key, name) in enumerate(each):
-        one = read(spark, sf_dir, t).filter(L.like_any([name], "a%1")).select(F.lit(i).alias("source_order"), F.lit(t).alias("kind"), F.col(key).cast("long").alias("id"), F.col(name).alias("title"))
+        one = read(spark, sf_dir, "documents" if t == "document" else t).filter(L.like_any([name], "a%1")).select(F.lit(i).alias("source_order"), F.lit(t).alias("kind"), F.col(key).cast("long").alias("id"), F.col(name).alias("title"))
         hits = one if hits is None else hits.unionByName(one)
     return hits.orderBy("source_order", "id").limit(50)
 
@@ -301,6 +301,8 @@ _EMAIL, _CRED, _SECRET, _CONNECTION = (T.wide(p) for p in (T.EMAIL, T.CREDENTIAL
 #: RE2 has no lookaround: a mobile number is a whole run of eleven digits.
 _PHONE = "list_filter(regexp_extract_all(t, '[0-9]+'), lambda x: regexp_full_match(x, '1[3-9][0-9]{9}'))"
 ORACLES = {
+    "schema_introspect": """SELECT table_name, column_name, (ordinal_position - 1)::INT AS position, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date' ELSE data_type END AS type, true AS nullable
+ FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')""",
     "split_blocks": rf"""WITH {_D}, l AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d), x AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, len(ls) AS n, ls FROM l),
  y AS (SELECT doc_id, i, n, ls[i] AS line, trim(regexp_replace(ls[i], '\s', ' ', 'g')) = '' AS blank FROM x), z AS (SELECT *, sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM y),
  b AS (SELECT doc_id, min(i) AS a, max(i) AS b, max(n) AS n, string_agg(line, chr(10) ORDER BY i) AS c FROM z WHERE NOT blank GROUP BY doc_id, island)
@@ -333,7 +335,8 @@ ORACLES = {
     "impact_counts": "WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT o_custkey, count(*) AS n_orders, coalesce(sum(n), 0)::BIGINT AS n_lines FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1) SELECT c_custkey, coalesce(n_orders, 0) AS n_orders, coalesce(n_lines, 0) AS n_lines FROM customer LEFT JOIN p ON o_custkey = c_custkey",
     "parent_child_counts": "SELECT n_name, r_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation JOIN region ON n_regionkey = r_regionkey",
     "global_search": """SELECT * FROM (SELECT 0 AS source_order, 'customer' AS kind, c_custkey AS id, c_name AS title FROM customer WHERE c_name ILIKE '%a%1%' UNION ALL SELECT 1, 'supplier', s_suppkey, s_name FROM supplier WHERE s_name ILIKE '%a%1%'
- UNION ALL SELECT 2, 'part', p_partkey, p_name FROM part WHERE p_name ILIKE '%a%1%' UNION ALL SELECT 3, 'nation', n_nationkey, n_name FROM nation WHERE n_name ILIKE '%a%1%') ORDER BY source_order, id LIMIT 50""",
+ UNION ALL SELECT 2, 'part', p_partkey, p_name FROM part WHERE p_name ILIKE '%a%1%' UNION ALL SELECT 3, 'nation', n_nationkey, n_name FROM nation WHERE n_name ILIKE '%a%1%' UNION ALL SELECT 4, 'region', r_regionkey, r_name FROM region WHERE r_name ILIKE '%a%1%'
+ UNION ALL SELECT 5, 'document', doc_id, source FROM documents WHERE source ILIKE '%a%1%') ORDER BY source_order, id LIMIT 50""",
     "star_join_list": "SELECT o_orderkey, c_name, n_name, r_name, round(o_totalprice, 2) AS o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 200000",
     "left_chain": "SELECT d.doc_id, source, quality, toxic, md5(b.text) AS item_md5 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN benchmark b ON b.item_id = d.doc_id",
     "paged_list": "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS price, count(*) OVER () AS total FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 1000 ORDER BY price DESC, o_orderkey LIMIT 25 OFFSET 50",

@@ -17,12 +17,17 @@ from trovelight.functions import text as T
 
 #: Media types by extension.
 MEDIA = {
-    "md": "text/markdown", "markdown": "text/markdown", "txt": "text/plain", "csv": "text/csv", "pdf": "application/pdf",
-    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
-    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg",
+    "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "csv": "text/csv", "md": "text/markdown", "txt": "text/plain", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "bmp": "image/bmp", "tif": "image/tiff",
+    "tiff": "image/tiff", "webp": "image/webp", "gif": "image/gif", "zip": "application/zip", "tar": "application/x-tar", "tar.gz": "application/gzip", "tgz": "application/gzip",
 }
 ZIPPED = ("docx", "pptx", "xlsx")
+IMAGES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp", "gif")
+ARCHIVES = ("zip", "tar", "tar.gz", "tgz")
 MAX_FILES, MAX_BYTES, MAX_FILE_BYTES, MAX_RATIO, MAX_DEPTH = 250, 200 << 20, 50 << 20, 100, 32
+#: States of a document after an error; every other error leaves it failed.
+ERROR_STATES = {"NEEDS_PASSWORD": "needs_password", "UNSUPPORTED_FORMAT": "unsupported", "MIME_MISMATCH": "quarantined"}
 
 
 def read_files(spark: SparkSession, path: str, excludes: list[str] | None = None) -> DataFrame:
@@ -34,7 +39,7 @@ def read_files(spark: SparkSession, path: str, excludes: list[str] | None = None
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.lower(F.regexp_extract(path, r"(?i)\.(tar\.gz|[A-Za-z0-9]+)$", 1))
 
 
 def detect(files: DataFrame) -> DataFrame:
@@ -94,7 +99,7 @@ def _office(ext: str, data: bytes) -> list[tuple[str, str, int, str]]:
         return [("paragraph", t, i, "") for i, n in enumerate(slides, 1) if (t := "\n".join(x for x in _texts(z.read(n), "p") if x.strip()))]
     shared = _texts(z.read("xl/sharedStrings.xml"), "si") if "xl/sharedStrings.xml" in z.namelist() else []
     out = []
-    for n in sorted(x for x in z.namelist() if x.startswith("xl/worksheets/sheet")):
+    for n in sorted((x for x in z.namelist() if x.startswith("xl/worksheets/sheet")), key=lambda x: int("".join(filter(str.isdigit, posixpath.basename(x))) or 0)):
         rows = []
         for row in (r for r in ElementTree.fromstring(z.read(n)).iter() if r.tag.endswith("}row")):
             cells = []
@@ -123,34 +128,81 @@ def office_blocks(files: DataFrame) -> DataFrame:
     return some.mapInPandas(run, "path string, ordinal int, type string, content_text string, slide int, sheet string, error string")
 
 
+def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All readable formats in one plan: (results, blocks) of files(path, content).
+
+    results: path, media_type, state, error, n_blocks, markdown, quality_status, publishable. blocks: path, ordinal, type, content_md, content_text, token_count. A file goes to the branch of its
+    extension: text, CSV, office files, or images, which need a text provider and so a review. Slides and images are to be reviewed; what can't be read has the state of its error.
+    """
+    seen = detect(files).withColumn("ext", extension(F.col("path")))
+    good = seen.filter("error is null")
+    text = good.filter(F.col("ext").isin("md", "txt")).select("path", F.try_validate_utf8(F.decode("content", "UTF-8")).alias("t"), (F.encode(F.decode("content", "UTF-8"), "UTF-8") == F.col("content")).alias("whole"))
+    blocks = split_blocks(text.filter("whole"), "path", "t").select("path", "ordinal", "type", "content_md", "content_text")
+    table = good.filter("ext = 'csv'").select("path", F.lit(1).alias("ordinal"), F.lit("table").alias("type"), csv_block(F.col("content")).alias("content_md")).withColumn("content_text", F.col("content_md"))
+    office = office_blocks(good)
+    read = office.filter("error is null").select("path", "ordinal", "type", F.col("content_text").alias("content_md"), "content_text")
+    all_blocks = blocks.unionByName(table).unionByName(read).filter(F.trim("content_text") != "").withColumn("token_count", T.token_estimate(F.col("content_text")))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "content_md"))), lambda x: x["content_md"]), "\n\n")  # the blocks of one file
+    per_file = all_blocks.groupBy("path").agg(F.count("*").alias("n_blocks"), body.alias("body"))
+    broken = office.filter("error is not null").select("path", F.lit("PARSE_FAILED").alias("_broken")).unionByName(text.filter("not whole").select("path", F.lit("ENCODING_INVALID").alias("_broken")))
+    rows = seen.select("path", "media_type", "ext", "error").join(broken, "path", "left").join(per_file, "path", "left")
+    error = F.coalesce("error", "_broken", F.when(F.col("ext").isin(*ARCHIVES), "ARCHIVE_REQUIRES_IMPORT"), F.when(F.col("ext") == "pdf", "PARSER_DEPENDENCY_UNAVAILABLE"))
+    rows = rows.withColumn("error", error).withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    review = F.col("ext").isin("pptx", *IMAGES)
+    quality = F.when(F.col("error").isNotNull(), F.lit(None).cast("string")).when(review, "review_required").otherwise("publishable")
+    failed = F.coalesce(*[F.when(F.col("error") == e, s) for e, s in ERROR_STATES.items()], F.lit("failed"))
+    state = F.when(F.col("error").isNotNull(), failed).when(quality == "publishable", "ready").otherwise("review_required")
+    title = F.element_at(F.split("path", "/"), -1)
+    markdown = F.when(F.col("error").isNull(), F.concat(F.trim(F.concat(F.lit("# "), title, F.lit("\n\n"), F.coalesce("body", F.lit("")))), F.lit("\n")))
+    warning = F.when(F.col("ext").isin(*IMAGES) & F.col("error").isNull(), "OCR_PROVIDER_REQUIRED")
+    results = rows.select("path", "media_type", state.alias("state"), "error", warning.alias("warning"), "n_blocks", markdown.alias("markdown"), quality.alias("quality_status"), F.coalesce((quality == "publishable") & (F.col("n_blocks") > 0), F.lit(False)).alias("publishable"))
+    return results, all_blocks
+
+
+class _Budget:
+    """What may still be read of one archive; asked before a member is."""
+
+    def __init__(self, packed: int):
+        self.files, self.left = 0, min(MAX_BYTES, MAX_RATIO * max(1, packed))
+
+    def refuses(self, size: int) -> str | None:
+        self.files += 1
+        self.left -= size
+        return "ARCHIVE_BUDGET" if self.files > MAX_FILES or self.left < 0 else "FILE_TOO_LARGE" if size > MAX_FILE_BYTES else None
+
+
 def _members(name: str, data: bytes) -> Iterator[tuple[str, int, bytes | None, str | None]]:
-    """(member, size, content, error) of a zip, tar or tar.gz."""
+    """(member, size, content, error) of a zip, tar or tar.gz; what the budget refuses is not decompressed, and nothing after it is looked at."""
+    budget = _Budget(len(data))
     if name.lower().endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for m in z.infolist():
                 if not m.is_dir():
-                    error = "ENCRYPTED" if m.flag_bits & 1 else "FILE_TOO_LARGE" if m.file_size > MAX_FILE_BYTES else None
+                    over = budget.refuses(m.file_size)
+                    error = over if over == "ARCHIVE_BUDGET" else "ENCRYPTED" if m.flag_bits & 1 else over
                     yield m.filename, m.file_size, None if error else z.read(m), error
+                    if over == "ARCHIVE_BUDGET":
+                        return
     else:
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for m in t:
                 if not m.isdir():
-                    error = "LINK_OR_DEVICE" if not m.isfile() else "FILE_TOO_LARGE" if m.size > MAX_FILE_BYTES else None
+                    over = budget.refuses(m.size)
+                    error = over if over == "ARCHIVE_BUDGET" else "LINK_OR_DEVICE" if not m.isfile() else over
                     yield m.name, m.size, None if error else t.extractfile(m).read(), error
+                    if over == "ARCHIVE_BUDGET":
+                        return
 
 
 def expand_archives(files: DataFrame) -> DataFrame:
-    """archive, path (safe, null if rejected), size, content, error for each member, within the budgets of files, bytes and ratio."""
+    """archive, path (safe, null if rejected), size, content, error for each member, within the budgets of files, bytes and ratio; the member that breaks one is the last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"]):
-                rows, total = [], 0
+                rows = []
                 try:
-                    for n, (name, size, content, error) in enumerate(_members(path, bytes(data)), 1):
-                        total += size
-                        if n > MAX_FILES or total > MAX_BYTES or total > MAX_RATIO * max(1, len(data)):
-                            error, content = "ARCHIVE_BUDGET", None
+                    for name, size, content, error in _members(path, bytes(data)):
                         rows.append((path, name, size, content, error))
                 except (zipfile.BadZipFile, tarfile.TarError, EOFError) as e:
                     rows.append((path, None, 0, None, f"BAD_ARCHIVE: {type(e).__name__}"))
@@ -168,7 +220,7 @@ def import_manifest(members: DataFrame, seen: DataFrame) -> DataFrame:
     ext, sha = extension(F.col("path")), F.sha2("content", 256)
     known = seen.select("sha256").distinct().withColumn("_known", F.lit(True))
     rows = members.withColumn("sha256", sha).join(known, "sha256", "left")
-    status = F.when(F.col("error").isNotNull(), "failed").when(ext.isin("zip", "tar", "gz", "tgz"), "nested").when(~ext.isin(*MEDIA), "unsupported").when(F.col("_known"), "duplicate").otherwise("queued")
+    status = F.when(F.col("error").isNotNull(), "failed").when(ext.isin(*ARCHIVES), "nested").when(~ext.isin(*MEDIA), "unsupported").when(F.col("_known"), "duplicate").otherwise("queued")
     return rows.withColumn("status", status).drop("_known")
 
 

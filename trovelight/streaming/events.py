@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -65,3 +65,10 @@ def task_states(events: DataFrame) -> DataFrame:
 
     schema = "task_id string, state string, n_events long, rejected long"
     return events.groupBy("task_id").applyInPandasWithState(fold, schema, "state string, n_events long, rejected long", "update", GroupStateTimeout.NoTimeout)
+
+
+def exact_rates(events: DataFrame, client: str, ts: str, limit: int = 1000, seconds: int = 60) -> DataFrame:
+    """Batch events with ``n_recent``, the requests of their client in the last ``seconds`` up to them, and whether those are over the limit."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    w = Window.partitionBy(client).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
+    return events.withColumn("n_recent", F.count("*").over(w)).withColumn("limited", F.col("n_recent") > limit)
