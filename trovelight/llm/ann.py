@@ -3,7 +3,7 @@
 Vectors get one more coordinate that makes all norms equal, so that the largest inner product is the smallest distance.
 k-means on a bounded sample gives the lists; every vector is in one. A list is dealt over chunks of a bounded size. In a
 chunk the rotated vectors are read in column blocks, and after each block a hypothesis test on the partial distance abandons
-candidates that are unlikely to beat the k-th best so far. What survives is scored exactly on the original vectors.
+candidates that are unlikely to beat the k-th best so far in that chunk. What survives is scored exactly on the original vectors.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ ROWS_PER_LIST, MOST_LISTS = 800, 4096
 #: Vectors of a list that one task holds at a time.
 CHUNK_ROWS = 4_000
 #: Share of the sampled queries' neighbours whose lists are probed.
-COVERED = 0.96
+COVERED = 0.985
 #: Queries that meet a chunk in one product.
 QUERIES_AT_ONCE = 256
-COLUMN_BLOCK = 16
+#: Candidates between two updates of the bound, and columns between two tests.
+ROWS_AT_ONCE, COLUMN_BLOCK = 1_000, 16
 #: Width of the hypothesis test: an estimate this many deviations too far abandons a candidate.
 EPSILON = 2.1
 
@@ -77,32 +78,53 @@ def probes_needed(x: np.ndarray, q: np.ndarray, c: np.ndarray, k: int) -> int:
 
 
 def scan(ids: np.ndarray, x: np.ndarray, xr: np.ndarray, qids: np.ndarray, q: np.ndarray, qr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of one chunk for each of some queries: (query index, ids, scores), score descending, ties to the smaller id."""
+    """The k best candidates of one chunk for each of some queries: (query index, ids, scores), score descending, ties to the smaller id.
+
+    The first rows are read whole and give a bound; each block of rows after them is read by column blocks, and what survives tightens the bound for the next block.
+    """
     dims, n = xr.shape[1], len(ids)
-    first = min(n, 8 * k)
+    first = min(n, max(8 * k, ROWS_AT_ONCE // 4))
     seen = distances(qr, xr[:first])
-    bound = np.partition(seen, k, 1)[:, k] if first > k else np.full(len(q), np.inf)
-    slack = 1e-9 * (1 + np.abs(bound))
-    near_q, near_x = np.nonzero(seen <= (bound + slack)[:, None])
-    # The first column block as one product; what is left of the pairs after each test goes on to the next block.
-    part, width = distances(qr[:, :COLUMN_BLOCK], xr[first:, :COLUMN_BLOCK]), min(COLUMN_BLOCK, dims)
-    limit = lambda b: (bound * (b / dims) * (1 + EPSILON / np.sqrt(b)) ** 2 if b < dims else bound) + slack
-    alive_q, alive_x = np.nonzero(part <= limit(width)[:, None])
-    part = part[alive_q, alive_x]
-    for a in range(COLUMN_BLOCK, dims, COLUMN_BLOCK):
-        b = min(dims, a + COLUMN_BLOCK)
-        part = part + ((qr[alive_q, a:b] - xr[first + alive_x, a:b]) ** 2).sum(1)
-        keep = part <= limit(b)[alive_q]
-        alive_q, alive_x, part = alive_q[keep], alive_x[keep], part[keep]
-    at_q, at_x = np.concatenate([near_q, alive_q]), np.concatenate([near_x, first + alive_x])
+    best = np.full((len(q), k + 1), np.inf)  # the k + 1 smallest distances so far, the query's own perhaps among them
+
+    def keep(near: np.ndarray) -> None:
+        both = np.concatenate([best, near], 1)
+        best[:] = np.partition(both, k, 1)[:, : k + 1]
+
+    keep(seen)
+    bound = best.max(1)
+    slack = lambda: 1e-9 * (1 + np.where(np.isfinite(bound), np.abs(bound), 0.0))
+    near_q, near_x = np.nonzero(seen <= (bound + slack())[:, None])
+    at_q, at_x = [near_q], [near_x]
+    for top in range(first, n, ROWS_AT_ONCE):
+        rows = xr[top : top + ROWS_AT_ONCE]
+        limit = lambda b: (bound * (b / dims) * (1 + EPSILON / np.sqrt(b)) ** 2 if b < dims else bound) + slack()
+        # The first column block as one product; what is left of the pairs after each test goes on to the next block.
+        width = min(COLUMN_BLOCK, dims)
+        part = distances(qr[:, :width], rows[:, :width])
+        alive_q, alive_x = np.nonzero(part <= limit(width)[:, None])
+        part = part[alive_q, alive_x]
+        for a in range(width, dims, COLUMN_BLOCK):
+            b = min(dims, a + COLUMN_BLOCK)
+            part = part + ((qr[alive_q, a:b] - rows[alive_x, a:b]) ** 2).sum(1)
+            stays = part <= limit(b)[alive_q]
+            alive_q, alive_x, part = alive_q[stays], alive_x[stays], part[stays]
+        at_q.append(alive_q)
+        at_x.append(top + alive_x)
+        if len(part):
+            near = np.full((len(q), int(np.bincount(alive_q).max())), np.inf)
+            near[alive_q, np.arange(len(alive_q)) - np.searchsorted(alive_q, alive_q)] = part
+            keep(near)
+            bound = best.max(1)
+    at_q, at_x = np.concatenate(at_q), np.concatenate(at_x)
     other = ids[at_x] != qids[at_q]
     at_q, at_x = at_q[other], at_x[other]
     scores = (x[at_x] * q[at_q]).sum(1)
     order = np.lexsort((ids[at_x], -scores, at_q))
     at_q, at_x, scores = at_q[order], at_x[order], scores[order]
     place = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
-    best = place < k
-    return at_q[best], ids[at_x[best]], scores[best]
+    found = place < k
+    return at_q[found], ids[at_x[found]], scores[found]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -125,7 +147,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     x = augmented(np.array(sample["v"].to_pylist(), np.float64).reshape(-1, dims), norm)
     lists = max(1, min(MOST_LISTS, len(x) // 4, total // ROWS_PER_LIST))
     c = centroids(x, lists) if len(x) else np.zeros((1, dims + 1))
-    some = np.array(asked.filter(F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(1 << 20)) < (1 << 20)).limit(SAMPLE_QUERIES).toArrow()["v"].to_pylist(), np.float64).reshape(-1, dims)
+    # The queries with the least hashes: a sample that doesn't depend on the order of the table.
+    drawn = asked.orderBy(F.xxhash64("vec_id", F.lit(4)), "vec_id").limit(SAMPLE_QUERIES)
+    some = np.array(drawn.toArrow()["v"].to_pylist(), np.float64).reshape(-1, dims)
     probes = probes_needed(x, augmented(some, None), c, k) if lists > 1 and len(some) else lists
     shared = spark.sparkContext.broadcast(c)
 
