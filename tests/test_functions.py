@@ -171,13 +171,22 @@ def test_files_and_archives(spark, tmp_path):
         t.addfile(link)
     listing = files.read_files(spark, str(tmp_path), ["nothing"])
     kinds = {r.path.rsplit("/", 1)[1]: (r.media_type, r.error) for r in files.detect(listing).collect()}
-    assert kinds["lie.pdf"] == (None, "MIME_MISMATCH") and kinds["x.zip"] == (None, "UNSUPPORTED_FORMAT") and kinds["d.docx"][1] is None
+    assert kinds["lie.pdf"] == (None, "MIME_MISMATCH") and kinds["x.zip"] == ("application/zip", None) and kinds["d.docx"][1] is None
     blocks = {(r.path.rsplit("/", 1)[1], r.ordinal): (r.content_text, r.error) for r in files.office_blocks(listing).collect()}
     assert blocks["d.docx", 2][0] == "Two" and blocks["p.pptx", 1][0] == "Slide" and blocks["s.xlsx", 1][0] == "cell | 7" and blocks["bad.docx", 0][1].startswith("PARSE_FAILED")
     members = files.expand_archives(listing)
     seen = spark.createDataFrame([("seen",)], "t string").select(F.sha2("t", 256).alias("sha256"))
     status = {r.name: (r.status, r.error) for r in files.import_manifest(members, seen).collect()}
     assert status == {"extra.txt": ("queued", None), "../outside.txt": ("failed", "UNSAFE_PATH"), "inner.zip": ("nested", None), "b.exe": ("unsupported", None), "old.md": ("duplicate", None), "in/a.csv": ("queued", None), "link.txt": ("failed", "LINK_OR_DEVICE")}
+    results, parsed = files.parse(listing)
+    states = {r.path.rsplit("/", 1)[1]: (r.state, r.error, r.n_blocks) for r in results.collect()}
+    assert states["d.docx"] == ("ready", None, 2) and states["p.pptx"] == ("review_required", None, 1) and states["bad.docx"] == ("failed", "PARSE_FAILED", 0)
+    assert states["lie.pdf"] == ("quarantined", "MIME_MISMATCH", 0) and states["x.zip"] == ("failed", "ARCHIVE_REQUIRES_IMPORT", 0) and states["t.tar.gz"][1] == "ARCHIVE_REQUIRES_IMPORT"
+    assert [r.markdown for r in results.filter("path like '%/d.docx'").collect()] == ["# d.docx\n\nOne\n\nTwo\n"] and parsed.count() == 4
+    odd = spark.createDataFrame([("in/a.txt", bytearray(b"\xff\xfe")), ("in/b.md", bytearray("# T\n\nx".encode())), ("in/c.gif", bytearray(b"g")), ("in/none", bytearray())], "path string, content binary")
+    assert {r.path: (r.state, r.error, r.warning) for r in files.parse(odd)[0].collect()} == {
+        "in/a.txt": ("failed", "ENCODING_INVALID", None), "in/b.md": ("ready", None, None), "in/c.gif": ("review_required", None, "OCR_PROVIDER_REQUIRED"), "in/none": ("unsupported", "UNSUPPORTED_FORMAT", None),
+    }
     before = listing.select("path", "length", "modificationTime")
     after = before.withColumn("length", F.when(F.col("path").endswith("lie.pdf"), 1).otherwise(F.col("length"))).filter(~F.col("path").endswith("x.zip"))
     change = {r.path.rsplit("/", 1)[1]: r.change for r in files.changed_files(before, after).collect()}
@@ -223,6 +232,48 @@ def test_audit_chain(spark):
     assert check(chain.filter("eventId != 2"))["w"][2:] == (3, "previous_hash mismatch")
 
 
+def test_an_archive_stops_at_its_budget(spark):
+    data = zipped({"a.txt": "a", "big.txt": "0" * 500_000, "c.txt": "c"})
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in (("a.txt", "a"), ("big.txt", "0" * 5_000_000), ("c.txt", "c")):
+            z.writestr(name, text)
+    rows = spark.createDataFrame([("x.zip", bytearray(data)), ("y.zip", bytearray(out.getvalue()))], "path string, content binary")
+    got = {(r.archive, r.name): r.error for r in files.expand_archives(rows).collect()}
+    assert got == {("x.zip", "a.txt"): None, ("x.zip", "big.txt"): None, ("x.zip", "c.txt"): None, ("y.zip", "a.txt"): None, ("y.zip", "big.txt"): "ARCHIVE_BUDGET"}
+
+
+def test_vector_channel_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(60, 8))
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [1.0])], "chunk_id long, embedding array<double>")
+    asked = chunks.filter("chunk_id < 10").select(F.col("chunk_id").alias("query_id"), "embedding")
+    want = {(q, int(c)) for q in range(10) for c in np.argsort(-(x @ x[q]))[:5]}
+    for size in (256, 3):
+        monkeypatch.setattr(S, "QUERIES_AT_ONCE", size)
+        assert {(r.query_id, r.chunk_id) for r in S.vector_channel(asked, chunks, 5).collect()} == want
+
+
+def test_release_cache():
+    class Frame:
+        held = 0
+
+        def persist(self, level):
+            Frame.held += 1
+            return self
+
+        def unpersist(self):
+            Frame.held -= 1
+
+    cache = S.ReleaseCache(2)
+    a = cache.get(("a",), Frame)
+    cache.get(("b",), Frame)
+    assert cache.get(("a",), Frame) is a
+    cache.get(("c",), Frame)
+    assert Frame.held == 2 and list(cache.held) == [("a",), ("c",)]
+
+
 def test_idempotent_tasks(spark):
     tasks = spark.createDataFrame([("k1", "f", "succeeded"), ("k2", "f", "failed"), ("k3", "g", "running")], "idempotency_key string, fingerprint string, status string")
     req = spark.createDataFrame([("k1", "f"), ("k1", "f"), ("k2", "f"), ("k3", "f"), ("k4", "f")], "idempotency_key string, fingerprint string")
