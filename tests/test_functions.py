@@ -183,9 +183,9 @@ def test_files_and_archives(spark, tmp_path):
     assert states["d.docx"] == ("ready", None, 2) and states["p.pptx"] == ("review_required", None, 1) and states["bad.docx"] == ("failed", "PARSE_FAILED", 0)
     assert states["lie.pdf"] == ("quarantined", "MIME_MISMATCH", 0) and states["x.zip"] == ("failed", "ARCHIVE_REQUIRES_IMPORT", 0) and states["t.tar.gz"][1] == "ARCHIVE_REQUIRES_IMPORT"
     assert [r.markdown for r in results.filter("path like '%/d.docx'").collect()] == ["# d.docx\n\nOne\n\nTwo\n"] and parsed.count() == 4
-    odd = spark.createDataFrame([("in/a.txt", bytearray(b"\xff\xfe")), ("in/b.md", bytearray("# T\n\nx".encode())), ("in/c.gif", bytearray(b"g")), ("in/none", bytearray())], "path string, content binary")
+    odd = spark.createDataFrame([("in/a.txt", bytearray(b"\xff\xfe")), ("in/b.md", bytearray("# T\n\nx".encode())), ("in/c.gif", bytearray(b"g")), ("in/d.csv", bytearray(b"a,\xff")), ("in/none", bytearray())], "path string, content binary")
     assert {r.path: (r.state, r.error, r.warning) for r in files.parse(odd)[0].collect()} == {
-        "in/a.txt": ("failed", "ENCODING_INVALID", None), "in/b.md": ("ready", None, None), "in/c.gif": ("review_required", None, "OCR_PROVIDER_REQUIRED"), "in/none": ("unsupported", "UNSUPPORTED_FORMAT", None),
+        "in/a.txt": ("failed", "ENCODING_INVALID", None), "in/b.md": ("ready", None, None), "in/c.gif": ("review_required", None, "OCR_PROVIDER_REQUIRED"), "in/d.csv": ("failed", "ENCODING_INVALID", None), "in/none": ("unsupported", "UNSUPPORTED_FORMAT", None),
     }
     before = listing.select("path", "length", "modificationTime")
     after = before.withColumn("length", F.when(F.col("path").endswith("lie.pdf"), 1).otherwise(F.col("length"))).filter(~F.col("path").endswith("x.zip"))

@@ -136,9 +136,9 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     seen = detect(files).withColumn("ext", extension(F.col("path")))
     good = seen.filter("error is null")
-    text = good.filter(F.col("ext").isin("md", "txt")).select("path", F.try_validate_utf8(F.decode("content", "UTF-8")).alias("t"), (F.encode(F.decode("content", "UTF-8"), "UTF-8") == F.col("content")).alias("whole"))
-    blocks = split_blocks(text.filter("whole"), "path", "t").select("path", "ordinal", "type", "content_md", "content_text")
-    table = good.filter("ext = 'csv'").select("path", F.lit(1).alias("ordinal"), F.lit("table").alias("type"), csv_block(F.col("content")).alias("content_md")).withColumn("content_text", F.col("content_md"))
+    text = good.filter(F.col("ext").isin("md", "txt", "csv")).select("path", "ext", F.col("content").cast("string").alias("t"), F.is_valid_utf8(F.col("content").cast("string")).alias("whole"))
+    blocks = split_blocks(text.filter("whole and ext != 'csv'"), "path", "t").select("path", "ordinal", "type", "content_md", "content_text")
+    table = text.filter("whole and ext = 'csv'").select("path", F.lit(1).alias("ordinal"), F.lit("table").alias("type"), csv_block(F.encode("t", "UTF-8")).alias("content_md")).withColumn("content_text", F.col("content_md"))
     office = office_blocks(good)
     read = office.filter("error is null").select("path", "ordinal", "type", F.col("content_text").alias("content_md"), "content_text")
     all_blocks = blocks.unionByName(table).unionByName(read).filter(F.trim("content_text") != "").withColumn("token_count", T.token_estimate(F.col("content_text")))
