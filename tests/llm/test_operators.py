@@ -150,6 +150,15 @@ def test_line_frequency_rejects_depleted_documents(spark):
     assert got[0] is False and got[200] is True and got[300] is False and all(got[100 + i] for i in range(30))
 
 
+@pytest.mark.parametrize("others", [0, 300, 3000])
+def test_shared_lines_count_alike_on_hosts_of_any_size(spark, others):
+    shared = "accept all the cookies of this site to read on\nsign up for our weekly letter with news"
+    rows = [(i, f"{shared}\nonly {'abcdefghijklmnopqrstuvwxyz'[i % 26] * (1 + i // 26)}", "h") for i in range(50)]
+    rows += [(1000 + i, " ".join(f"w{'abcdefghij'[(i * k) % 10]}{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for k in range(12)), "h") for i in range(others)]
+    got = {r.doc_id: r.kept for r in linefreq.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[i] for i in range(50)) and all(got[i] for i in got if i >= 1000)
+
+
 def test_copies_count_once_per_host(spark):
     rows = [(i, BASE + "\nunique closing line of these copies", "h") for i in range(50)] + [(99, "another text that has nothing in common with the copies at all here", "h")]
     assert all(r.kept for r in linefreq.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from trovelight.llm import common
 
-#: Limits: a line is removed when more distinct documents of its host hold it than both of these allow.
-LINE_LEAST = 5
+#: Limits: a line is removed when more distinct documents of its host hold it than this share of them, but never fewer than the least
+#: and never more than the most, so that the limit does not fade as a host grows (from 1,000 documents on it is the most).
+LINE_LEAST, LINE_MOST = 5, 20
 LINE_SHARE = 0.02
 #: A document is depleted when fewer words than this remain, or when this share of its words went.
 REMAINING_WORDS = 10
@@ -80,7 +81,8 @@ def depleted_texts(docs: DataFrame, host: str) -> DataFrame:
     texts = common.materialize(rows.groupBy("host", "h1", "h2").agg(F.first("lines").alias("lines")), "line-hashes")
     held = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda s: s["line"]))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > LINE_LEAST)
     sizes = common.materialize(texts.groupBy("host").agg(F.count("*").alias("host_docs")), "host-sizes")
-    above = common.join_hot(held, sizes, ["host"], "inner", F.col("line")).filter(F.col("n_docs") > LINE_SHARE * F.col("host_docs")).select("host", "line", F.lit(True).alias("above"))
+    limit = F.least(F.lit(float(LINE_MOST)), LINE_SHARE * F.col("host_docs"))
+    above = common.join_hot(held, sizes, ["host"], "inner", F.col("line")).filter(F.col("n_docs") > limit).select("host", "line", F.lit(True).alias("above"))
     above = common.materialize(above, "lines-above")
     each = texts.select("host", "h1", "h2", F.explode("lines").alias("s")).select("host", "h1", "h2", F.col("s.line").alias("line"), F.col("s.n").alias("n"))
     joined = common.join_hot(each, above, ["host", "line"], "left", F.col("h1"))
@@ -117,7 +119,7 @@ lines AS (SELECT * FROM lw WHERE n > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 hosts AS (SELECT host, count(DISTINCT text) AS n FROM d WHERE text IS NOT NULL GROUP BY host),
 above AS (SELECT l.host, l.norm FROM lines l JOIN hosts h USING (host) GROUP BY l.host, l.norm, h.n
-          HAVING count(DISTINCT l.text) > {LINE_LEAST} AND count(DISTINCT l.text) > {LINE_SHARE} * h.n),
+          HAVING count(DISTINCT l.text) > {LINE_LEAST} AND count(DISTINCT l.text) > least({LINE_MOST}, {LINE_SHARE} * h.n)),
 gone AS (SELECT l.r, sum(l.n) AS n, sum(CASE WHEN a.norm IS NOT NULL THEN l.n ELSE 0 END) AS gone
          FROM lines l LEFT JOIN above a ON a.host = l.host AND a.norm = l.norm GROUP BY l.r),
 base AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
