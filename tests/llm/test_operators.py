@@ -408,6 +408,16 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(empty, empty.select("doc_id", F.lit(1).alias("toxic"))), ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxicity_is_not_sure_of_what_it_cannot_know(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{chr(97 + v % 26)}{chr(97 + v // 26)}x" for v in rnd.integers(0, 600, 40)), int(rnd.random() < 0.3)) for i in range(600)]
+    rows += [(1000, None, 1), (1001, "", None), (1002, "odd label", 7), (None, "no id", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    model = toxicity.fit(d, d.filter("doc_id % 3 != 1 or doc_id is null").select("doc_id", "toxic"))
+    scored = [r.score for r in toxicity.score(d.filter("doc_id % 3 = 1 and doc_id < 1000"), model, ["doc_id"]).collect()]
+    assert max(scored) < 0.7 and abs(np.mean(scored) - 0.3) < 0.08
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(0)
     raw = rng.normal(size=500)

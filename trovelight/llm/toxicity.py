@@ -22,7 +22,11 @@ LEXICON_SHARE = 0.01
 LEXICON_LEAST = 3
 STRONG_ODDS, WEAK_ODDS = 200.0, 20.0
 THRESHOLD = 0.7
-TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 32
+TREES, DEPTH, RATE, BINS = 40, 3, 0.1, 32
+#: Added to the sum of second derivatives of a node, so that small leaves stay modest and scores of different folds comparable.
+SHRINK = 5.0
+#: Folds of the labelled rows, by hash of the text, so that copies stay together.
+FOLDS = 3
 FEATURES = ("strong_density", "strong_count", "strong_distinct", "weak_density", "second_person_near", "second_person", "capitals", "punctuation", "obfuscated", "log_words")
 
 #: Pronouns of the second person, and look-alikes of letters.
@@ -115,12 +119,12 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
             for j in range(x.shape[1]) if len(rows) >= 2 else ():
                 sg = np.cumsum(np.bincount(binned[rows, j], g[rows], BINS + 2))
                 sh = np.cumsum(np.bincount(binned[rows, j], h[rows], BINS + 2))
-                gain = sg**2 / (sh + 1) + (sg[-1] - sg) ** 2 / (sh[-1] - sh + 1) - sg[-1] ** 2 / (sh[-1] + 1)
+                gain = sg**2 / (sh + SHRINK) + (sg[-1] - sg) ** 2 / (sh[-1] - sh + SHRINK) - sg[-1] ** 2 / (sh[-1] + SHRINK)
                 if gain.max() > best:
                     best, feature[k], cut[k] = gain.max(), j, int(gain.argmax())
             node[rows] = 2 * k + 1 + (binned[rows, feature[k]] > cut[k])
         at = node - inner
-        leaf = RATE * np.bincount(at, g, inner + 1) / (np.bincount(at, h, inner + 1) + 1)
+        leaf = RATE * np.bincount(at, g, inner + 1) / (np.bincount(at, h, inner + 1) + SHRINK)
         f = f + leaf[at]
         trees.append((feature, cut, leaf))
     return Trees(edges, float(base), trees)
@@ -157,11 +161,10 @@ class Model:
         return np.interp(self.trees.raw(x), *self.knots)
 
 
-def fit_scores(x: np.ndarray, y: np.ndarray) -> tuple[Trees, tuple[np.ndarray, np.ndarray]]:
-    """Trees on all rows; calibration on the scores of rows that their own trees did not see (three folds)."""
-    fold = np.random.default_rng(3).permutation(len(y)) % 3
+def fit_scores(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[Trees, tuple[np.ndarray, np.ndarray]]:
+    """Trees on all rows; calibration on the scores of rows whose fold their own trees did not see."""
     raw = np.zeros(len(y))
-    for k in range(3):
+    for k in range(FOLDS):
         if (fold == k).any() and (fold != k).any():
             raw[fold == k] = boost(x[fold != k], y[fold != k]).raw(x[fold == k])
     return boost(x, y), isotonic(raw, y)
@@ -170,44 +173,58 @@ def fit_scores(x: np.ndarray, y: np.ndarray) -> tuple[Trees, tuple[np.ndarray, n
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; a document with several labels takes the highest.
 
-    Without labelled rows every score is 0.5 of nothing learnt, that is 0.
+    The lexicon of the model is made from all rows; the features that the trees learn from come from lexicons made without the row's own fold. Rows without a label, a doc_id or a document take
+    no part; a null or empty text is an empty one; long texts are read whole; repeated documents count as often as they occur, copies in one fold;
+    ties of odds or scores share a side. Without labelled rows of both kinds nothing is learnt and every score is 0.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = sample_by(known, "toxic", TRAIN_ROWS_PER_CLASS, "doc_id")  # bounded per class, so it may be broadcast
-    rows = common.materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")), "toxic-sample")
-    totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    toxic, clean = totals.get(1, 0), totals.get(0, 0)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    rows = common.materialize(rows, "toxic-sample")
+    totals = np.zeros((2, FOLDS))
+    for r in rows.filter("toxic in (0, 1)").groupBy("toxic", "fold").count().collect():
+        totals[r[0], r[1]] = r[2]
+    clean, toxic = totals.sum(1)
     empty = Model(Lexicon(), Trees([np.zeros(0)] * len(FEATURES), 0.0, []), (np.array([0.0]), np.array([0.0])))
     if not toxic or not clean:
         return empty
 
-    def counted(only: frozenset[str] | None):
+    def counts(label: int, least: float, only: frozenset[str] | None) -> dict[str, np.ndarray]:
+        """Rows of each fold that hold a term, for the terms that ``least`` rows of this label hold."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n: Counter = Counter()
-                for text in batch.column(0).to_pylist():
+                for fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     found = {t for w in set(words_of(text)) if w for t in terms_of(w)}
-                    n.update(found if only is None else found & only)
-                yield pa.RecordBatch.from_pydict({"term": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+                    n.update((fold, t) for t in (found if only is None else found & only))
+                yield pa.RecordBatch.from_pydict({"fold": pa.array([f for f, _ in n], pa.int32()), "term": pa.array([t for _, t in n], pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+
+        found = rows.filter(F.col("toxic") == label).select("fold", "text").mapInArrow(run, "fold int, term string, n long")
+        folds = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)]
+        return {r[0]: np.array(r[1:], float) for r in found.groupBy("term").agg(*folds).filter(sum(F.col(f"n{k}") for k in range(FOLDS)) >= least).collect()}
+
+    in_toxic = counts(1, max(LEXICON_LEAST, LEXICON_SHARE * toxic * (FOLDS - 1) / FOLDS), None)
+    in_clean = counts(0, 0, frozenset(in_toxic))
 
-        return run
+    def lexicon(use: np.ndarray) -> Lexicon:
+        """The lexicon of the folds in ``use``."""
+        clean, toxic = totals @ use
+        odds = {t: (n @ use / max(toxic, 1)) / max(in_clean.get(t, np.zeros(FOLDS)) @ use / max(clean, 1), 1e-9) for t, n in in_toxic.items() if n @ use >= max(LEXICON_LEAST, LEXICON_SHARE * toxic)}
+        return Lexicon(frozenset(t for t, o in odds.items() if o >= STRONG_ODDS), frozenset(t for t, o in odds.items() if WEAK_ODDS <= o < STRONG_ODDS))
 
-    least = max(LEXICON_LEAST, LEXICON_SHARE * toxic)
-    of = rows.filter("toxic = 1").select("text").mapInArrow(counted(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    in_toxic = {r[0]: r[1] for r in of.collect()}
-    of = rows.filter("toxic = 0").select("text").mapInArrow(counted(frozenset(in_toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    in_clean = {r[0]: r[1] for r in of.collect()}
-    odds = {t: (n / toxic) / max(in_clean.get(t, 0) / clean, 1e-9) for t, n in in_toxic.items()}
-    lexicon = Lexicon(frozenset(t for t, o in odds.items() if o >= STRONG_ODDS), frozenset(t for t, o in odds.items() if WEAK_ODDS <= o < STRONG_ODDS))
+    lexicons = [lexicon(np.arange(FOLDS) != k) for k in range(FOLDS + 1)]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexicon.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["toxic", "x"])
+            x = [lexicons[k].features(t) for k, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["toxic", "fold", "x"])
 
-    got = rows.mapInArrow(features, "toxic int, x array<double>").toArrow()
-    pairs = sorted(zip(got["toxic"].to_pylist(), got["x"].to_pylist()))
-    trees, knots = fit_scores(np.array([x for _, x in pairs]), np.array([float(t) for t, _ in pairs]))
-    return Model(lexicon, trees, knots)
+    got = rows.filter("toxic in (0, 1)").mapInArrow(features, "toxic int, fold int, x array<double>").toArrow()
+    ordered = sorted(zip(got["toxic"].to_pylist(), got["fold"].to_pylist(), got["x"].to_pylist()))
+    trees, knots = fit_scores(np.array([x for _, _, x in ordered]), np.array([float(t) for t, _, _ in ordered]), np.array([k for _, k, _ in ordered]))
+    return Model(lexicons[FOLDS], trees, knots)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
