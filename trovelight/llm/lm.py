@@ -216,3 +216,27 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     bigrams = common.materialize(with_words.groupBy("batch").applyInArrow(ask_bigrams, asked).groupBy("bucket").applyInArrow(_answer, _REPLY).select("batch", "bucket", "times"), "bigram-counts")
     both = with_words.unionByName(replies(bigrams, 2), allowMissingColumns=True)
     return both.groupBy("batch").applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
+
+
+#: Scores to six places, as the registered query gives them.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+o AS (SELECT r, unnest(generate_series(1, len(w))) AS i, lower(unnest(w)) AS w FROM d),
+total AS (SELECT count(*) AS n FROM o),
+c AS (SELECT w, count(*) AS n FROM o GROUP BY w),
+rare AS (SELECT coalesce(sum(n), 0) AS words, count(*) AS kinds FROM c WHERE n < {LEAST_COUNT}),
+v AS (SELECT w, CASE WHEN c.n >= {LEAST_COUNT} THEN w ELSE '' END AS known,
+             ln(CASE WHEN c.n >= {LEAST_COUNT} THEN c.n ELSE greatest(rare.words, 1) END::DOUBLE) AS context,
+             ln(CASE WHEN c.n >= {LEAST_COUNT} THEN c.n::DOUBLE ELSE greatest(rare.words, 1)::DOUBLE / greatest(rare.kinds, 1) END / total.n) AS share
+      FROM c, rare, total),
+t AS (SELECT r, i, known, context, share, lag(known) OVER x AS before, lag(context) OVER x AS before_context FROM o JOIN v USING (w) WINDOW x AS (PARTITION BY r ORDER BY i)),
+own AS (SELECT r, before, known, before_context, share, count(*) AS n FROM t WHERE i > 1 GROUP BY ALL),
+held AS (SELECT before, known, sum(n) AS n FROM own GROUP BY before, known),
+s AS (SELECT r, own.n * CASE WHEN held.n > own_n THEN ln((held.n - own_n)::DOUBLE) - before_context ELSE ln({BACKOFF}::DOUBLE) + share END AS x
+      FROM (SELECT *, sum(n) OVER (PARTITION BY r, before, known) AS own_n FROM own) own JOIN held USING (before, known)
+      UNION ALL SELECT r, share FROM t WHERE i = 1),
+sums AS (SELECT r, sum(x) AS x FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(x, 0), 6) AS log_score,
+       CASE WHEN len(w) > 0 THEN round(x / len(w), 6) END AS mean_log_score
+FROM d LEFT JOIN sums USING (r)
+"""

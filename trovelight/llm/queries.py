@@ -66,8 +66,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff score of every document by the counts of all documents."""
-    return lm.backoff_scores(common.table(spark, sf_dir, "documents"))
+    """Stupid-backoff score of every document by the counts of all documents, to six places."""
+    scores = lm.backoff_scores(common.table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +90,4 @@ QUERIES = {
         op6_language_id, op7_toxicity, op8_stupid_backoff, op9_token_store, op10_html_extraction,
     )
 }
-ORACLES: dict[str, str] = {"op3_line_frequency": linefreq.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_frequency": linefreq.ORACLE, "op8_stupid_backoff": lm.ORACLE}
