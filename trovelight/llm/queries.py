@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import ann, common, html, jaccard, langid, linefreq, lm, mixing, packing, tokens, toxicity
+from trovelight.llm import ann, codes, common, html, jaccard, langid, linefreq, lm, mixing, neardup, packing, phrases, tokens, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
@@ -83,11 +83,27 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(common.table(spark, sf_dir, "pages"))
 
 
+def op11_pstable_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding with its links to others of its label at a cosine of 0.93 or more, and the component they make."""
+    return neardup.link(common.table(spark, sf_dir, "embeddings"))
+
+
+def op12_partial_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite embedding as a code of four bytes, with its error and that of its label."""
+    return codes.compress(common.table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language of all documents."""
+    return phrases.collocations(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     query.__name__: common.lean_batches(query)
     for query in (
         op1_adaptive_scan, op2_best_fit_packing, op3_line_frequency, op4_temperature_mixing, op5_ngram_jaccard_join,
         op6_language_id, op7_toxicity, op8_stupid_backoff, op9_token_store, op10_html_extraction,
+        op11_pstable_neardup, op12_partial_distance_codes, op13_pivot_phrases,
     )
 }
-ORACLES: dict[str, str] = {"op3_line_frequency": linefreq.ORACLE, "op8_stupid_backoff": lm.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_frequency": linefreq.ORACLE, "op8_stupid_backoff": lm.ORACLE, "op12_partial_distance_codes": codes.ORACLE, "op13_pivot_phrases": phrases.ORACLE}
