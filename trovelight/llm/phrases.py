@@ -27,7 +27,7 @@ COUNTER_BITS = 21
 #: Steps of a counter's level for each doubling of its count.
 LEVEL_STEPS = 8
 #: Bytes of text that are cut into fragments at a time, and of fragments that are mined at a time.
-TEXT_BYTES, MINE_BYTES = 8 << 20, 16 << 20
+TEXT_BYTES, MINE_BYTES = 6 << 20, 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -83,31 +83,30 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
         yield langs.dictionary[int(code[a])].as_py(), batch.column(1).take(pa.array(order[a:b]))
 
 
-def _slots(lang: str, words: list[str], bits: int) -> tuple[np.ndarray, int]:
-    """(hash of each word, mask that makes it a counter)."""
+def _hashes(lang: str, words: list[str]) -> np.ndarray:
+    """crc32 of lang and word, one after the other."""
     seed = zlib.crc32(lang.encode())
-    return np.fromiter((zlib.crc32(w.encode(), seed) for w in words), np.int64, len(words)), (1 << bits) - 1
+    return np.fromiter((zlib.crc32(w.encode(), seed) for w in words), np.int64, len(words))
 
 
-def _word_counts(docs: DataFrame, bits: int) -> DataFrame:
-    """(lang, word, slot, a): occurrences of each word."""
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, a): occurrences of each word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, texts in _by_lang(batch):
                 w = Words(texts)
-                crc, mask = _slots(lang, w.words.to_pylist(), bits)
-                n = np.bincount(w.code, minlength=len(crc))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(crc), pa.string()), w.words.cast(pa.string()), pa.array(crc & mask), pa.array(n)], ["lang", "word", "slot", "a"])
+                n = np.bincount(w.code, minlength=len(w.words))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), w.words.cast(pa.string()), pa.array(n)], ["lang", "word", "a"])
 
-    found = docs.mapInArrow(count, "lang string, word string, slot long, a long")
-    return found.groupBy("lang", "word").agg(F.any_value("slot").alias("slot"), F.sum("a").alias("a"))
+    return docs.mapInArrow(count, "lang string, word string, a long").groupBy("lang", "word").agg(F.sum("a").alias("a"))
 
 
 def _levels(words: DataFrame, min_count: int, bits: int) -> np.ndarray:
     """A byte for each counter: 0 where all its words together are too rare, else more the more they are."""
     level = F.least(F.lit(255), F.floor(LEVEL_STEPS * F.log2(F.col("a") / min_count)) + 1)
-    sums = words.groupBy("slot").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count).select("slot", level.cast("int").alias("level")).toArrow()
+    slot = F.crc32(F.concat("lang", "word")).bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")
+    sums = words.groupBy(slot).agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count).select("slot", level.cast("int").alias("level")).toArrow()
     table = np.zeros(1 << bits, np.uint8)
     table[sums["slot"].to_numpy()] = sums["level"].to_numpy()
     return table
@@ -132,10 +131,10 @@ def fragments(w: Words, key: np.ndarray, longest: int) -> tuple[np.ndarray, np.n
     return pivot, left[pivot], right[pivot]
 
 
-def _routed(docs: DataFrame, levels, total: int, min_count: int, longest: int, bits: int, partitions: int) -> DataFrame:
-    """(lang, pivot, salt, whole, frags, lefts, n): of each batch, the fragments of each pivot.
+def _routed(docs: DataFrame, levels, total: int, min_count: int, longest: int, partitions: int) -> DataFrame:
+    """(lang, pivot, salt, whole, word, frags, n): of each batch, the fragments of each pivot.
 
-    A fragment is its words joined by spaces, ``frags`` those of a pivot joined by line feeds, ``lefts`` the words before each pivot. A pivot
+    A fragment is the words before its pivot, a tab, and those after it; ``frags`` are joined by line feeds, ``n`` says how often each occurs. A pivot
     that may hold more than half a task's share of all words is spread over salts, and ``whole`` is false: its n-grams are summed up again.
     """
 
@@ -147,34 +146,34 @@ def _routed(docs: DataFrame, levels, total: int, min_count: int, longest: int, b
             for lang, texts in _by_lang(batch):
                 salt += 1
                 w = Words(texts)
-                crc, mask = _slots(lang, w.words.to_pylist(), bits)
-                level = table[crc & mask].astype(np.int64)
+                crc = _hashes(lang, w.words.to_pylist())
+                level = table[crc & (len(table) - 1)].astype(np.int64)
                 of_word = np.where(level > 0, level << 32 | crc, 0)
-                key = of_word[w.code]
-                at, left, right = fragments(w, key, longest)
+                at, left, right = fragments(w, of_word[w.code], longest)
                 if not len(at):
                     continue
-                # Words within a fragment stand apart by what the text has between them, spaces or tabs; single spaces take its place.
-                lone, starts, ends = _joined(w)
-                coded = _strings(lone, starts[at - left], ends[at + right]).dictionary_encode()
-                which = coded.indices.to_numpy()
-                # The same words have the same pivot, so a fragment tells its key and the words before it.
-                _, first, n = np.unique(which, return_index=True, return_counts=True)
-                order = np.argsort(key[at][first], kind="stable")
-                first, n = first[order], n[order]
-                pivots = key[at][first]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(pivots)) + 1, [len(pivots)]])
-                text = coded.dictionary.take(pa.array(which[first])).cast(pa.string())
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), text)
-                pivot = pivots[cuts[:-1]]
-                heavy = min_count * 2.0 ** ((pivot >> 32) / LEVEL_STEPS) * 2 * partitions / total
-                salts = np.maximum(1, np.ceil(heavy)).astype(np.int64)
+                data, starts, ends = _joined(w)
+                coded = _strings(data, starts[at - left], ends[at + right]).dictionary_encode().indices.to_numpy()
+                # The same words have the same pivot. Fragments with the same neighbours stand together, which makes them smaller on disk.
+                _, first, n = np.unique(coded, return_index=True, return_counts=True)
+                at, left, right = at[first], left[first], right[first]
+                beside = np.where(left > 0, w.code[at - 1], -1), np.where(right > 0, w.code[np.minimum(at + 1, len(w.code) - 1)], -1)
+                order = np.lexsort((*beside, w.code[at]))
+                at, left, right, n = at[order], left[order], right[order], n[order]
+                before = _strings(data, starts[at - left], np.where(left > 0, starts[at] - 1, starts[at]))
+                after = _strings(data, np.where(right > 0, ends[at] + 1, ends[at]), ends[at + right])
+                word = w.code[at]
+                cuts = pa.array(np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]]), pa.int32())
+                word = word[cuts.to_numpy()[:-1]]
+                frags = pc.binary_join_element_wise(before, after, pa.scalar("\t", pa.large_string())).cast(pa.string())
+                pivot = of_word[word]
+                salts = np.maximum(1, np.ceil(min_count * 2.0 ** ((pivot >> 32) / LEVEL_STEPS) * 2 * partitions / total)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(pivot), pa.string()), pa.array(pivot), pa.array((salt % salts).astype(np.int32)), pa.array(salts == 1), pc.binary_join(lists, "\n"),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(left[first], pa.int8())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(n, pa.int32())),
-                ], ["lang", "pivot", "salt", "whole", "frags", "lefts", "n"])
+                    pa.array([lang] * len(word), pa.string()), pa.array(pivot), pa.array((salt % salts).astype(np.int32)), pa.array(salts == 1), w.words.take(pa.array(word)).cast(pa.string()),
+                    pc.binary_join(pa.ListArray.from_arrays(cuts, frags), "\n"), pa.ListArray.from_arrays(cuts, pa.array(n, pa.int32())),
+                ], ["lang", "pivot", "salt", "whole", "word", "frags", "n"])
 
-    return docs.mapInArrow(cut, "lang string, pivot long, salt int, whole boolean, frags string, lefts array<byte>, n array<int>")
+    return docs.mapInArrow(cut, "lang string, pivot long, salt int, whole boolean, word string, frags string, n array<int>")
 
 
 def _joined(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,17 +186,17 @@ def _joined(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, starts, starts + lens
 
 
-def mined(frags: pa.Array, lefts: np.ndarray, n: np.ndarray, group: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, int]]:
-    """(group, phrases, counts, words) for each length: all n-grams that hold the pivot of their fragment; ``group`` is of each fragment."""
+def mined(frags: pa.Array, n: np.ndarray, group: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, int]]:
+    """(group, phrases, counts, words) for each length: all n-grams that hold the pivot of their fragment, the word after its tab; ``group`` is of each fragment."""
     w = Words(frags)
-    head = np.searchsorted(w.row, np.arange(len(frags)))
-    words = np.bincount(w.row, minlength=len(frags))
     data, starts, ends = _joined(w)
-    pivot = head + lefts
+    pivot = np.flatnonzero((w.starts > 0) & (w.data[np.maximum(w.starts, 1) - 1] == 9))
+    lefts = pivot - np.searchsorted(w.row, np.arange(len(frags)))
+    rights = np.bincount(w.row, minlength=len(frags)) - lefts - 1
     for length in range(2, longest + 1):
         at, of = [], []
         for before in range(length):
-            fits = np.flatnonzero((lefts >= before) & (words - lefts >= length - before))
+            fits = np.flatnonzero((lefts >= before) & (rights >= length - before - 1))
             at.append(pivot[fits] - before)
             of.append(fits)
         at, of = np.concatenate(at), np.concatenate(of)
@@ -216,26 +215,20 @@ def _counted(routed: DataFrame, min_count: int, longest: int) -> DataFrame:
 
     def mine(rows: list[pa.RecordBatch], closed: bool) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        lists = pc.split_pattern(t.column(4), "\n")
+        texts = [f.replace("\t", f"\t{word} ") for word, f in zip(t.column(4).to_pylist(), t.column(5).to_pylist())]
+        lists = pc.split_pattern(pa.array(texts, pa.string()), "\n")
         row = np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy())
         langs = t.column(0).dictionary_encode()
-        pivot = np.unique(np.column_stack([langs.indices.to_numpy(), t.column(1).to_numpy()]), axis=0, return_inverse=True)[1].ravel()
-        whole = t.column(3).to_numpy(zero_copy_only=False)
-        of_pivot = np.zeros(pivot.max() + 1, np.int64)
-        of_pivot[pivot] = langs.indices.to_numpy()
-        whole_pivot = np.ones(len(of_pivot), bool)
-        whole_pivot[pivot[~whole]] = False
-        lefts, n = (t.column(i).flatten().to_numpy().astype(np.int64) for i in (5, 6))
-        for group, phrases, counts, length in mined(lists.flatten(), lefts, n, pivot[row], longest):
-            keep = pa.array((counts >= min_count) | ~(whole_pivot[group] & closed))
-            lang = langs.dictionary.take(pa.array(of_pivot[group]))
-            columns = [lang, phrases.cast(pa.string()), pa.array(np.full(len(counts), length, np.int32)), pa.array(counts)]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n_words", "a"]).filter(keep)
+        _, of_row, pivot = np.unique(np.column_stack([langs.indices.to_numpy(), t.column(1).to_numpy()]), axis=0, return_index=True, return_inverse=True)
+        lang, whole = langs.indices.to_numpy()[of_row], t.column(3).to_numpy(zero_copy_only=False)[of_row] & closed
+        for group, phrases, counts, length in mined(lists.flatten(), t.column(6).flatten().to_numpy().astype(np.int64), pivot.ravel()[row], longest):
+            columns = [langs.dictionary.take(pa.array(lang[group])), phrases.cast(pa.string()), pa.array(np.full(len(counts), length, np.int32)), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n_words", "a"]).filter(pa.array((counts >= min_count) | ~whole[group]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # ``done`` holds pivots that are complete, ``last`` the one that may go on; one with more than MINE_BYTES is mined in parts, which are summed up again.
         done, last, key, parted = [], [], None, False
-        size = lambda rows: sum(r.column(4).nbytes for r in rows)
+        size = lambda rows: sum(r.column(5).nbytes for r in rows)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -287,12 +280,12 @@ def collocations(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_C
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    words = common.materialize(_word_counts(rows, bits), "words")
+    words = common.materialize(_word_counts(rows), "words")
     sizes = common.materialize(words.groupBy("lang").agg(F.sum("a").alias("n")), "lang-words")
     total = sizes.agg(F.sum("n")).first()[0] or 1
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     levels = spark.sparkContext.broadcast(_levels(words, min_count, bits))
-    grams = _counted(_routed(rows, levels, total, min_count, longest, bits, partitions), min_count, longest)
+    grams = _counted(_routed(rows, levels, total, min_count, longest, partitions), min_count, longest)
     single = words.filter(F.col("a") >= min_count).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "a")
     grams = common.materialize(grams.unionByName(single), "phrases")
     found = grams.filter("n_words > 1").withColumn("w", F.split("phrase", " "))
