@@ -49,11 +49,15 @@ def test_encoder_equals_the_library():
     import pyarrow as pa
 
     rnd, t = random.Random(4), whole()
-    pool = [chr(c) for c in [*range(0, 0x250), *range(0x300, 0x340), 0x3A3, 0x130, 0x2028, 0x3000, 0x85, 0x4E2D, 0x1F600, 0xB2, 0xFB01]]
-    texts = [None, "", "  ", *("".join(rnd.choice(pool) if rnd.random() < 0.5 else rnd.choice("abc 'stTRE.<|>\n") for _ in range(40)) for _ in range(300)), *[r[1] for r in ROWS]]
-    ids, offsets = tokens.encoder(queries.tokenizer_path()).encode(pa.array(texts, pa.string()))
-    for i, text in enumerate(texts):
-        assert ids[offsets[i] : offsets[i + 1]].tolist() == t.encode(text or "", add_special_tokens=False).ids
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [None, "", "  ", *(r[1] for r in ROWS), *(f"ab{c}Cd e{c} {c}x" for c in letters)]
+    pools = [letters[:most] for most in (0x250, 0x3000, len(letters))]
+    texts += ["".join(rnd.choice(pool) if rnd.random() < 0.5 else rnd.choice("abc 'stTRE.<|>\n") for _ in range(30)) for pool in pools for _ in range(20_000)]
+    for a in range(0, len(texts), 50_000):
+        some = texts[a : a + 50_000]
+        ids, offsets = tokens.encoder(queries.tokenizer_path()).encode(pa.array(some, pa.string()))
+        want = t.encode_batch_fast([x or "" for x in some], add_special_tokens=False)
+        assert all(ids[offsets[i] : offsets[i + 1]].tolist() == w.ids for i, w in enumerate(want))
 
 
 def test_token_store_round_trip(spark, docs, tmp_path):
@@ -479,6 +483,47 @@ def test_html_extraction(spark):
     assert html.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_the_whole_article():
+    long, more = "Sentence of the article that goes on for a while. " * 8, "The other half of it, with as many words as it needs. " * 4
+    one = html.extract(f"<body><div class=page><div class=a><p>{long}</div><div class=b><p>{more}</div></div></body>", None)
+    assert one == f"{long.strip()}\n\n{more.strip()}"
+    assert html.extract(f"<main><h1>Title</h1><div class=body><p>{long}</div></main>", None) == f"Title\n\n{long.strip()}"
+    assert html.extract(f"<body><div><h1>Title</h1><div class=body><p>{long}</div></div><div id=menu><a href=x>one</a></div></body>", None) == f"Title\n\n{long.strip()}"
+    # A page of another layout, whose container at the winning path is a teaser.
+    winning = html.vote(html.parse(f"<html><body><div><p>{long}</div></body></html>")[0][0])
+    other = f"<html><body><div><p>Read this.</div><section class=s><p>{long}</section></body></html>"
+    assert html.extract(other, [winning]) == long.strip()
+    # Words of longer names count only outside the article.
+    page = f"<body><article><p>{long}<div class=search-methods><p>On search.</div><div class=share-of-votes><p>On votes.</div><div class='note comments'><p>Nice!</div></article><div class=site-footer><p>(c) us</div></body>"
+    assert html.extract(page, None) == f"{long.strip()}\n\nOn search.\n\nOn votes."
+
+
+def test_html_kinds_of_layout():
+    """Ten layouts with what each must return, in six variants of their texts."""
+    for k in range(6):
+        head, a, b = f"Heading {k}", f"First paragraph {k} of the text, which is what one came for. " * (1 + k), f"Second paragraph {k}, no less a part of it. " * (1 + k % 3)
+        a, b = a.strip(), b.strip()
+        whole, menu = f"{head}\n\n{a}\n\n{b}", "<nav><a href=/>Home</a></nav><div class=menu><a href=/a>A</a> <a href=/b>B</a></div>"
+        body = f"<h1>{head}</h1><p>{a}</p><p>{b}</p>"
+        layouts = [
+            f"{menu}<article>{body}</article><footer>(c)</footer>", f"{menu}<main>{body}</main><aside>Also read</aside>", f"<div id=wrap><div class=cookie-banner>Accept</div><div class=post>{body}</div></div>",
+            f"<div class=page><header><h2>Site</h2></header><div class=content>{body}</div><div class=right-sidebar><p>Popular today</div></div>", f"<table><tr><td><a href=/>Home</a><td>{body}</table>",
+            f"<section><h1>{head}</h1><section><p>{a}</section><section><p>{b}</section></section>", f"{body}<form>Mail <input name=m><button>Go</button></form>", f"<div><div><div><div>{body}</div></div></div></div>",
+            f"<div class=story><h1>{head}</h1><div class=text><p>{a}<div class=advert>Buy</div><p>{b}</div></div><div class=comments><p>I think so too</div>", f"<body><div role=main>{body}<div role=complementary><p>Teaser</div></div><script>x='<p>no</p>'</script>",
+        ]
+        for page in layouts:
+            assert html.extract(page, None) == whole, page
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div class='a b1'>x", "<b>", "<li>x", "<p>x</div>", "<a '", "<!-- ", "<section><h1>t</h1>", "</p>", "<b><hr>"])
+def test_html_time_grows_with_the_page(unit):
+    import time
+
+    began = time.process_time()
+    html.extract(unit * (500_000 // len(unit)), None)
+    assert time.process_time() - began < 10
+
+
 def test_html_host_consensus_overrules_a_page(spark):
     page = "<body><article><p>Short.</p></article><div class='x'><p>A long passage outside of the article that would win on this page alone, were it not for its host.</p></div></body>"
     rows = [(i, f"https://h.example/{i}", "<body><article><p>Some longer article text number that wins here.</p></article></body>") for i in range(9)] + [(9, "https://h.example/9", page)]

@@ -2,11 +2,12 @@
 
 Each page proposes the container that holds its article; the proposals are
 generalised to paths of tags and classes without digits and counted per host;
-every page is then read again with the paths that won on its host.
+every page is then read again with the paths that won on its host, where they hold most of its text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -41,27 +42,57 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: A child container is followed while it holds this share of the page's text.
-DESCEND_SHARE = 0.6
+#: Words that stand beside those in names of such parts, as in site-footer or cookie-banner.
+STRUCTURE = frozenset(
+    "area bar block bottom box btn button buttons container content float form global header icons inner item items left link links list main mobile module outer page panel "
+    "policy post reader right row section site slot sticky text top unit user widgets wrap wrapper".split()
+)
+#: A container is left for its largest child while what lies beside that child is at most this share of the text.
+BESIDE_SHARE = 0.1
+#: A path that won on the host serves for a page where it holds this share of what the page's own path holds.
+SERVES_SHARE = 0.5
 #: Paths of a host with this share of its votes take part, so at most twenty a host.
 VOTE_SHARE = 0.05
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "parent", "weight", "children", "in_article")
+    """A container: ``key`` stands for its path of tags and classes; ``own`` and ``weight`` are its text outside links, without and with the containers in it."""
+
+    __slots__ = ("tag", "key", "dropped", "parent", "own", "weight", "linked", "children", "in_article", "headed")
+
+    def __init__(self, tag: str, key: str, dropped: bool, parent: Node | None, in_article: bool):
+        self.tag, self.key, self.dropped, self.parent, self.in_article = tag, key, dropped, parent, in_article
+        self.own, self.weight, self.linked, self.children, self.headed = 0, 0, 0, [], False
+
+
+def path_key(parent: str, tag: str, classes: str) -> str:
+    """A path as a short hash of its parent's and its last step, so that deep pages cost no more than flat ones."""
+    return hashlib.blake2b(f"{parent}/{tag}.{classes}".encode("utf-8", "replace"), digest_size=9).hexdigest()
+
 
-    def __init__(self, tag: str, path: str, dropped: bool, parent: Node | None, in_article: bool):
-        self.tag, self.path, self.dropped, self.parent, self.in_article = tag, path, dropped, parent, in_article
-        self.weight, self.children = 0, []
+def marked(attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether class, id or role name a part that isn't the article: within an article by whole names only, else also by names such as site-footer."""
+    for name in (n for v in attrs.values() for n in v.split()):
+        if name.lower() in PARTS:
+            return True
+        words = [w.lower() for w in WORD.findall(name)]
+        if not in_article and any(w in PARTS for w in words) and all(w in PARTS or w in STRUCTURE for w in words):
+            return True
+    return False
 
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """(root container, text blocks in page order, each with the innermost container around it)."""
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
+    """(containers, each after its parent and the root first, text blocks in page order with the innermost container around each).
+
+    Time and memory grow with the length of the page, however deep it is nested.
+    """
     root = Node("", "", False, None, False)
+    nodes = [root]
     stack: list[tuple[str, Node]] = [("", root)]
+    open_tags: Counter[str] = Counter()
     blocks: list[tuple[Node, str]] = []
     words: list[str] = []
-    links = at = depth_a = 0
+    links = at = 0
 
     def flush() -> None:
         nonlocal links
@@ -70,22 +101,20 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         node = stack[-1][1]
         if text and not node.dropped:
             blocks.append((node, text))
-            weight = max(0, len(text) - 2 * links)
-            while node is not None and weight:
-                node.weight += weight
-                node = node.parent
+            node.own += max(0, len(text) - 2 * links)
+            node.linked += min(links, len(text))
+            node.headed |= stack[-1][0] in ("h1", "h2", "h3")
         links = 0
 
     def pop_to(k: int) -> None:
-        nonlocal depth_a
         for tag, _ in stack[k:]:
-            depth_a -= tag == "a"
+            open_tags[tag] -= 1
         del stack[k:]
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
             words.append(page[at : m.start()])
-            if depth_a:
+            if open_tags["a"]:
                 links += m.start() - at
         at = m.end()
         tag = m[3]
@@ -95,12 +124,12 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         tag = tag.lower()
         if m[2]:
-            k = len(stack) - 1
-            while k > 0 and stack[k][0] != tag:
-                k -= 1
             if tag not in INLINE:
                 flush()
-            if k > 0:
+            if open_tags[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
                 pop_to(k)
             continue
         if tag == "br":
@@ -108,8 +137,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         if tag not in INLINE:
             flush()
-            closed = CLOSES.get(tag) or ({"p"} if tag in CLOSES_P else None)
-            if closed:
+            closed = CLOSES.get(tag) or ({"p"} if tag in CLOSES_P else ())
+            if any(open_tags[c] for c in closed):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in closed:
                         pop_to(k)
@@ -121,50 +150,62 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         node = stack[-1][1]
         if tag in CONTAINERS or tag in DROPPED or tag == "header" or (m[4] and tag not in INLINE):
             attrs = {a.lower(): x or y or z for a, x, y, z in ATTR.findall(m[4])} if m[4] else {}
-            named = {w.lower() for v in attrs.values() for w in WORD.findall(v)}
-            inside = node.in_article or tag in ("article", "main")
-            dropped = node.dropped or tag in DROPPED or bool(named & PARTS and tag not in ("html", "body", "article", "main")) or ((tag == "header" or "header" in named) and not node.in_article)
+            whole = tag in ("html", "body", "article", "main")
+            head = tag == "header" or "header" in attrs.get("class", "").lower().split() or "header" in (attrs.get("id", "").lower(), attrs.get("role", "").lower())
+            dropped = node.dropped or tag in DROPPED or (head and not node.in_article) or (not whole and marked(attrs, node.in_article))
             if dropped or tag in CONTAINERS:
                 classes = ".".join(sorted(re.sub(r"\d+", "", attrs.get("class", "")).split()))
                 parent = node
-                node = Node(tag, f"{parent.path}/{tag}" + (f".{classes}" if classes else ""), dropped, parent, inside)
-                if tag in CONTAINERS:
+                node = Node(tag, path_key(parent.key, tag, classes), dropped, parent, node.in_article or tag in ("article", "main"))
+                nodes.append(node)
+                if not dropped:
                     parent.children.append(node)
-        depth_a += tag == "a"
+        open_tags[tag] += 1
         stack.append((tag, node))
     words.append(page[at:])
     flush()
-    return root, blocks
+    for node in reversed(nodes):
+        node.weight += node.own
+        if node.parent is not None:
+            node.parent.weight += node.weight
+    return nodes, blocks
 
 
 def vote(root: Node) -> str:
-    """The path of the page's best container, '' if there is no text."""
-    node, total = root, root.weight
-    while total and node.tag != "article":
-        best = max((c for c in node.children if not c.dropped), key=lambda c: c.weight, default=None)
-        if best is None or best.weight < DESCEND_SHARE * total:
+    """The path of the page's best container, '' if there is no text.
+
+    From the root on, the largest child takes a container's place until that is an article, or holds a heading of its own beside the child (a title), or more text
+    beside it than BESIDE_SHARE, such as the other half of an article.
+    """
+    node = root
+    while node.weight and node.tag != "article":
+        best = max(node.children, key=lambda c: c.weight, default=None)
+        if best is None or not best.weight or (node.tag == "main" and best.tag != "article"):
+            break
+        if node.weight - best.weight > BESIDE_SHARE * node.weight or (node.headed and node.tag not in ("", "html", "body") and best.tag not in ("article", "main")):
             break
         node = best
-    return node.path if total else ""
+    return node.key if root.weight else ""
 
 
 def extract(page: str | None, paths: list[str] | None) -> str:
-    """The article's blocks joined by blank lines, from the first of ``paths`` that the page has, else its own vote."""
-    root, blocks = parse(page or "")
-    have = {}
-    for node, _ in blocks:
-        while node is not None:
-            have[node.path] = True
-            node = node.parent
-    own = vote(root)
-    path = next((p for p in paths or [] if p and p in have), own)
-    out = []
-    for node, text in blocks:
-        while node is not None and node.path != path:
-            node = node.parent
-        if node is not None:
-            out.append(text)
-    return "\n\n".join(out)
+    """The article's blocks joined by blank lines: by the first of ``paths`` that is an article, or else holds most of what the page's own vote holds; without one by that vote."""
+    nodes, blocks = parse(page or "")
+    held: Counter[str] = Counter()
+    named = set()
+    for node in nodes:
+        held[node.key] += node.weight
+        if node.tag in ("article", "main"):
+            named.add(node.key)
+    own = vote(nodes[0])
+    path = next((p for p in paths or [] if held[p] and (p in named or held[p] >= SERVES_SHARE * held[own])), own)
+    inside: dict[int, bool] = {}
+    for node in nodes:
+        above = node.parent is not None and inside[id(node.parent)]
+        # Beside an article, a container of links alone is a menu.
+        menu = not node.in_article and not node.weight and node.linked and held[path]
+        inside[id(node)] = (above or node.key == path) and not menu
+    return "\n\n".join(text for node, text in blocks if inside[id(node)])
 
 
 def host(url: str) -> F.Column:
@@ -176,7 +217,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = Counter((h, vote(parse(x or "")[0])) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            n = Counter((h, vote(parse(x or "")[0][0])) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             n = {k: v for k, v in n.items() if k[1]}
             yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in n], pa.string()), "path": pa.array([k[1] for k in n], pa.string()), "votes": pa.array(list(n.values()), pa.int64())})
 

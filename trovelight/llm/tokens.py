@@ -10,7 +10,6 @@ prefix sum of the tokens of the shards before it.
 from __future__ import annotations
 
 import json
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +27,8 @@ END_ID = 1
 MEMO_BYTES = 32 << 20
 #: What an entry takes beside its characters and ids, and the longest piece that is kept.
 ENTRY_BYTES, LONGEST_KEPT = 240, 64
+#: Words that the library encodes at a time.
+WORDS_AT_ONCE = 2_000
 #: Bytes of text that are encoded at a time.
 SLICE_BYTES = 2 << 20
 
@@ -36,9 +37,9 @@ class Encoder:
     """``tokenizers`` ids of whole texts.
 
     Where the tokenizer is lower-casing BPE whose pre-tokens never hold white
-    space, each distinct word is cut into pre-tokens and each distinct
-    pre-token is given to the library's BPE model once. Every other tokenizer,
-    and every text with a special token, goes through the library whole.
+    space, each distinct word of ASCII is cut into pre-tokens and each distinct
+    pre-token is given to the library's BPE model once; each other distinct word goes through
+    the library. Every other tokenizer, and every text with a special token, goes through the library whole.
     """
 
     def __init__(self, path: str):
@@ -68,19 +69,20 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         found = self.memo.get(piece)
         if found is None:
-            byte_chars = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.as_chars)
-            found = np.array([t.id for t in self.model.tokenize(byte_chars)], "<u4").tobytes()
-            if len(piece) <= LONGEST_KEPT:
-                self.memo_bytes += ENTRY_BYTES + 2 * len(piece) + len(found)
-                if self.memo_bytes > MEMO_BYTES:
-                    self.memo.clear()
-                    self.memo_bytes = 0
-                self.memo[piece] = found
+            byte_chars = piece if piece.isprintable() else piece.translate(self.as_chars)
+            found = self.keep(piece, np.array([t.id for t in self.model.tokenize(byte_chars)], "<u4").tobytes())
         return found
 
+    def keep(self, piece: str, ids: bytes) -> bytes:
+        if len(piece) <= LONGEST_KEPT:
+            self.memo_bytes += ENTRY_BYTES + 2 * len(piece) + len(ids)
+            if self.memo_bytes > MEMO_BYTES:
+                self.memo.clear()
+                self.memo_bytes = 0
+            self.memo[piece] = ids
+        return ids
+
     def word(self, word: str) -> bytes:
-        if not word.isascii():
-            word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
         word = word.lower()
         if word.isalpha():
             return self.piece(word)
@@ -88,6 +90,16 @@ class Encoder:
             return self.piece(word[:-1]) + self.piece(word[-1])
         return b"".join(map(self.piece, self.split.findall(word)))
 
+    def distinct(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words; those that aren't ASCII are the library's own, which alone knows the Unicode tables it was built with."""
+        known = [self.memo.get(w) if w else b"" for w in words]
+        other = [i for i, (w, k) in enumerate(zip(words, known)) if k is None and not w.isascii()]
+        for a in range(0, len(other), WORDS_AT_ONCE):
+            some = other[a : a + WORDS_AT_ONCE]
+            for i, e in zip(some, self.whole.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
+                known[i] = self.keep(words[i], np.array(e.ids, "<u4").tobytes())
+        return [self.word(w) if k is None or w.isascii() and w else k for w, k in zip(words, known)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n+1 offsets); a null is an empty text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -99,7 +111,7 @@ class Encoder:
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
         distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        known = [self.word(w) if w else b"" for w in distinct]
+        known = self.distinct(distinct)
         lens = np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts, pool = np.cumsum(lens) - lens, np.frombuffer(b"".join(known), "<u4")
         index = index[ends[0] : ends[-1]]
