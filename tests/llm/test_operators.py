@@ -303,6 +303,23 @@ def test_ann_is_exact_when_all_lists_are_probed(spark):
     assert ann.search(vectors.limit(0), vectors.limit(0), 5).count() == 0
 
 
+def test_ann_finds_an_id_once(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(2 + 30 * (i == 7))] + [(3, x[20].tolist()), (8, (2 * x[9]).tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in ann.search(vectors, vectors.filter("vec_id % 20 = 0"), 20).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q in (0, 20):
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.array(v, float) @ x[q].astype(float)))
+        want = sorted(best, key=lambda i: (-best[i], i))[:20]
+        assert [(r, i) for r, i, _ in sorted(got[q])] == list(enumerate(want, 1)) and all(abs(s - best[i]) < 1e-12 for _, i, s in got[q])
+
+
 def test_ann_recall_with_lists(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 16))

@@ -131,7 +131,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     """The k nearest of ``vectors`` for each row of ``queries`` (same columns): query_id, rank, vec_id, score.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those that differ in length from the
-    most common one, nor rows with a null id. A query never finds its own id. Ties go to the smaller vec_id. Fewer than k candidates are all
+    most common one, nor rows with a null id. A query never finds its own id. Ties go to the smaller vec_id. Rows that share an id are one candidate and one query: the best score
+    between any two of their vectors counts, so an id is found once. Fewer than k candidates are all
     returned; without vectors the result is empty. Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -188,11 +189,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
         rows = {"query_id": [], "ids": [], "scores": []}
         if len(vs) and len(qs):
             x, ids = np.array(vs["v"].tolist(), np.float64), vs["vec_id"].to_numpy()
+            # Rows that repeat are one candidate, so equal ones go; several vectors of one id make room for each other below.
+            _, once = np.unique(np.column_stack([ids.astype(np.int64).view(np.float64), x]).view(np.uint64), axis=0, return_index=True)
+            x, ids = x[np.sort(once)], ids[np.sort(once)]
+            room = k * int(np.unique(ids, return_counts=True)[1].max())
             xr = augmented(x, norm)
             for a in range(0, len(qs), QUERIES_AT_ONCE):
                 some = qs.iloc[a : a + QUERIES_AT_ONCE]
                 q, qids = np.array(some["v"].tolist(), np.float64), some["query_id"].to_numpy()
-                at, got, scores = scan(ids, x, xr, qids, q, augmented(q, None), k)
+                at, got, scores = scan(ids, x, xr, qids, q, augmented(q, None), room)
                 cuts = np.searchsorted(at, np.arange(len(q) + 1))
                 for i, qid in enumerate(qids):
                     if cuts[i] < cuts[i + 1]:
@@ -203,7 +208,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
 
     # A row per query and chunk; a query meets a bounded number of chunks with k candidates each.
     found = left.groupBy("list", "chunk").cogroup(right.groupBy("list", "chunk")).applyInPandas(run, "query_id long, ids array<long>, scores array<double>")
-    pairs = found.select("query_id", F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("s"), i.alias("i"))).alias("p"))
-    best = pairs.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
+    pairs = found.select("query_id", F.zip_with("ids", "scores", lambda i, s: F.struct(i.alias("i"), (-s).alias("s"))).alias("p"))
+    best = pairs.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("p"))
+    # The best of each id, then the best of all.
+    lone = F.filter("p", lambda x, at: (at == 0) | (F.try_element_at("p", at)["i"] != x["i"]))
+    best = best.select("query_id", F.slice(F.sort_array(F.transform(lone, lambda x: F.struct(x["s"].alias("s"), x["i"].alias("i")))), 1, k).alias("p"))
     ranked = best.select("query_id", F.posexplode("p").alias("rank", "p"))
     return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("p.i").alias("vec_id"), (-F.col("p.s")).alias("score"))
