@@ -12,6 +12,7 @@ from trovelight import config
 from trovelight.functions import text as T
 from trovelight.functions import vectors as V
 from trovelight.operators import lifecycle as L
+from trovelight.operators import postings as P
 from trovelight.operators import search as S
 from trovelight.sources import connectors, files
 from trovelight.streaming import events as E
@@ -50,7 +51,7 @@ def test_bm25_scores_and_terms(spark):
     chunks = spark.createDataFrame(CORPUS, "chunk_id string, title string, breadcrumb string, content string")
     q = spark.createDataFrame([("q", "install python"), ("cjk", "安装"), ("cafe", "cafe"), ("phrase", "foo-bar"), ("rev", "bar-foo"), ("dot", "v1.2"), ("case", "PYTHON"), ("none", "？")], "query_id string, query string")
     got = {}
-    for r in S.bm25_channel(q, chunks, ["title", "breadcrumb", "content"], 10).collect():
+    for r in P.bm25_channel(q, chunks, ["title", "breadcrumb", "content"], 10).collect():
         got.setdefault(r.query_id, {})[r.chunk_id] = r.bm25
     assert set(got["q"]) == {"a", "b", "d"}
     assert math.isclose(got["q"]["a"], -1.9107111550241689, rel_tol=1e-9)
@@ -255,25 +256,6 @@ def test_vector_channel_in_blocks(spark, monkeypatch):
         assert {(r.query_id, r.chunk_id) for r in S.vector_channel(asked, chunks, 5).collect()} == want
 
 
-def test_release_cache():
-    class Frame:
-        held = 0
-
-        def persist(self, level):
-            Frame.held += 1
-            return self
-
-        def unpersist(self):
-            Frame.held -= 1
-
-    cache = S.ReleaseCache(2)
-    a = cache.get(("a",), Frame)
-    cache.get(("b",), Frame)
-    assert cache.get(("a",), Frame) is a
-    cache.get(("c",), Frame)
-    assert Frame.held == 2 and list(cache.held) == [("a",), ("c",)]
-
-
 def test_idempotent_tasks(spark):
     tasks = spark.createDataFrame([("k1", "f", "succeeded"), ("k2", "f", "failed"), ("k3", "g", "running")], "idempotency_key string, fingerprint string, status string")
     req = spark.createDataFrame([("k1", "f"), ("k1", "f"), ("k2", "f"), ("k3", "f"), ("k4", "f")], "idempotency_key string, fingerprint string")

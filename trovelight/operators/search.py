@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +27,8 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str) ->
     return df.withColumn(name, rank(by, *order)).filter(F.col(name) <= k)
 
 
-#: Questions that are compared with the chunks in one pass.
-QUERIES_AT_ONCE = 256
+#: Questions and chunks of a block, and blocks of questions that are sent to all tasks.
+QUERIES_AT_ONCE, CHUNKS_AT_ONCE, BLOCKS_TO_ALL = 256, 2_048, 64
 #: Hits (term and chunk) that are weighed at a time.
 HITS_AT_ONCE = 20_000
 #: A side of a join is broadcast only when it was counted to have at most so many rows.
@@ -60,49 +57,55 @@ def _best(query_ids: pa.Array, chunk_ids: pa.Array, scores: np.ndarray, hit: np.
     return pa.RecordBatch.from_arrays([query_ids.take(pa.array(q)), chunk_ids.take(pa.array(c)), pa.array(scores[q, c])], ["query_id", "chunk_id", name])
 
 
-def _blocks(queries: DataFrame) -> Iterator[DataFrame]:
-    n = max(1, -(-queries.count() // QUERIES_AT_ONCE))
-    for i in range(n):
-        yield queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
-
-
-def _nearest(asked: pa.Table, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, vector_score): the best k of each Arrow batch for each question."""
-    lists = asked["embedding"].to_pylist()
-    sizes = sorted({len(v) for v in lists if v is not None})
-    blocks = [(np.array([i for i, v in enumerate(lists) if v is not None and len(v) == d]), np.array([v for v in lists if v is not None and len(v) == d], np.float64)) for d in sizes]
-    query_ids = asked["query_id"].combine_chunks()
+def _packed(rows: DataFrame, key: str, rows_at_once: int) -> DataFrame:
+    """(ids, dims, vectors): up to ``rows_at_once`` rows of an Arrow batch in one, those of a length together; a null vector is one of length 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, n = batch.column(1), batch.num_rows
-            size = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
-            scores = np.zeros((len(lists), n))
-            for at, q in blocks:
-                rows = np.flatnonzero(size == q.shape[1])
-                if len(rows):
-                    v = pc.fill_null(vectors.take(pa.array(rows)).flatten(), 0.0).to_numpy(zero_copy_only=False).astype(np.float64)
-                    scores[np.ix_(at, rows)] = q @ v.reshape(len(rows), -1).T
-            yield _best(query_ids, batch.column(0), scores, np.ones(n, bool), k, "vector_score")
-
-    kinds = dict(chunks.dtypes)
-    schema = f"query_id {_spark_type(asked.schema.field('query_id').type)}, chunk_id {kinds['chunk_id']}, vector_score double"
-    return chunks.select("chunk_id", "embedding").mapInArrow(run, schema)
+            size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for dims in np.unique(size):
+                rows = np.flatnonzero(size == dims)
+                for a in range(0, len(rows), rows_at_once):
+                    at = pa.array(rows[a : a + rows_at_once])
+                    v = pc.fill_null(batch.column(1).take(at).flatten(), 0.0)
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (batch.column(0).take(at), v)]
+                    yield pa.RecordBatch.from_arrays([lists[0], pa.array([dims], pa.int32()), lists[1]], ["ids", "dims", "vectors"])
 
-
-def _spark_type(kind: pa.DataType) -> str:
-    from pyspark.sql.pandas.types import from_arrow_type
-
-    return from_arrow_type(kind).simpleString()
+    kind = dict(rows.dtypes)[key]
+    return rows.select(key, F.col("embedding").cast("array<double>")).mapInArrow(run, f"ids array<{kind}>, dims int, vectors array<double>")
 
 
 def vector_channel(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """queries(query_id, embedding) against all chunks(chunk_id, embedding): query_id, chunk_id, vector_score, vector_rank.
 
-    Each chunk is scored where it lies, by blocks of QUERIES_AT_ONCE questions as one matrix product, and only the best k of each batch meet. Vectors of
-    another length than the question's, and null ones, score 0; ties go to the smaller chunk_id.
+    Questions and chunks travel in blocks; each pair of blocks is one matrix product, of which only the best k of a question go on. A few blocks of questions are
+    sent to all tasks; more of them meet the blocks of chunks on as many lanes as there are shuffle partitions. The plan is the same for any number of
+    questions. Vectors of another length than the question's, and null ones, score 0; ties go to the smaller chunk_id.
     """
-    found = reduce(DataFrame.unionByName, [_nearest(block.toArrow(), chunks, k) for block in _blocks(queries.select("query_id", "embedding"))])
+    spark = queries.sparkSession
+    n = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    few = n <= BLOCKS_TO_ALL
+    lanes = 1 if few else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = _packed(queries.select("query_id", "embedding").repartition(n), "query_id", QUERIES_AT_ONCE).toDF("query_ids", "query_dims", "query_vectors")
+    asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    blocks = _packed(chunks.select("chunk_id", "embedding"), "chunk_id", CHUNKS_AT_ONCE)
+    blocks = blocks.withColumn("lane", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(lanes)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                query_ids, chunk_ids = batch.column(0)[i].values, batch.column(3)[i].values
+                dims = batch.column(1)[i].as_py()
+                if dims == batch.column(4)[i].as_py():
+                    q, v = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, dims) for c in (2, 5))
+                    scores = q @ v.T
+                else:
+                    scores = np.zeros((len(query_ids), len(chunk_ids)))
+                yield _best(query_ids, chunk_ids, scores, np.ones(len(chunk_ids), bool), k, "vector_score")
+
+    pairs = blocks.join(F.broadcast(asked) if few else asked, "lane").select("query_ids", "query_dims", "query_vectors", "ids", "dims", "vectors")
+    kinds = dict(queries.dtypes) | dict(chunks.dtypes)
+    found = pairs.mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, vector_score double")
     return top(found, ["query_id"], [F.desc(F.round("vector_score", TIE_PLACES)), F.col("chunk_id")], k, "vector_rank")
 
 
@@ -122,98 +125,6 @@ def with_tokens(chunks: DataFrame, fields: list[str]) -> DataFrame:
     return chunks.withColumns({f"{f}_tokens": field_tokens(f) for f in fields if f"{f}_tokens" not in chunks.columns})
 
 
-class ReleaseCache:
-    """Indexed releases that stay persisted, the least recently used of ``most`` going first; safe because releases are immutable."""
-
-    def __init__(self, most: int = 4):
-        self.most, self.held = most, OrderedDict()
-
-    def get(self, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-        if key not in self.held:
-            self.held[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-        self.held.move_to_end(key)
-        while len(self.held) > self.most:
-            self.held.popitem(last=False)[1].unpersist()
-        return self.held[key]
-
-
-#: Hits of the last questions, for they are counted before they are weighed.
-_HITS = ReleaseCache(2)
-
-
-def _term_hits(indexed: DataFrame, phrases: DataFrame, fields: list[str], weights: dict[str, float]) -> DataFrame:
-    """(chunk_id, len, pid, tf): weighted occurrences of phrases(pid, phrase). Tokens are exploded once and joined with those of the phrases."""
-    wanted = phrases.select("pid", F.size("phrase").alias("m"), F.posexplode("phrase").alias("j", "token"))
-    length = reduce(lambda a, b: a + b, [F.size(f"{f}_tokens") for f in fields]).alias("len")
-    each = [indexed.select("chunk_id", length, F.lit(i).alias("field"), F.lit(float(weights.get(f, 1.0))).alias("weight"), F.posexplode(f"{f}_tokens").alias("at", "token")) for i, f in enumerate(fields)]
-    # A phrase begins where each of its tokens stands at its own distance.
-    begin = F.when(F.col("m") == 1, 0).otherwise(F.col("at") - F.col("j"))
-    found = reduce(DataFrame.unionByName, each).join(checked_broadcast(wanted), "token").groupBy("chunk_id", "len", "pid", "m", "field", "weight", begin.alias("begin")).agg(F.count("*").alias("n"))
-    times = F.when(F.col("m") == 1, F.col("n")).otherwise((F.col("n") == F.col("m")).cast("long"))
-    return found.groupBy("chunk_id", "len", "pid").agg(F.sum(F.col("weight") * times).alias("tf")).filter("tf > 0")
-
-
-def _weighed(block: DataFrame, indexed: DataFrame, fields: list[str], k: int, weights: dict[str, float], within: DataFrame | None, n_docs: int, avg_len: float) -> DataFrame | None:
-    spark = indexed.sparkSession
-    terms = [(r.query_id, tuple(r.phrase)) for r in query_terms(block).select("query_id", "phrase").collect()]  # of at most QUERIES_AT_ONCE questions
-    if not terms:
-        return None
-    pid = {p: i for i, p in enumerate(sorted({p for _, p in terms}))}
-    hits = _term_hits(indexed, spark.createDataFrame([(i, list(p)) for p, i in pid.items()], "pid int, phrase array<string>"), fields, weights)
-    hits = _HITS.get((object(),), lambda: hits)
-    df = np.zeros(len(pid))
-    for r in hits.groupBy("pid").count().collect():
-        df[r[0]] = r[1]
-    idf = np.log((n_docs - df + 0.5) / (df + 0.5))
-    idf[idf <= 0] = LEAST_IDF
-    ids = sorted({q for q, _ in terms})
-    place = {q: i for i, q in enumerate(ids)}
-    matrix = np.zeros((len(pid), len(ids)))
-    for q, p in terms:
-        matrix[pid[p], place[q]] += idf[pid[p]]
-    query_ids = pa.array(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entries = batch.column(2)
-            ends = np.concatenate([[0], np.cumsum(entries.value_lengths().to_numpy())])
-            flat = entries.flatten()
-            at, tf = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            length = np.repeat(batch.column(1).to_numpy(), np.diff(ends))
-            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ends[1:] // HITS_AT_ONCE)) + 1, [batch.num_rows]]).astype(int)
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a < b:
-                    rows = slice(ends[a], ends[b])
-                    scores = np.add.reduceat(matrix[at[rows]] * part[rows, None], ends[a:b] - ends[a], axis=0).T
-                    yield _best(query_ids, batch.column(0).slice(a, b - a), scores, scores > 0, k, "score")
-
-    per_chunk = hits.groupBy("chunk_id", "len").agg(F.collect_list(F.struct("pid", "tf")).alias("e"))  # at most the terms of a block of questions a chunk
-    if within is not None:
-        per_chunk = per_chunk.join(within.select("chunk_id"), "chunk_id", "left_semi")
-    schema = f"query_id {dict(block.dtypes)['query_id']}, chunk_id {dict(indexed.dtypes)['chunk_id']}, score double"
-    return per_chunk.select("chunk_id", "len", "e").mapInArrow(run, schema)
-
-
-def bm25_channel(queries: DataFrame, chunks: DataFrame, fields: list[str], k: int, weights: dict[str, float] | None = None, within: DataFrame | None = None) -> DataFrame:
-    """OR-query BM25: query_id, chunk_id, bm25 (lower is better), full_text_rank.
-
-    Statistics cover all ``chunks``; ``within(chunk_id)`` filters what is scored. A term of several tokens is a phrase. Columns <field>_tokens of ``chunks`` are
-    read where they exist. By blocks of questions, the hits of a chunk are weighed where they lie, as one product with the terms of the questions, and only the best k of
-    each batch meet.
-    """
-    indexed = with_tokens(chunks, fields)
-    length = reduce(lambda a, b: a + b, [F.size(f"{f}_tokens") for f in fields])
-    n_docs, avg_len = indexed.agg(F.count("*"), F.avg(length)).first()
-    found = [_weighed(block, indexed, fields, k, weights or {}, within, n_docs, avg_len or 1.0) for block in _blocks(queries)]
-    found = [x for x in found if x is not None]
-    if not found:
-        kinds = dict(queries.dtypes) | dict(chunks.dtypes)
-        return chunks.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, bm25 double, full_text_rank int")
-    scored = reduce(DataFrame.unionByName, found).select("query_id", "chunk_id", (-F.col("score")).alias("bm25"))
-    return top(scored, ["query_id"], [F.round("bm25", TIE_PLACES), F.col("chunk_id")], k, "full_text_rank")
-
-
 def fuse(vector: DataFrame, full_text: DataFrame, k: int = 60, vector_weight: float = 1.0, full_text_weight: float = 1.0) -> DataFrame:
     """Weighted reciprocal-rank fusion of two ranked lists."""
     both = vector.join(full_text, ["query_id", "chunk_id"], "full_outer")

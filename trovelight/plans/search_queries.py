@@ -10,8 +10,10 @@ from trovelight import config
 from trovelight.functions import text as T
 from trovelight.functions import vectors as V
 from trovelight.operators import lifecycle as L
+from trovelight.operators import postings as P
 from trovelight.operators import search as S
 from trovelight.plans.tables import read
+from trovelight.sources.store import ReleaseStore, fingerprint
 
 QUESTIONS = [
     ("q1", "the thing of reach that er"),
@@ -23,10 +25,6 @@ QUESTIONS = [
 LIMIT, DEPTH = 8, 20
 
 
-#: Indexed documents, as a release that doesn't change.
-CACHE = S.ReleaseCache()
-
-
 def fixed_questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "query_id string, query string")
 
@@ -42,28 +40,38 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
 
 
-def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with their embeddings and tokens, made once per release and session."""
-    return CACHE.get((spark.sparkContext.applicationId, sf_dir), lambda: S.with_tokens(V.with_embedding(chunks(spark, sf_dir), "content"), ["title", "content"]).withColumn("content_low", F.lower("content")))
+class Release:
+    """The chunks of a folder, and what the release store holds of them by their content."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.chunks = chunks(spark, sf_dir)
+        self.store, self.content = ReleaseStore(spark), fingerprint(self.chunks)
+
+    def embedded(self) -> DataFrame:
+        return self.store.table("embeddings", self.content, lambda: V.embed(self.chunks, "chunk_id", "content"))
+
+    def postings(self) -> P.PostingIndex:
+        return P.stored_index(self.chunks, ["title", "content"], self.content)
 
 
-def _vector(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> DataFrame:
-    return S.vector_channel(V.embed(questions(spark, sf_dir), "query_id", "query"), index(spark, sf_dir), k)
+def _vector(spark: SparkSession, sf_dir: str, k: int = DEPTH, release: Release | None = None) -> DataFrame:
+    return S.vector_channel(V.embed(questions(spark, sf_dir), "query_id", "query"), (release or Release(spark, sf_dir)).embedded(), k)
 
 
-def _full_text(spark: SparkSession, sf_dir: str, k: int = DEPTH, within: DataFrame | None = None) -> DataFrame:
-    return S.bm25_channel(questions(spark, sf_dir), index(spark, sf_dir), ["title", "content"], k, within=within)
+def _full_text(spark: SparkSession, sf_dir: str, k: int = DEPTH, within: DataFrame | None = None, release: Release | None = None) -> DataFrame:
+    return (release or Release(spark, sf_dir)).postings().bm25(questions(spark, sf_dir), k, within=within)
 
 
 def _ranked(spark: SparkSession, sf_dir: str, vector: DataFrame, full_text: DataFrame, p: dict, limit: int) -> DataFrame:
     fused = S.fuse(vector, full_text, p["fusion"]["k"], p["fusion"]["vectorWeight"], p["fusion"]["fullTextWeight"])
-    return S.rerank(fused, questions(spark, sf_dir), index(spark, sf_dir), limit)
+    return S.rerank(fused, questions(spark, sf_dir), chunks(spark, sf_dir), limit)
 
 
 def _results(spark: SparkSession, sf_dir: str, limit: int = LIMIT) -> DataFrame:
     p = config.profile()
     depth = max(2 * limit, p["vector"]["topK"])
-    return _ranked(spark, sf_dir, _vector(spark, sf_dir, depth), _full_text(spark, sf_dir, depth), p, limit)
+    release = Release(spark, sf_dir)
+    return _ranked(spark, sf_dir, _vector(spark, sf_dir, depth, release), _full_text(spark, sf_dir, depth, release=release), p, limit)
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +107,8 @@ def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.fuse(_vector(spark, sf_dir), _full_text(spark, sf_dir), 60, 1.0, 1.4)
+    release = Release(spark, sf_dir)
+    return S.fuse(_vector(spark, sf_dir, release=release), _full_text(spark, sf_dir, release=release), 60, 1.0, 1.4)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +151,8 @@ def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two profiles that differ in fusion only share their channels."""
     p, over = config.profile(), config.profile({"fusion": {"vectorWeight": 0.0, "k": 31}})
-    vector, full_text = _vector(spark, sf_dir), _full_text(spark, sf_dir)
+    release = Release(spark, sf_dir)
+    vector, full_text = _vector(spark, sf_dir, release=release), _full_text(spark, sf_dir, release=release)
     left, right = (_ranked(spark, sf_dir, vector, full_text, x, LIMIT) for x in (p, over))
     return L.compare_candidates(left, right, ["query_id", "chunk_id"])
 
