@@ -201,6 +201,20 @@ def test_phrases_against_brute_force(spark, monkeypatch, setting, value):
         assert len(want) > 20 and by_text([[r[c] for c in "lang rank phrase a l r n score".split()] for r in got]) == by_text(want)
 
 
+def test_phrases_over_many_partitions(spark):
+    """Tasks with one, two or a few pivots."""
+    rows = odd_texts()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = phrases.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(5), min_count=6, top=300).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert by_text([[r[c] for c in "lang rank phrase a l r n score".split()] for r in got]) == by_text(brute_phrases(rows, 5, 6, 300))
+
+
 def test_phrases_past_64_bits(spark):
     """1000 a n passes 2**63 where counts are large; here the plan's types are checked with counts as given."""
     big = spark.createDataFrame([(4_000_000_000_000, 90_000_000_000_000, 5_000_000_000_000, 4_000_000_000_001)], "a long, n long, l long, r long")

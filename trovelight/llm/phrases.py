@@ -69,18 +69,28 @@ class Words:
         self.words, self.code = coded.dictionary, coded.indices.to_numpy()
 
 
-def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
-    """(lang, texts) of columns lang and text, TEXT_BYTES of text at about at a time (one long text may exceed it)."""
-    if not batch.num_rows:
-        return
-    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    langs = batch.column(0).dictionary_encode()
-    order = np.lexsort((np.arange(len(size)), langs.indices.to_numpy()))
-    group = np.cumsum(size[order]) // TEXT_BYTES
-    code = langs.indices.to_numpy()[order]
-    cuts = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(group) != 0)) + 1).tolist(), len(order)]
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        yield langs.dictionary[int(code[a])].as_py(), batch.column(1).take(pa.array(order[a:b]))
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
+    """(lang, texts) of columns lang and text, gathered over batches until a language has TEXT_BYTES or all have four times as many (a batch may exceed them)."""
+    held: dict[str, list[pa.Array]] = {}
+    size: dict[str, int] = {}
+
+    def flush(lang: str) -> tuple[str, pa.Array]:
+        size.pop(lang)
+        return lang, pa.concat_arrays(held.pop(lang))
+
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        code = langs.indices.to_numpy()
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            texts = batch.column(1).take(pa.array(np.flatnonzero(code == i)))
+            held.setdefault(lang, []).append(texts)
+            size[lang] = size.get(lang, 0) + texts.nbytes
+            if size[lang] >= TEXT_BYTES:
+                yield flush(lang)
+        while sum(size.values()) >= 4 * TEXT_BYTES:
+            yield flush(max(size, key=size.get))
+    for lang in list(held):
+        yield flush(lang)
 
 
 def _hashes(lang: str, words: list[str]) -> np.ndarray:
@@ -93,11 +103,10 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, a): occurrences of each word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, texts in _by_lang(batch):
-                w = Words(texts)
-                n = np.bincount(w.code, minlength=len(w.words))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), w.words.cast(pa.string()), pa.array(n)], ["lang", "word", "a"])
+        for lang, texts in _by_lang(batches):
+            w = Words(texts)
+            n = np.bincount(w.code, minlength=len(w.words))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), w.words.cast(pa.string()), pa.array(n)], ["lang", "word", "a"])
 
     return docs.mapInArrow(count, "lang string, word string, a long").groupBy("lang", "word").agg(F.sum("a").alias("a"))
 
@@ -142,36 +151,35 @@ def _routed(docs: DataFrame, levels, total: int, min_count: int, longest: int, p
         from pyspark import TaskContext
 
         table, salt = levels.value, TaskContext.get().partitionId()
-        for batch in batches:
-            for lang, texts in _by_lang(batch):
-                salt += 1
-                w = Words(texts)
-                crc = _hashes(lang, w.words.to_pylist())
-                level = table[crc & (len(table) - 1)].astype(np.int64)
-                of_word = np.where(level > 0, level << 32 | crc, 0)
-                at, left, right = fragments(w, of_word[w.code], longest)
-                if not len(at):
-                    continue
-                data, starts, ends = _joined(w)
-                coded = _strings(data, starts[at - left], ends[at + right]).dictionary_encode().indices.to_numpy()
-                # The same words have the same pivot. Fragments with the same neighbours stand together, which makes them smaller on disk.
-                _, first, n = np.unique(coded, return_index=True, return_counts=True)
-                at, left, right = at[first], left[first], right[first]
-                beside = np.where(left > 0, w.code[at - 1], -1), np.where(right > 0, w.code[np.minimum(at + 1, len(w.code) - 1)], -1)
-                order = np.lexsort((*beside, w.code[at]))
-                at, left, right, n = at[order], left[order], right[order], n[order]
-                before = _strings(data, starts[at - left], np.where(left > 0, starts[at] - 1, starts[at]))
-                after = _strings(data, np.where(right > 0, ends[at] + 1, ends[at]), ends[at + right])
-                word = w.code[at]
-                cuts = pa.array(np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]]), pa.int32())
-                word = word[cuts.to_numpy()[:-1]]
-                frags = pc.binary_join_element_wise(before, after, pa.scalar("\t", pa.large_string())).cast(pa.string())
-                pivot = of_word[word]
-                salts = np.maximum(1, np.ceil(min_count * 2.0 ** ((pivot >> 32) / LEVEL_STEPS) * 2 * partitions / total)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(word), pa.string()), pa.array(pivot), pa.array((salt % salts).astype(np.int32)), pa.array(salts == 1), w.words.take(pa.array(word)).cast(pa.string()),
-                    pc.binary_join(pa.ListArray.from_arrays(cuts, frags), "\n"), pa.ListArray.from_arrays(cuts, pa.array(n, pa.int32())),
-                ], ["lang", "pivot", "salt", "whole", "word", "frags", "n"])
+        for lang, texts in _by_lang(batches):
+            salt += 1
+            w = Words(texts)
+            crc = _hashes(lang, w.words.to_pylist())
+            level = table[crc & (len(table) - 1)].astype(np.int64)
+            of_word = np.where(level > 0, level << 32 | crc, 0)
+            at, left, right = fragments(w, of_word[w.code], longest)
+            if not len(at):
+                continue
+            data, starts, ends = _joined(w)
+            coded = _strings(data, starts[at - left], ends[at + right]).dictionary_encode().indices.to_numpy()
+            # The same words have the same pivot. Fragments with the same neighbours stand together, which makes them smaller on disk.
+            _, first, n = np.unique(coded, return_index=True, return_counts=True)
+            at, left, right = at[first], left[first], right[first]
+            beside = np.where(left > 0, w.code[at - 1], -1), np.where(right > 0, w.code[np.minimum(at + 1, len(w.code) - 1)], -1)
+            order = np.lexsort((*beside, w.code[at]))
+            at, left, right, n = at[order], left[order], right[order], n[order]
+            before = _strings(data, starts[at - left], np.where(left > 0, starts[at] - 1, starts[at]))
+            after = _strings(data, np.where(right > 0, ends[at] + 1, ends[at]), ends[at + right])
+            word = w.code[at]
+            cuts = pa.array(np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]]), pa.int32())
+            word = word[cuts.to_numpy()[:-1]]
+            frags = pc.binary_join_element_wise(before, after, pa.scalar("\t", pa.large_string())).cast(pa.string())
+            pivot = of_word[word]
+            salts = np.maximum(1, np.ceil(min_count * 2.0 ** ((pivot >> 32) / LEVEL_STEPS) * 2 * partitions / total)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(word), pa.string()), pa.array(pivot), pa.array((salt % salts).astype(np.int32)), pa.array(salts == 1), w.words.take(pa.array(word)).cast(pa.string()),
+                pc.binary_join(pa.ListArray.from_arrays(cuts, frags), "\n"), pa.ListArray.from_arrays(cuts, pa.array(n, pa.int32())),
+            ], ["lang", "pivot", "salt", "whole", "word", "frags", "n"])
 
     return docs.mapInArrow(cut, "lang string, pivot long, salt int, whole boolean, word string, frags string, n array<int>")
 
@@ -236,6 +244,8 @@ def _counted(routed: DataFrame, min_count: int, longest: int) -> DataFrame:
             cuts = np.flatnonzero((np.diff(lang) != 0) | (np.diff(pivot) != 0)) + 1
             ends = [0, batch.num_rows] if not len(cuts) else [0, int(cuts[0]), int(cuts[-1]), batch.num_rows]
             for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                if a == b:
+                    continue
                 part = batch.slice(a, b - a)
                 now = (part.column(0)[0].as_py(), part.column(1)[0].as_py())
                 if now != key:
