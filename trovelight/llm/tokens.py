@@ -10,6 +10,7 @@ prefix sum of the tokens of the shards before it.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ END_ID = 1
 MEMO_BYTES = 32 << 20
 #: What an entry takes beside its characters and ids, and the longest piece that is kept.
 ENTRY_BYTES, LONGEST_KEPT = 240, 64
+#: Letters that are taken for known if the library treats them as Python does, which each encoder checks.
+LETTERS = range(0xC0, 0x180)
 #: Words that the library encodes at a time.
 WORDS_AT_ONCE = 2_000
 #: Bytes of text that are encoded at a time.
@@ -37,7 +40,7 @@ class Encoder:
     """``tokenizers`` ids of whole texts.
 
     Where the tokenizer is lower-casing BPE whose pre-tokens never hold white
-    space, each distinct word of ASCII is cut into pre-tokens and each distinct
+    space, each distinct word of ASCII and checked letters is cut into pre-tokens and each distinct
     pre-token is given to the library's BPE model once; each other distinct word goes through
     the library. Every other tokenizer, and every text with a special token, goes through the library whole.
     """
@@ -65,11 +68,18 @@ class Encoder:
         self.punct = frozenset(".,;:!?*$%&#|()[]{}<>-_+=/\\\"@^~`")
         self.memo: dict[str, bytes] = {}
         self.memo_bytes = 0
+        self.plain = re.compile("[\\x00-\\x7f]*")
+        if self.split is not None:
+            letters = [c for c in map(chr, LETTERS) if c.isalpha() and all(self._alike(t.format(c)) for t in ("ab{0}Cd", "{0}b", "e{0}", "{0}", "x{0}{0}y", "{0}'s.", "2{0}-{0}"))]
+            self.plain = re.compile(f"[\\x00-\\x7f{''.join(letters)}]*")
+
+    def _alike(self, word: str) -> bool:
+        return self.word(word) == np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
         found = self.memo.get(piece)
         if found is None:
-            byte_chars = piece if piece.isprintable() else piece.translate(self.as_chars)
+            byte_chars = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.as_chars)
             found = self.keep(piece, np.array([t.id for t in self.model.tokenize(byte_chars)], "<u4").tobytes())
         return found
 
@@ -91,14 +101,18 @@ class Encoder:
         return b"".join(map(self.piece, self.split.findall(word)))
 
     def distinct(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some distinct words; those that aren't ASCII are the library's own, which alone knows the Unicode tables it was built with."""
-        known = [self.memo.get(w) if w else b"" for w in words]
-        other = [i for i, (w, k) in enumerate(zip(words, known)) if k is None and not w.isascii()]
+        """The ids of each of some distinct words.
+
+        Words with other characters than ASCII and the letters that were checked when the encoder was made are encoded by the library, which alone knows the Unicode tables it was built with.
+        """
+        fast = [w.isascii() or self.plain.fullmatch(w) is not None for w in words]
+        known = [b"" if not w else None if f else self.memo.get(w) for w, f in zip(words, fast)]
+        other = [i for i, (f, k) in enumerate(zip(fast, known)) if k is None and not f]
         for a in range(0, len(other), WORDS_AT_ONCE):
             some = other[a : a + WORDS_AT_ONCE]
             for i, e in zip(some, self.whole.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
                 known[i] = self.keep(words[i], np.array(e.ids, "<u4").tobytes())
-        return [self.word(w) if k is None or w.isascii() and w else k for w, k in zip(words, known)]
+        return [self.word(w) if k is None else k for w, k in zip(words, known)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n+1 offsets); a null is an empty text."""
