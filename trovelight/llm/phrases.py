@@ -27,7 +27,7 @@ COUNTER_BITS = 21
 #: Steps of a counter's level for each doubling of its count.
 LEVEL_STEPS = 8
 #: Bytes of text that are cut into fragments at a time, and of fragments that are mined at a time.
-TEXT_BYTES, MINE_BYTES = 6 << 20, 4 << 20
+TEXT_BYTES, MINE_BYTES = 4 << 20, 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
