@@ -82,7 +82,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Trained models and packing have no SQL form; tests hold the stages against brute force.
+#: Trained models and packing have no SQL form; tests run the stages on odd rows and against their operators, which have tests of their own.
 ORACLE_SQL = None
 
 
