@@ -190,7 +190,7 @@ def odd_texts():
     return rows + [(" ".join(rnd.choices(vocabulary, weights, k=20_000)), "en")]
 
 
-@pytest.mark.parametrize("setting,value", [("MINE_BYTES", 4 << 20), ("MINE_BYTES", 300), ("TEXT_BYTES", 2_000)])
+@pytest.mark.parametrize("setting,value", [("MINE_BYTES", 4 << 20), ("MINE_BYTES", 300), ("TEXT_BYTES", 2_000), ("BUCKETS", 2), ("FRAGMENT_BYTES", 1 << 20)])
 def test_phrases_against_brute_force(spark, monkeypatch, setting, value):
     monkeypatch.setattr(phrases, setting, value)
     rows = odd_texts()

@@ -2,8 +2,8 @@
 
 Every occurrence of an n-gram is owned by its pivot, its rarest word (the first one, where it occurs twice in the n-gram). Texts are rewritten into
 fragments: around each word, the words before it that are more frequent and those after it that aren't rarer, at most ``longest - 1`` on either side, so a fragment of a pivot holds
-exactly the n-grams that this occurrence owns. Fragments are routed by their pivot, equal ones of a batch once with their number, and the n-grams
-of a pivot are counted where its fragments meet; since all of them meet there, only frequent n-grams leave the task. How rare a word is comes from a
+exactly the n-grams that this occurrence owns. Fragments are routed by their pivot, equal ones of a batch once with their number: a pivot with many by itself, the
+others together with those of the same bucket of hashes, whose number follows the words of the corpus. N-grams of a pivot are counted where its fragments meet; since all of them meet there, only frequent n-grams leave the task. How rare a word is comes from a
 table of hashed counts of a fixed size: an upper bound of its count, so that no frequent word is taken for a rare one, and the
 same for all its occurrences, so that the pivot of an n-gram is the same everywhere. Counts of n-grams and words are exact.
 """
@@ -28,6 +28,8 @@ COUNTER_BITS = 21
 LEVEL_STEPS = 8
 #: Bytes of text that are cut into fragments at a time, and of fragments that are mined at a time.
 TEXT_BYTES, MINE_BYTES = 4 << 20, 4 << 20
+#: Buckets of pivots of each language, at least, and bytes that a fragment is taken to have when pivots are dealt to buckets.
+BUCKETS, FRAGMENT_BYTES = 1024, 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -141,11 +143,13 @@ def fragments(w: Words, key: np.ndarray, longest: int) -> tuple[np.ndarray, np.n
 
 
 def _routed(docs: DataFrame, levels, total: int, min_count: int, longest: int, partitions: int) -> DataFrame:
-    """(lang, pivot, salt, whole, word, frags, n): of each batch, the fragments of each pivot.
+    """(lang, key, salt, whole, word, frags, n): of each batch, the fragments of each bucket of pivots, or of one large pivot.
 
-    A fragment is the words before its pivot, a tab, and those after it; ``frags`` are joined by line feeds, ``n`` says how often each occurs. A pivot
-    that may hold more than half a task's share of all words is spread over salts, and ``whole`` is false: its n-grams are summed up again.
+    A fragment is the words before its pivot, a tab, and those after it. ``word`` lists the pivots, ``frags`` those of each joined by line feeds, ``n`` how often
+    each occurs. A pivot that may fill a quarter of what is mined at a time is a key of its own. One that may hold more than half a task's share of all words is
+    spread over salts, and ``whole`` is false: its n-grams are summed up again.
     """
+    buckets = max(BUCKETS, -(-total * FRAGMENT_BYTES * 4 // MINE_BYTES))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -165,23 +169,30 @@ def _routed(docs: DataFrame, levels, total: int, min_count: int, longest: int, p
             # The same words have the same pivot. Fragments with the same neighbours stand together, which makes them smaller on disk.
             _, first, n = np.unique(coded, return_index=True, return_counts=True)
             at, left, right = at[first], left[first], right[first]
+            pivot = of_word[w.code[at]]
+            most = min_count * 2.0 ** ((pivot >> 32) / LEVEL_STEPS)
+            # Levels are 1 or more, so keys of single pivots are past those of buckets.
+            key = np.where(most * FRAGMENT_BYTES * 4 > MINE_BYTES, pivot, (pivot & 0xFFFFFFFF) % buckets)
             beside = np.where(left > 0, w.code[at - 1], -1), np.where(right > 0, w.code[np.minimum(at + 1, len(w.code) - 1)], -1)
-            order = np.lexsort((*beside, w.code[at]))
-            at, left, right, n = at[order], left[order], right[order], n[order]
+            order = np.lexsort((*beside, w.code[at], key))
+            at, left, right, n, key, most = at[order], left[order], right[order], n[order], key[order], most[order]
             before = _strings(data, starts[at - left], np.where(left > 0, starts[at] - 1, starts[at]))
             after = _strings(data, np.where(right > 0, ends[at] + 1, ends[at]), ends[at + right])
-            word = w.code[at]
-            cuts = pa.array(np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]]), pa.int32())
-            word = word[cuts.to_numpy()[:-1]]
             frags = pc.binary_join_element_wise(before, after, pa.scalar("\t", pa.large_string())).cast(pa.string())
-            pivot = of_word[word]
-            salts = np.maximum(1, np.ceil(min_count * 2.0 ** ((pivot >> 32) / LEVEL_STEPS) * 2 * partitions / total)).astype(np.int64)
+            word = w.code[at]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]])
+            word, key, most = word[cuts[:-1]], key[cuts[:-1]], most[cuts[:-1]]
+            rows = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            key, most, of_row = key[rows[:-1]], most[rows[:-1]], pa.array(rows, pa.int32())
+            salts = np.where(key >> 32 > 0, np.maximum(1, np.ceil(most * 2 * partitions / total)), 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(word), pa.string()), pa.array(pivot), pa.array((salt % salts).astype(np.int32)), pa.array(salts == 1), w.words.take(pa.array(word)).cast(pa.string()),
-                pc.binary_join(pa.ListArray.from_arrays(cuts, frags), "\n"), pa.ListArray.from_arrays(cuts, pa.array(n, pa.int32())),
-            ], ["lang", "pivot", "salt", "whole", "word", "frags", "n"])
+                pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array((salt % salts).astype(np.int32)), pa.array(salts == 1),
+                pa.ListArray.from_arrays(of_row, w.words.take(pa.array(word)).cast(pa.string())),
+                pa.ListArray.from_arrays(of_row, pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), frags), "\n")),
+                pa.ListArray.from_arrays(pa.array(cuts[rows], pa.int32()), pa.array(n, pa.int32())),
+            ], ["lang", "key", "salt", "whole", "word", "frags", "n"])
 
-    return docs.mapInArrow(cut, "lang string, pivot long, salt int, whole boolean, word string, frags string, n array<int>")
+    return docs.mapInArrow(cut, "lang string, key long, salt int, whole boolean, word array<string>, frags array<string>, n array<int>")
 
 
 def _joined(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,25 +234,26 @@ def _counted(routed: DataFrame, min_count: int, longest: int) -> DataFrame:
 
     def mine(rows: list[pa.RecordBatch], closed: bool) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        texts = [f.replace("\t", f"\t{word} ") for word, f in zip(t.column(4).to_pylist(), t.column(5).to_pylist())]
+        # An n-gram has one pivot, whose fragments have one key, so n-grams are told apart by their words within a key.
+        texts = [f.replace("\t", f"\t{word} ") for word, f in zip(t.column(4).flatten().to_pylist(), t.column(5).flatten().to_pylist())]
         lists = pc.split_pattern(pa.array(texts, pa.string()), "\n")
-        row = np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy())
+        row = np.repeat(np.repeat(np.arange(t.num_rows), t.column(5).value_lengths().to_numpy()), lists.value_lengths().to_numpy())
         langs = t.column(0).dictionary_encode()
-        _, of_row, pivot = np.unique(np.column_stack([langs.indices.to_numpy(), t.column(1).to_numpy()]), axis=0, return_index=True, return_inverse=True)
-        lang, whole = langs.indices.to_numpy()[of_row], t.column(3).to_numpy(zero_copy_only=False)[of_row] & closed
-        for group, phrases, counts, length in mined(lists.flatten(), t.column(6).flatten().to_numpy().astype(np.int64), pivot.ravel()[row], longest):
+        _, of_key, key = np.unique(np.column_stack([langs.indices.to_numpy(), t.column(1).to_numpy()]), axis=0, return_index=True, return_inverse=True)
+        lang, whole = langs.indices.to_numpy()[of_key], t.column(3).to_numpy(zero_copy_only=False)[of_key] & closed
+        for group, phrases, counts, length in mined(lists.flatten(), t.column(6).flatten().to_numpy().astype(np.int64), key.ravel()[row], longest):
             columns = [langs.dictionary.take(pa.array(lang[group])), phrases.cast(pa.string()), pa.array(np.full(len(counts), length, np.int32)), pa.array(counts)]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n_words", "a"]).filter(pa.array((counts >= min_count) | ~whole[group]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # ``done`` holds pivots that are complete, ``last`` the one that may go on; one with more than MINE_BYTES is mined in parts, which are summed up again.
+        # ``done`` holds keys that are complete, ``last`` the one that may go on; one with more than MINE_BYTES is mined in parts, which are summed up again.
         done, last, key, parted = [], [], None, False
         size = lambda rows: sum(r.column(5).nbytes for r in rows)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lang, pivot = (batch.column(i).dictionary_encode().indices.to_numpy() for i in (0, 1))
-            cuts = np.flatnonzero((np.diff(lang) != 0) | (np.diff(pivot) != 0)) + 1
+            lang, of = (batch.column(i).dictionary_encode().indices.to_numpy() for i in (0, 1))
+            cuts = np.flatnonzero((np.diff(lang) != 0) | (np.diff(of) != 0)) + 1
             ends = [0, batch.num_rows] if not len(cuts) else [0, int(cuts[0]), int(cuts[-1]), batch.num_rows]
             for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
                 if a == b:
@@ -269,7 +281,7 @@ def _counted(routed: DataFrame, min_count: int, longest: int) -> DataFrame:
         if last:
             yield from mine(last, not parted)
 
-    order = ["lang", "pivot", "salt"]
+    order = ["lang", "key", "salt"]
     found = routed.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "lang string, phrase string, n_words int, a long")
     return found.groupBy("lang", "phrase", "n_words").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count)
 
