@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovelight.functions import text as T
+from trovelight.operators import hierarchy
 
 #: Media types by extension.
 MEDIA = {
@@ -239,6 +240,43 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", change.alias("change"))
 
 
+def plan_import(listing: DataFrame, excludes: list[str] = (), max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """``listing(root, path, size, ...)`` as the import of each directory takes it: with position, bytes (up to the file) and status.
+
+    Paths that hold an excluded part (lower case) are left out. The first ``max_files`` of a root by path are candidates, later ones ``beyond_files``. If the
+    candidates together pass ``max_bytes``, all of the root are ``refused``. Else a file is ``unsupported`` (an unknown extension or an archive), ``resource_limit``
+    (too large) or ``selected``. A null size is 0; rows without a path are left out; repeated paths count each, smaller first.
+    """
+    rows = listing.filter("path is not null")
+    for part in excludes:
+        rows = rows.filter(~F.contains(F.lower("path"), F.lit(part.lower())))
+    rows = hierarchy.running(rows, "root", ["path", "size"], F.col("size"))
+    # The total of a root is the running sum of its last candidate: one row for each root.
+    over = rows.filter(F.col("position") <= max_files).groupBy("root").agg(F.max("bytes").alias("_total")).filter(F.col("_total") > max_bytes)
+    over = over.select(F.col("root").alias("_root"), F.lit(True).alias("_over"))
+    name = extension(F.col("path"))
+    rows = rows.join(over, F.col("root").eqNullSafe(F.col("_root")), "left")
+    status = F.when(F.col("position") > max_files, "beyond_files").when(F.col("_over"), "refused").when(~name.isin(*MEDIA) | name.isin(*ARCHIVES), "unsupported").when(F.col("size") > max_file_bytes, "resource_limit").otherwise("selected")
+    return rows.withColumn("status", status).drop("_root", "_over")
+
+
+def checked_import(plan: DataFrame, now: DataFrame, identity: list[str]) -> DataFrame:
+    """Selected files of ``plan`` whose columns ``identity`` (size, times, inode, device, as far as known) differ in ``now`` fail with DIRECTORY_FILE_CHANGED."""
+    seen = now.select(F.col("root").alias("_root"), F.col("path").alias("_path"), F.struct(*identity).alias("_now"), F.lit(True).alias("_seen")).dropDuplicates(["_root", "_path"])
+    rows = plan.join(seen, F.col("root").eqNullSafe(F.col("_root")) & (F.col("path") == F.col("_path")), "left")
+    same = F.reduce(F.array(*[F.col(c).isNull() | F.col(c).eqNullSafe(F.col("_now")[c]) for c in identity]), F.lit(True), lambda a, b: a & b)
+    lost = (F.col("status") == "selected") & (F.col("_seen").isNull() | ~same)
+    return rows.withColumn("code", F.when(lost, "DIRECTORY_FILE_CHANGED")).withColumn("status", F.when(lost, "failed").otherwise(F.col("status"))).drop("_root", "_path", "_now", "_seen")
+
+
+def import_outcome(checked: DataFrame) -> DataFrame:
+    """One row a root: n_files (candidates), n_failures, truncated, status (refused, partial or succeeded)."""
+    taken = F.col("status") != "beyond_files"
+    failed = F.count_if(F.col("status").isin("failed", "unsupported", "resource_limit"))
+    status = F.when(F.count_if(F.col("status") == "refused") > 0, "refused").when(failed > 0, "partial").otherwise("succeeded")
+    return checked.groupBy("root").agg(F.count_if(taken).alias("n_files"), failed.alias("n_failures"), (F.count_if(~taken) > 0).alias("truncated"), status.alias("status"))
+
+
 def verify_manifest(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     """Files whose name is on one side only or whose sha256 differs; an empty result is a sound backup."""
     both = manifest.select("path", F.col("sha256").alias("a")).join(listing.select("path", F.col("sha256").alias("b")), "path", "full_outer")

@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> str:
     """A name for the rows of ``df`` in any order: their number and the sums of two hashes of each. One scan, no shuffle of rows."""
     columns = columns or df.columns
