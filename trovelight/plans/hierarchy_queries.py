@@ -9,7 +9,7 @@ from trovelight.operators import hierarchy as H
 from trovelight.plans.tables import read
 from trovelight.sources import files
 
-MAX_FILES, MAX_BYTES, MAX_FILE_BYTES = 40, 60_000, 4_000
+MAX_FILES, MAX_BYTES, MAX_FILE_BYTES = 40, 100_000, 4_000
 
 
 def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
