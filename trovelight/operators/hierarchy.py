@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelight.sources import store
@@ -90,16 +90,14 @@ def trace_roots(traces: DataFrame) -> DataFrame:
     return tree.join(stored, F.col("node") == F.col("trace")).select("trace", F.col("root").alias("found"), "depth", verdict.alias("verdict"))
 
 
-def running(df: DataFrame, group: str, order: list[str], size: Column) -> DataFrame:
-    """``df`` with ``position`` (from 1) and ``bytes`` (sum of ``size`` up to the row) within each group, in the given order.
+def running(df: DataFrame, group: str, order: list[str], size: Column, names: tuple[str, str] = ("position", "bytes")) -> DataFrame:
+    """``df`` with two more columns, called ``names``: position (from 1) and bytes (sum of ``size`` up to the row) within each group, in the given order.
 
     Rows are dealt by ranges of (group, order), so a group of any size meets many tasks. Only the first group of a range can have begun in an earlier one, so
     what ranges start from is a row for each range at most, and that is what travels to all tasks. Repeated rows count each.
     """
     spark = df.sparkSession
     ranged = store.written(spark, df.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long")).repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.sum("_size").alias("_b"))
     starts = sums.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), F.sum("_n").over(w).alias("_n0"), F.sum("_b").over(w).alias("_b0")).filter("_n0 > 0")
@@ -107,4 +105,4 @@ def running(df: DataFrame, group: str, order: list[str], size: Column) -> DataFr
     rows = ranged.withColumn("_i", F.row_number().over(inner)).withColumn("_sum", F.sum("_size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(F.broadcast(starts), (F.col("_part") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group")), "left")
     place, total = F.col("_i") + F.coalesce("_n0", F.lit(0)), F.col("_sum") + F.coalesce("_b0", F.lit(0))
-    return rows.select(*df.columns, place.cast("long").alias("position"), total.cast("long").alias("bytes"))
+    return rows.select(*df.columns, place.cast("long").alias(names[0]), total.cast("long").alias(names[1]))

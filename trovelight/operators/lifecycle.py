@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trovelight.operators import hierarchy
+
 # --- filters and lists -------------------------------------------------------------------------------------------------
 
 
@@ -91,10 +93,10 @@ def quality_gate(documents: DataFrame) -> DataFrame:
     return documents.filter(F.col("status").isin(*UNPUBLISHABLE)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def release_snapshot(chunks: DataFrame, keys: list[str], order: list[Column], base: DataFrame | None = None) -> DataFrame:
-    """Latest, not excluded chunks with their ordinal within ``keys``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return chunks.withColumn("ordinal", F.row_number().over(w))
+def release_snapshot(chunks: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Latest, not excluded chunks with their ordinal within ``key`` by the columns ``order``, numbered over ranges, so no task sees all chunks of a hot key."""
+    numbered = hierarchy.running(chunks, key, order, F.lit(0), ("ordinal", "_none"))
+    return numbered.withColumn("ordinal", F.col("ordinal").cast("int")).drop("_none")
 
 
 def fingerprint(snapshot: DataFrame, keys: list[str], ident: str, content: str, config_hash: str = "") -> DataFrame:

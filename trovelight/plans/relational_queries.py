@@ -59,7 +59,7 @@ def _gated(spark, sf_dir):
 
 
 def release_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = L.release_snapshot(_gated(spark, sf_dir), ["source"], [F.col("lang"), F.col("doc_id")])
+    s = L.release_snapshot(_gated(spark, sf_dir), "source", ["lang", "doc_id"])
     return s.select("source", "doc_id", "ordinal")
 
 
