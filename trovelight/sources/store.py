@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +54,10 @@ class Folder:
     def path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def names(self) -> list[str]:
-        if not self._fs.exists(self.path("")):
+    def names(self, below: str = "") -> list[str]:
+        if not self._fs.exists(self.path(below)):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self.path("")))
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self.path(below)))
 
     def has(self, name: str) -> bool:
         return self._fs.exists(self.path(name))
@@ -71,6 +72,16 @@ class Folder:
         self._fs.mkdirs(self.path(name).getParent())
         self._fs.create(self.path(name), True).close()
 
+    def create(self, name: str):
+        """An output stream of a new file; FileExistsError if the file is there, whoever made it."""
+        self._fs.mkdirs(self.path(name).getParent())
+        try:
+            return self._fs.create(self.path(name), False)
+        except Py4JJavaError as error:
+            if self.has(name):
+                raise FileExistsError(name) from error
+            raise
+
     def changed(self, name: str) -> int:
         return self._fs.getFileStatus(self.path(name)).getModificationTime() if self.has(name) else 0
 
