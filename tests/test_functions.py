@@ -280,3 +280,14 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     tasks = stream.select(F.lit("t").alias("task_id"), F.col("event_id").alias("sequence"), F.element_at(F.array(F.lit("queued"), F.lit("running"), F.lit("succeeded")), (F.col("event_id") + 1).cast("int")).alias("state")).filter("sequence < 3")
     last = run(E.task_states(tasks), "update", "folded").collect()
     assert max(last, key=lambda r: r.n_events).n_events == 3
+
+
+def test_requests_in_order(spark):
+    tasks = spark.createDataFrame([("ok", "f", "succeeded"), ("bad", "f", "failed")], "idempotency_key string, fingerprint string, status string")
+    rows = [("new", "b", 2), ("new", "a", 3), ("new", "b", 4), ("ok", "f", 1), ("ok", "g", 2), ("bad", "f", 5), ("bad", "f", 6), ("bad", "h", 4), (None, "x", 1), (None, "x", 1), ("nil", None, 1), ("nil", None, 2), ("nil", "z", 3)]
+    requests = spark.createDataFrame(rows, "idempotency_key string, fingerprint string, sequence int").withColumn("status", F.lit("extra"))
+    want = dict(zip(rows, ["created", "conflict", "reused", "reused", "conflict", "requeued", "reused", "conflict", "created", "created", "created", "reused", "conflict"]))
+    got = L.create_in_order(tasks, requests).collect()
+    assert len(got) == len(rows) and {(r.idempotency_key, r.fingerprint, r.sequence): r.outcome for r in got} == want
+    assert L.create_in_order(tasks, requests.limit(0)).count() == 0
+    assert {r.outcome for r in L.create_in_order(tasks.limit(0), requests.filter("sequence = 1 and fingerprint is not null")).collect()} == {"created"}

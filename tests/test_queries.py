@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from trovelight.plans import connector_queries, hierarchy_queries, machine_queries, publishing_queries, relational_queries, search_queries, workbench_queries
+from trovelight.plans import connector_queries, hierarchy_queries, machine_queries, publishing_queries, relational_queries, revision_queries, search_queries, workbench_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ALL = {**search_queries.QUERIES, **relational_queries.QUERIES, **workbench_queries.QUERIES, **publishing_queries.QUERIES, **machine_queries.QUERIES, **hierarchy_queries.QUERIES, **connector_queries.QUERIES}
-ORACLES = {**search_queries.ORACLES, **relational_queries.ORACLES, **workbench_queries.ORACLES, **publishing_queries.ORACLES, **machine_queries.ORACLES, **hierarchy_queries.ORACLES, **connector_queries.ORACLES}
+ALL = {**search_queries.QUERIES, **relational_queries.QUERIES, **workbench_queries.QUERIES, **publishing_queries.QUERIES, **machine_queries.QUERIES, **hierarchy_queries.QUERIES, **connector_queries.QUERIES, **revision_queries.QUERIES}
+ORACLES = {**search_queries.ORACLES, **relational_queries.ORACLES, **workbench_queries.ORACLES, **publishing_queries.ORACLES, **machine_queries.ORACLES, **hierarchy_queries.ORACLES, **connector_queries.ORACLES, **revision_queries.ORACLES}
 
 
 @pytest.fixture(scope="module")

@@ -175,6 +175,11 @@ def citations(answer: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))))
 
 
+def clamp(value: Column, low: float, high: float) -> Column:
+    """A number within limits; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
+
+
 def locator(loc: Column) -> Column:
     """Page, slide, rows of a sheet, lines, or the document as a whole, whichever a struct (page, slide, sheet, start, end) has first."""
     n = lambda f, other: F.coalesce(loc[f].cast("string"), other)

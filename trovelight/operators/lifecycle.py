@@ -282,6 +282,28 @@ def idempotent_create(tasks: DataFrame, requests: DataFrame) -> DataFrame:
     return first.join(known, "idempotency_key", "left").withColumn("outcome", outcome).drop("_f", "_s")
 
 
+def create_in_order(tasks: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests(idempotency_key, fingerprint, sequence) with ``outcome``, as if they came one after another in the order of their sequences.
+
+    The first request of a key that ``tasks(idempotency_key, fingerprint, status)`` doesn't know is ``created`` and gives the key its fingerprint; the first one that
+    repeats the input of a failed task is ``requeued``; further ones with the key's fingerprint are ``reused`` and others a ``conflict``. Null keys are ``created``
+    each, a null fingerprint equals itself; of requests with one sequence the smallest fingerprint comes first, and repeated rows share an outcome.
+    Firsts are minima that are combined before the shuffle, so a key may hold any share of the rows.
+    """
+    fp = F.struct("fingerprint")
+    keyed, loose = requests.filter("idempotency_key is not null"), requests.filter("idempotency_key is null")
+    firsts = keyed.groupBy("idempotency_key", fp.alias("_fp")).agg(F.min("sequence").alias("_first"))
+    opening = firsts.groupBy("idempotency_key").agg(F.min(F.struct("_first", "_fp")).alias("_open"))
+    known = tasks.filter("idempotency_key is not null").groupBy("idempotency_key").agg(F.max(F.struct(F.struct("fingerprint").alias("_fp"), "status")).alias("_task"))
+    rule = firsts.join(opening, "idempotency_key").join(known, "idempotency_key", "left")
+    owner = F.coalesce(F.col("_task._fp"), F.col("_open._fp"))
+    once = F.when(F.col("_task").isNull(), "created").when(F.col("_task.status") == "failed", "requeued").otherwise("reused")
+    rule = rule.select("idempotency_key", "_fp", "_first", F.when(F.col("_fp").eqNullSafe(owner), once).otherwise("conflict").alias("_once"))
+    outcome = F.when((F.col("_once") == "conflict") | (F.col("sequence") == F.col("_first")), F.col("_once")).otherwise("reused")
+    judged = keyed.withColumn("_fp", fp).join(rule, ["idempotency_key", "_fp"]).withColumn("outcome", outcome)
+    return judged.select(*requests.columns, "outcome").unionByName(loose.withColumn("outcome", F.lit("created")))
+
+
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 

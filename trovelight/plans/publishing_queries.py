@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight import config
 from trovelight.functions import text as T
 from trovelight.operators import lifecycle as L
 from trovelight.operators import publishing as P
@@ -145,8 +144,9 @@ def provenance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clamped_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = [r[0] for r in read(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.col("n_nationkey") * 4 - 10).collect()]  # 25 rows at every scale
-    return spark.createDataFrame([(i, int(config.clamp(n, 1, 50))) for i, n in enumerate(sizes)], "nation long, result_limit int")
+    """Sizes of pages that orders ask for, kept between 1 and 50."""
+    asked = F.floor(F.col("o_totalprice") / 5_000).cast("int") - 10
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.clamp(asked, 1, 50).alias("result_limit"))
 
 
 def parse_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +258,7 @@ ORACLES = {
     "iso_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM events",
     "scoped_rows": f"WITH {_DOCS} SELECT dataset AS workspace_id, count(*) AS n FROM docs WHERE status <> 'deleted' AND document % 13 <> 0 GROUP BY 1",
     "provenance_check": "SELECT count_if(doc_id IS NULL OR source IS NULL OR source = '' OR lang IS NULL OR lang = '' OR text IS NULL OR text = '')::BIGINT AS faults, count(*) AS total FROM documents",
-    "clamped_limits": "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS nation, greatest(1, least(50, n_nationkey * 4 - 10))::INT AS result_limit FROM nation",
+    "clamped_limits": "SELECT o_orderkey, greatest(1, least(50, floor(o_totalprice / 5000)::INT - 10))::INT AS result_limit FROM orders",
     "parse_states": r"""WITH d AS (SELECT doc_id, ['md', 'txt', 'pdf', 'xyz', 'png', 'docx', 'zip'][doc_id % 7 + 1] AS ext, string_split(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), chr(10)) AS ls FROM documents),
  x AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, ls FROM d WHERE ext IN ('md', 'txt')), y AS (SELECT doc_id, i, trim(regexp_replace(ls[i], '\s', ' ', 'g')) = '' AS blank FROM x),
  z AS (SELECT *, sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM y), b AS (SELECT doc_id, count(DISTINCT island) AS n FROM z WHERE NOT blank GROUP BY 1),
