@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -80,7 +81,7 @@ class Encoder:
         found = self.memo.get(piece)
         if found is None:
             byte_chars = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.as_chars)
-            found = self.keep(piece, np.array([t.id for t in self.model.tokenize(byte_chars)], "<u4").tobytes())
+            found = self.keep(piece, struct.pack(f"<{len(t := self.model.tokenize(byte_chars))}I", *[x.id for x in t]))
         return found
 
     def keep(self, piece: str, ids: bytes) -> bytes:
@@ -105,14 +106,23 @@ class Encoder:
 
         Words with other characters than ASCII and the letters that were checked when the encoder was made are encoded by the library, which alone knows the Unicode tables it was built with.
         """
-        fast = [w.isascii() or self.plain.fullmatch(w) is not None for w in words]
-        known = [b"" if not w else None if f else self.memo.get(w) for w, f in zip(words, fast)]
-        other = [i for i, (f, k) in enumerate(zip(fast, known)) if k is None and not f]
+        memo = self.memo
+        # What is kept under a word of letters alone is that word's ids, whoever asked for it first.
+        known = [memo.get(w) if w.isalpha() else None for w in words]
+        other = []
+        for i, w in enumerate(words):
+            if known[i] is None:
+                if w.isascii() or self.plain.fullmatch(w) is not None:
+                    known[i] = self.word(w) if w else b""
+                elif (found := memo.get(w)) is not None:
+                    known[i] = found
+                else:
+                    other.append(i)
         for a in range(0, len(other), WORDS_AT_ONCE):
             some = other[a : a + WORDS_AT_ONCE]
             for i, e in zip(some, self.whole.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
                 known[i] = self.keep(words[i], np.array(e.ids, "<u4").tobytes())
-        return [self.word(w) if k is None else k for w, k in zip(words, known)]
+        return known
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n+1 offsets); a null is an empty text."""
