@@ -132,10 +132,16 @@ def fuse(vector: DataFrame, full_text: DataFrame, k: int = 60, vector_weight: fl
     return both.withColumn("vector_part", part("vector_rank", vector_weight)).withColumn("full_text_part", part("full_text_rank", full_text_weight)).withColumn("fusion", F.col("vector_part") + F.col("full_text_part"))
 
 
+def those_found(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``chunks`` that ``found(chunk_id)``, a written table, names; texts of others don't travel."""
+    return chunks.join(checked_broadcast(found.select("chunk_id").distinct()), "chunk_id", "left_semi")
+
+
 def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """Order by fusion + 0.01 lexical; scores rounded as they are returned. Columns title and locator of the chunks are kept."""
+    """Order by fusion + 0.01 lexical; scores rounded as they are returned. Columns title and locator of the chunks are kept. ``fused`` is a written table."""
     more = [c for c in ("title", "locator") if c in chunks.columns]
     low = F.col("content_low") if "content_low" in chunks.columns else F.lower("content")
+    chunks = those_found(chunks, fused)
     asked = queries.select("query_id", F.array_distinct(T.hash_tokens(F.col("query"))).alias("_terms"))
     rows = fused.join(checked_broadcast(asked), "query_id").join(chunks.select("chunk_id", "content", low.alias("_low"), *more), "chunk_id")
     rows = rows.withColumn("lexical", T.share_found(F.col("_terms"), F.col("_low")))

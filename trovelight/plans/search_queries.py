@@ -13,7 +13,7 @@ from trovelight.operators import lifecycle as L
 from trovelight.operators import postings as P
 from trovelight.operators import search as S
 from trovelight.plans.tables import read
-from trovelight.sources.store import ReleaseStore, fingerprint
+from trovelight.sources.store import ReleaseStore, fingerprint, written
 
 QUESTIONS = [
     ("q1", "the thing of reach that er"),
@@ -62,16 +62,21 @@ def _full_text(spark: SparkSession, sf_dir: str, k: int = DEPTH, within: DataFra
     return (release or Release(spark, sf_dir)).postings().bm25(questions(spark, sf_dir), k, within=within)
 
 
-def _ranked(spark: SparkSession, sf_dir: str, vector: DataFrame, full_text: DataFrame, p: dict, limit: int) -> DataFrame:
+def _channels(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Both channels, worked out once and written: at most ``k`` rows a question each."""
+    release = Release(spark, sf_dir)
+    return written(spark, _vector(spark, sf_dir, k, release), "channel"), written(spark, _full_text(spark, sf_dir, k, release=release), "channel")
+
+
+def _ranked(spark: SparkSession, sf_dir: str, vector: DataFrame, full_text: DataFrame, p: dict, limit: int, rows: DataFrame | None = None) -> DataFrame:
     fused = S.fuse(vector, full_text, p["fusion"]["k"], p["fusion"]["vectorWeight"], p["fusion"]["fullTextWeight"])
-    return S.rerank(fused, questions(spark, sf_dir), chunks(spark, sf_dir), limit)
+    return S.rerank(fused, questions(spark, sf_dir), chunks(spark, sf_dir) if rows is None else rows, limit)
 
 
 def _results(spark: SparkSession, sf_dir: str, limit: int = LIMIT) -> DataFrame:
     p = config.profile()
     depth = max(2 * limit, p["vector"]["topK"])
-    release = Release(spark, sf_dir)
-    return _ranked(spark, sf_dir, _vector(spark, sf_dir, depth, release), _full_text(spark, sf_dir, depth, release=release), p, limit)
+    return _ranked(spark, sf_dir, *_channels(spark, sf_dir, depth), p, limit)
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,14 +156,15 @@ def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two profiles that differ in fusion only share their channels."""
     p, over = config.profile(), config.profile({"fusion": {"vectorWeight": 0.0, "k": 31}})
-    release = Release(spark, sf_dir)
-    vector, full_text = _vector(spark, sf_dir, release=release), _full_text(spark, sf_dir, release=release)
-    left, right = (_ranked(spark, sf_dir, vector, full_text, x, LIMIT) for x in (p, over))
+    vector, full_text = _channels(spark, sf_dir)
+    rows = written(spark, S.those_found(chunks(spark, sf_dir), vector.select("chunk_id").union(full_text.select("chunk_id"))), "candidates")
+    left, right = (_ranked(spark, sf_dir, vector, full_text, x, LIMIT, rows) for x in (p, over))
     return L.compare_candidates(left, right, ["query_id", "chunk_id"])
 
 
 def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fused(spark, sf_dir).join(chunks(spark, sf_dir), "chunk_id").withColumn("channels", L.channels(F.col("vector_rank"), F.col("full_text_rank"))).withColumn("fusion_score", F.col("fusion"))
+    fused = S.fuse(*_channels(spark, sf_dir), 60, 1.0, 1.4)
+    rows = fused.join(S.those_found(chunks(spark, sf_dir), fused), "chunk_id").withColumn("channels", L.channels(F.col("vector_rank"), F.col("full_text_rank"))).withColumn("fusion_score", F.col("fusion"))
     return L.filter_candidates(rows, "the", "fullText", 0.015).select("query_id", "chunk_id", F.round("fusion_score", 8).alias("fusion_score"))
 
 
