@@ -1,5 +1,8 @@
 """What retrieval sends through shuffles: neither the texts of all chunks, nor a row for each pair, nor a channel twice."""
 
+import random
+
+from trovelight.operators import postings as P
 from trovelight.operators import search as S
 from trovelight.plans import search_queries
 
@@ -24,3 +27,19 @@ def test_only_found_chunks_travel_to_the_ranking(spark):
 
 def test_profiles_share_their_channels(spark, sf_dir):
     assert "MapInArrow" not in plan(search_queries.trace_compare(spark, sf_dir))
+
+
+def test_shared_terms_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "QUERIES_AT_ONCE", 3)
+    monkeypatch.setattr(P, "CHUNKS_AT_ONCE", 7)
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    chunks = [(i, rnd.sample(words, rnd.randrange(0, 20))) for i in range(100)]
+    asked = [(q, rnd.sample([*words, "absent"], q % 9)) for q in range(11)] + [(50, ["absent"])]
+    got = P.shared_terms(spark.createDataFrame(asked, "query_id long, terms array<string>"), spark.createDataFrame(chunks, "chunk_id long, terms array<string>"), 4).collect()
+    want = set()
+    for q, terms in asked:
+        hits = sorted((-len(set(terms) & set(t)), i) for i, t in chunks)
+        want |= {(q, i, -h, n + 1, len(terms)) for n, (h, i) in enumerate(hits[:4]) if h < 0}
+    assert {tuple(r[c] for c in ("query_id", "chunk_id", "hits", "rank", "n_terms")) for r in got} == want
+    assert "mapInArrow" not in "".join(plan(P.shared_terms(spark.createDataFrame([], "query_id long, terms array<string>"), spark.createDataFrame(chunks, "chunk_id long, terms array<string>"), 4)))

@@ -169,16 +169,10 @@ def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a benchmark item's terms that its best documents hold, by an inverted index on distinct terms.
-
-    Only terms of items leave the documents: their array is intersected with a counted, broadcast vocabulary where that is small.
-    """
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.hash_tokens(F.coalesce("text", F.lit(""))))).alias("term"))
-    docs = chunks(spark, sf_dir).select("chunk_id", F.explode(F.array_distinct(T.hash_tokens(F.col("content")))).alias("term"))
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n_terms"))
-    hits = docs.join(S.checked_broadcast(items), "term").groupBy("item_id", "chunk_id").agg(F.count("*").alias("hits"))
-    best = S.top(hits, ["item_id"], [F.desc("hits"), F.col("chunk_id")], 3, "rank")
-    return best.join(sizes, "item_id").select("item_id", "chunk_id", "rank", "hits", F.round(F.col("hits") / F.col("n_terms"), 6).alias("overlap"))
+    """Share of a benchmark item's terms that its best documents hold: documents are held against all items as they are read, and only the best of some documents go on."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.hash_tokens(F.coalesce("text", F.lit("")))).alias("terms"))
+    best = P.shared_terms(items, chunks(spark, sf_dir).select("chunk_id", F.array_distinct(T.hash_tokens(F.col("content"))).alias("terms")), 3)
+    return best.select(F.col("query_id").alias("item_id"), "chunk_id", "rank", "hits", F.round(F.col("hits") / F.col("n_terms"), 6).alias("overlap"))
 
 
 def parse_question(spark: SparkSession, sf_dir: str) -> DataFrame:
