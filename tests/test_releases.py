@@ -87,3 +87,25 @@ def test_of_two_switches_one_wins(spark, log):
     assert log.active("d") == made[0].release
     log.switch("d", made[1].release)
     assert log.active("d") == made[1].release and len(log.history("d")) == 2
+
+
+def test_texts_are_never_sorted_and_travel_once(spark, log, monkeypatch):
+    plans = []
+    vectors = V.with_embedding
+    monkeypatch.setattr(V, "with_embedding", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or vectors(df, *a))
+    docs = documents(spark, a="ready", b="deleted")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        log.build("d", chunks(spark, (1, "a", "one", False), (2, "b", "gone", False)), docs)
+        second = log.build("d", chunks(spark, (1, "a", "one", False), (2, "a", None, False), (3, "a", "three", False), (4, "b", "gone", False)), docs, activate=False, allow_review=True)
+    except ReleaseError as error:
+        assert error.code == "RELEASE_VALIDATION_FAILED"  # the chunk without content
+        second = log.build("d", chunks(spark, (1, "a", "one", False), (3, "a", "three", False), (4, "b", "gone", False)), docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert (second.n_chunks, second.n_reused) == (2, 1) and len(plans) == 3
+    for plan in plans:
+        content = [line for line in plan.split("\n") if "content#" in line]
+        assert "ShuffledHashJoin" in plan and sum("Exchange" in line for line in plan.split("\n") if "REPARTITION_BY_NUM" in line) == 2
+        assert not [line for line in content if "Sort [" in line]

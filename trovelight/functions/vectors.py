@@ -51,17 +51,30 @@ def hash_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.nd
 
 
 def with_embedding(df: DataFrame, text: str, name: str = "embedding", dimensions: int = DIMENSIONS) -> DataFrame:
-    """``df`` with the hash embedding (array<double>) of a string column; rows stay where they are, in one vectorised pass."""
-    names, at = [*df.columns, name], df.columns.index(text)
+    """``df`` with the hash embedding (array<double>) of a string column; rows stay where they are, in one vectorised pass. Where ``df`` has that column, its nulls are filled."""
+    there = name in df.columns
+    names, at = df.columns if there else [*df.columns, name], df.columns.index(text)
+    own = names.index(name)
+
+    def vectors(texts: list[str | None]) -> pa.ListArray:
+        v = hash_vectors(texts, dimensions)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dimensions), pa.int32()), pa.array(v.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, at):
-                v = hash_vectors(part.column(at).to_pylist(), dimensions)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dimensions), pa.int32()), pa.array(v.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names)
-
-    return df.mapInArrow(run, df.select("*").schema.add(name, ArrayType(DoubleType())))
+                columns = list(part.columns)
+                if there:
+                    missing = columns[own].is_null().to_numpy(zero_copy_only=False)
+                    place = np.where(missing, len(part) + np.cumsum(missing) - 1, np.arange(len(part)))
+                    new = vectors(columns[at].filter(pa.array(missing)).to_pylist()).cast(columns[own].type)
+                    columns[own] = pa.concat_arrays([columns[own], new]).take(pa.array(place))
+                else:
+                    columns.append(vectors(columns[at].to_pylist()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = df.select("*").schema
+    return df.mapInArrow(run, schema if there else schema.add(name, ArrayType(DoubleType())))
 
 
 def embed(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:

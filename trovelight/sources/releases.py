@@ -22,6 +22,9 @@ from trovelight.sources import store
 #: What a chunk of a release must name, for answers to cite it.
 PROVENANCE = ("document", "revision", "artifact", "content")
 MODEL = "hash-embedding-128"
+PUBLISHED = ["chunk_id", "document", "revision", "artifact", "content"]
+#: Rows of a partition in which texts meet their ordinals.
+ROWS_AT_ONCE = 20_000
 
 
 class ReleaseError(RuntimeError):
@@ -132,14 +135,23 @@ class ReleaseLog:
     # --- builds --------------------------------------------------------------------------------------------------------------
 
     @staticmethod
-    def publishable(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-        live = documents.filter(~F.col("status").eqNullSafe("deleted")).select("document")
-        return chunks.filter(~F.coalesce("excluded", F.lit(False))).join(live, "document", "left_semi").select("chunk_id", "document", "revision", "artifact", "content")
+    def _included(chunks: DataFrame, *more: Column) -> DataFrame:
+        """Chunks that aren't excluded, with the hashes of what is published of them."""
+        hashes = [h.alias(f"_hash{i}") for i, h in enumerate(store.row_hashes(PUBLISHED))]
+        return chunks.filter(~F.coalesce("excluded", F.lit(False))).select(*PUBLISHED, *hashes, *more)
+
+    @staticmethod
+    def _live(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+        return chunks.join(documents.filter(~F.col("status").eqNullSafe("deleted")).select("document"), "document", "left_semi")
+
+    @classmethod
+    def publishable(cls, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+        return cls._live(cls._included(chunks), documents).select(*PUBLISHED)
 
     def fingerprint(self, chunks: DataFrame, documents: DataFrame, config_hash: str = "") -> str:
-        """A name for what a build would publish, to be held against it later."""
-        content = store.fingerprint(self.publishable(chunks, documents))
-        return hashlib.sha256(f"{content}|{config_hash}".encode()).hexdigest()
+        """A name for what a build would publish, to be held against it later. Only documents and hashes are shuffled."""
+        keys = self._live(self._included(chunks).select("document", "_hash0", "_hash1"), documents)
+        return hashlib.sha256(f"{store.combined(keys, [F.col('_hash0'), F.col('_hash1')])}|{config_hash}".encode()).hexdigest()
 
     def build(self, dataset: str, chunks: DataFrame, documents: DataFrame, config_hash: str = "", expected: str | None = None, allow_review: bool = False, activate: bool = True) -> Release:
         """Publish the latest revisions ``chunks(chunk_id, document, revision, artifact, content, excluded)`` of ``documents(document, status)``.
@@ -148,10 +160,10 @@ class ReleaseLog:
         ``allow_review``), NO_PUBLISHABLE_CHUNKS, RELEASE_VALIDATION_FAILED (a written row lacks a document, revision, artifact or content), RELEASE_CONFLICT.
         The same content, configuration and review rule are the same release: it is built once, and asked for again it is only switched to. Rows are numbered from 1
         by (chunk_id, document, content); repeated rows count each, further columns are ignored. Embeddings of texts that the active release has too are taken from
-        it, the others are computed. Input is read several times: it must not change in between, for which the written rows are held against the fingerprint.
+        it, the others are computed. What is live, its fingerprint and its order are found from keys and hashes, so texts are shuffled once, to their ordinals, and never
+        sorted. Chunks are read twice: they must not change in between, for which the written rows are held against the fingerprint.
         """
         begun, before = self.position(dataset), self.active(dataset)
-        live = self.publishable(chunks, documents)
         content = self.fingerprint(chunks, documents, config_hash)
         if expected is not None and expected != content:
             raise ReleaseError("RELEASE_CONTENT_CHANGED")
@@ -161,18 +173,21 @@ class ReleaseLog:
             blocking = documents.filter(F.col("status").isin(*lifecycle.UNPUBLISHABLE)).count()
             if blocking and not allow_review:
                 raise ReleaseError("RELEASE_QUALITY_BLOCKED", f"{blocking} documents")
-            found = self._built(dataset, name, live, content, config_hash, blocking, before)
+            found = self._built(dataset, name, chunks, documents, content, config_hash, blocking, before)
         if activate and before != name:
             self.switch(dataset, name, after=begun)
         return found
 
-    def _built(self, dataset: str, name: str, live: DataFrame, content: str, config_hash: str, blocking: int, before: str | None) -> Release:
+    def _built(self, dataset: str, name: str, chunks: DataFrame, documents: DataFrame, content: str, config_hash: str, blocking: int, before: str | None) -> Release:
         place = self._place(dataset)
         draft = f"{place}/_new-{uuid.uuid4().hex}"
         try:
-            hashed = live.withColumn("content_sha256", F.sha2(F.coalesce("content", F.lit("")), 256)).withColumn("_dataset", F.lit(dataset))
-            numbered = hierarchy.running(hashed, "_dataset", ["chunk_id", "document", "content_sha256"], F.lit(0), ("ordinal", "_none")).drop("_dataset", "_none")
-            self._with_vectors(numbered, dataset, before).write.parquet(f"{self.folder.root}/{draft}/chunks")
+            order = ["chunk_id", "document", "content_sha256"]
+            digest = F.sha2(F.coalesce("content", F.lit("")), 256)
+            chunks = store.written(self.spark, self._included(chunks, digest.alias("content_sha256"), F.monotonically_increasing_id().alias("_row")), "release")
+            keys = store.written(self.spark, self._live(chunks.select("_row", *order), documents), "release")
+            numbered = hierarchy.running(keys.select("_row", *order, F.lit(dataset).alias("_dataset")), "_dataset", order, F.lit(0), ("ordinal", "_none")).select("_row", "ordinal", "content_sha256")
+            self._with_vectors(chunks, numbered, keys.count(), dataset, before).write.parquet(f"{self.folder.root}/{draft}/chunks")
             rows = self.spark.read.parquet(f"{self.folder.root}/{draft}/chunks")
             faulty = F.lit(False)
             for column in PROVENANCE:
@@ -182,7 +197,7 @@ class ReleaseLog:
                 raise ReleaseError("NO_PUBLISHABLE_CHUNKS")
             if bad:
                 raise ReleaseError("RELEASE_VALIDATION_FAILED", f"{bad} of {n} chunks without their sources")
-            written = store.fingerprint(rows.select("chunk_id", "document", "revision", "artifact", "content"))
+            written = store.fingerprint(rows, PUBLISHED)
             if hashlib.sha256(f"{written}|{config_hash}".encode()).hexdigest() != content:
                 raise ReleaseError("RELEASE_CONTENT_CHANGED", "while it was built")
             version = 1 + max((m.version for r in self.states(dataset) if (m := self.manifest(dataset, r))), default=0)
@@ -194,14 +209,13 @@ class ReleaseLog:
         finally:
             self.folder.remove(draft)
 
-    def _with_vectors(self, rows: DataFrame, dataset: str, before: str | None) -> DataFrame:
-        """``rows`` with model, embedding and reused. A text that very many rows share is looked up by broadcast of that key, so no task gets all of its rows."""
-        if before is None:
-            fresh = rows.withColumn("reused", F.lit(False))
-            return V.with_embedding(fresh, "content").withColumn("model", F.lit(MODEL))
-        rows = store.written(self.spark, rows, "release")
-        old = self.chunks(dataset, before).filter(F.col("model") == MODEL).groupBy("content_sha256").agg(F.first("embedding").alias("embedding"))  # equal for equal texts
-        both = store.written(self.spark, hierarchy.lookup(rows, old, "content_sha256"), "release")
-        had = both.filter("embedding is not null").withColumn("reused", F.lit(True))
-        missing = V.with_embedding(both.filter("embedding is null").drop("embedding").withColumn("reused", F.lit(False)), "content")
-        return had.unionByName(missing).withColumn("model", F.lit(MODEL))
+    def _with_vectors(self, rows: DataFrame, numbered: DataFrame, n: int, dataset: str, before: str | None) -> DataFrame:
+        """The ``n`` numbered rows with model, embedding and reused. A text that very many rows share is looked up by broadcast of that key, so no task gets all of its rows."""
+        if before is not None:
+            old = self.chunks(dataset, before).filter(F.col("model") == MODEL).groupBy("content_sha256").agg(F.first("embedding").alias("embedding"))  # equal for equal texts
+            numbered = hierarchy.lookup(store.written(self.spark, numbered, "release"), old, "content_sha256")
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_AT_ONCE))
+        found = numbered.drop("content_sha256").repartition(parts, "_row").hint("shuffle_hash")
+        both = rows.select("_row", *PUBLISHED, "content_sha256").repartition(parts, "_row").join(found, "_row").drop("_row")
+        both = both.withColumn("reused", F.lit(False) if before is None else F.col("embedding").isNotNull())
+        return V.with_embedding(both, "content").withColumn("model", F.lit(MODEL))

@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -35,15 +35,23 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fingerprint(df: DataFrame, columns: list[str] | None = None) -> str:
-    """A name for the rows of ``df`` in any order: their number and the sums of two hashes of each. One scan, no shuffle of rows."""
-    columns = columns or df.columns
+def row_hashes(columns: list[str]) -> list[Column]:
+    """The two hashes of a row that ``fingerprint`` sums."""
     each = F.struct(*columns)
-    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), each).cast("decimal(38,0)")), F.lit(0)).cast("string") for seed in (1, 2)]
-    n, a, b = df.agg(F.count("*"), *sums).first()
+    return [F.xxhash64(F.lit(seed), each) for seed in (1, 2)]
+
+
+def combined(df: DataFrame, hashes: list[Column]) -> str:
+    """The fingerprint of rows whose hashes are given."""
+    n, a, b = df.agg(F.count("*"), *[F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string") for h in hashes]).first()
     return f"{n}-{int(a) % (1 << 64):016x}{int(b) % (1 << 64):016x}"
 
 
+def fingerprint(df: DataFrame, columns: list[str] | None = None) -> str:
+    """A name for the rows of ``df`` in any order: their number and the sums of two hashes of each. One scan, no shuffle of rows."""
+    return combined(df, row_hashes(columns or df.columns))
+
+
 class Folder:
     """Existence, listing, renaming and removal below a folder of any store that Hadoop reads."""
 
