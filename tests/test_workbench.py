@@ -5,6 +5,7 @@ import hashlib
 import hmac
 import math
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trovelight.operators import workbench as W
@@ -50,6 +51,16 @@ def test_diffs(spark):
     assert "+x" in got[2] and got[3] == ""
 
 
+def test_diffs_are_made_of_some_bytes_at_a_time(monkeypatch):
+    monkeypatch.setattr(W, "DIFF_BYTES", 1_000)
+    rows = [(i, "x" * 300 if i % 3 else None, "y\n" * (i % 200)) for i in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["id", "before", "after"]).slice(3), pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.string(), pa.string())], ["id", "before", "after"])]
+    out = list(W._diffs(iter(batches)))
+    assert len(out) > 10 and max(b.num_rows for b in out) <= 12
+    want = [(i, "\n".join(difflib.unified_diff((a or "").splitlines(), b.splitlines(), "before", "after", lineterm=""))) for i, a, b in rows[3:]]
+    assert [(r["id"], r["diff"]) for b in out for r in b.to_pylist()] == want
+
+
 def test_stats_and_citations(spark):
     chunks = spark.createDataFrame([([1.0], False), ([], False), (None, False), ([1.0], True)], "embedding array<double>, excluded boolean")
     assert tuple(W.chunk_stats(chunks).first()) == (4, 1, 2, 1)

@@ -8,8 +8,9 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,12 +147,27 @@ def axis_scatter(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key).join(sums, key, "left").select(key, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in "xy"])
 
 
-def unified_diffs(pairs: DataFrame) -> DataFrame:
-    """id, diff of pairs(id, before, after): unified diff lines; nulls count as empty."""
+#: Bytes of texts whose differences are worked out at a time.
+DIFF_BYTES = 1 << 20
+
+
+def _diff(before: str | None, after: str | None) -> str:
+    return "\n".join(difflib.unified_diff((before or "").splitlines(), (after or "").splitlines(), "before", "after", lineterm=""))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lines = [difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), "before", "after", lineterm="") for a, b in zip(pdf["before"], pdf["after"])]
-            yield pd.DataFrame({"id": pdf["id"], "diff": ["\n".join(x) for x in lines]})
 
-    return pairs.select("id", "before", "after").mapInPandas(run, "id long, diff string")
+def _diffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, before, after) as batches of (id, diff), each of the rows that begin within DIFF_BYTES of texts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+        cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // DIFF_BYTES, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+            part = batch.slice(a, b - a)
+            found = [_diff(x.as_py(), y.as_py()) for x, y in zip(part.column(1), part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], ["id", "diff"])
+
+
+def unified_diffs(pairs: DataFrame) -> DataFrame:
+    """id, diff of pairs(id, before, after): unified diff lines; nulls count as empty. A task holds the differences of DIFF_BYTES of texts, not those of a whole batch."""
+    return pairs.select(F.col("id").cast("long").alias("id"), F.col("before").cast("string").alias("before"), F.col("after").cast("string").alias("after")).mapInArrow(_diffs, "id long, diff string")
