@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -336,6 +337,33 @@ def test_ann_recall_with_lists(spark):
     assert hit / (60 * 20) >= 0.9
 
 
+def test_ann_scan_reads_pairs_that_stay_in_products_and_keeps_to_its_bound():
+    # In 64 dimensions without structure hardly a pair is abandoned: reading each singly took 73 MB and twenty times the CPU time.
+    rng = np.random.default_rng(3)
+    x, ids = rng.normal(size=(4000, 64)), np.arange(4000)
+    norm = float(np.sqrt((x**2).sum(1).max()))
+    q, qids = x[:256], ids[:256]
+    xr, qr = ann.augmented(x, norm), ann.augmented(q, None)
+    most, seed_ids, seed_scores = ann.seeds(ids[::2], x[::2], xr[::2], qids, q, qr, 20)
+    tracemalloc.start()
+    at, got, scores = ann.scan(ids, x, xr, qids, q, qr, 20, most)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    hit = 0
+    for i in range(256):
+        s = x @ q[i]
+        s[i] = -np.inf
+        want = np.argsort(-s)[:20]
+        hit += len(set(want) & set(got[at == i]))
+        # What the seeds found is within the bound, and so is all else.
+        assert list(seed_ids[i]) == [j for j in np.argsort(-s) if j % 2 == 0][:20] and np.allclose(seed_scores[i], s[seed_ids[i]])
+        assert (norm**2 + q[i] @ q[i] - 2 * scores[at == i] <= most[i] + 1e-6).all()
+    assert hit / (256 * 20) >= 0.98
+    # Too few seeds bound nothing.
+    assert np.isinf(ann.seeds(ids[:20], x[:20], xr[:20], qids, q, qr, 20)[0]).all()
+
+
 def test_mixing_solves_for_entropy_and_repetition():
     tokens_ = np.array([1000.0, 100, 100, 50])
     e, w, spent = mixing.solve(tokens_, 0.9, 100.0, 1250.0)
