@@ -7,6 +7,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,47 @@ def test_token_store_of_nothing(spark, empty, tmp_path):
     assert tokens.read_token_store(tokens.write_token_store(empty, path, queries.tokenizer_path()), path).count() == 0
 
 
+def test_encoder_learns_a_stem_once_while_it_is_in_use(monkeypatch):
+    # Small memories: what is in every batch stays, what isn't goes.
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 64 << 10, raising=False)
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 64 << 10)
+    enc = tokens.Encoder(queries.tokenizer_path())
+    asked = collections.Counter()
+
+    class Counting:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, piece):
+            asked[piece] += 1
+            return self.model.tokenize(piece)
+
+    enc.model = Counting(enc.model)
+    rng = np.random.default_rng(4)
+    draw = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(n)]
+    often = draw(200)
+    for _ in range(12):
+        texts = [" ".join([*often, *draw(500)]), " ".join(w.capitalize() + "." for w in often), " ".join(w.upper() + ",;" for w in often[:20]), "", None]
+        ids, offsets = enc.encode(pa.array(texts))
+        for i, text in enumerate(texts):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == enc.whole.encode(text or "", add_special_tokens=False).ids
+    assert max(asked[w] for w in often[20:]) == 1
+    assert len(enc.stems) < 2_500
+
+
+ODD_LETTERS = [*"aZ.,'#9éÉßñİıſŉŸÿçÇ-", "'s", "\u0307", "\u0301", "\x1c", "\u2003", "ж", "中", "ﬁ", "\U0001f600", "<|endoftext|>", " ", "\n"]
+
+
+def test_encoder_gives_the_librarys_ids_on_mixed_words():
+    enc, rng = tokens.Encoder(queries.tokenizer_path()), np.random.default_rng(8)
+    texts = ["".join(rng.choice(ODD_LETTERS, rng.integers(0, 40))) for _ in range(3_000)] + [c + "a" * 100 + d for c in ("", "É", "İ") for d in ("", ".", "..")]
+    for _ in range(2):  # and again with what is kept
+        ids, offsets = enc.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [e.ids for e in enc.whole.encode_batch(texts, add_special_tokens=False)]
+    ids, offsets = enc.encode(pa.array([], pa.string()))
+    assert len(ids) == 0 and offsets.tolist() == [0]
+
+
 def test_packing(spark, docs):
     pieces = tokens.tokenized_pieces(docs, queries.tokenizer_path(), 64).cache()
     placed = packing.pack(pieces, 64).join(pieces, "item_id").collect()

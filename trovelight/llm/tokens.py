@@ -25,10 +25,14 @@ from pyspark.sql import functions as F
 from trovelight.llm import common
 
 END_ID = 1
-#: Bytes, at about, of the pieces that a worker keeps with their ids; the memory of older ones is dropped at once.
-MEMO_BYTES = 32 << 20
-#: What an entry takes beside its characters and ids, and the longest piece that is kept.
-ENTRY_BYTES, LONGEST_KEPT = 240, 64
+#: Bytes, at about, of the stems that a worker keeps with their ids as columns; when they are more, the half that was used last stays.
+KEPT_BYTES = 16 << 20
+#: Bytes, at about, of all other pieces that a worker keeps, in two halves: when the newer one is full, the older one is dropped, so what is in use stays.
+MEMO_BYTES = 16 << 20
+#: Bytes that an entry takes beside its characters and ids, and the longest stem or piece that is kept.
+ENTRY_BYTES, COLUMN_BYTES, LONGEST_KEPT = 240, 24, 64
+#: Stems that are given to the model at a time.
+STEMS_AT_ONCE = 2_000
 #: Letters that are taken for known if the library treats them as Python does, which each encoder checks.
 LETTERS = range(0xC0, 0x180)
 #: Words that the library encodes at a time.
@@ -43,7 +47,7 @@ class Encoder:
     Where the tokenizer is lower-casing BPE whose pre-tokens never hold white
     space, each distinct word of ASCII and checked letters is cut into pre-tokens and each distinct
     pre-token is given to the library's BPE model once; each other distinct word goes through
-    the library. Every other tokenizer, and every text with a special token, goes through the library whole.
+    the library. Words of letters with one mark at their end at most are cut and lower-cased as columns. Every other tokenizer, and every text with a special token, goes through the library whole.
     """
 
     def __init__(self, path: str):
@@ -68,11 +72,19 @@ class Encoder:
         self.as_chars = {b: chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)}
         self.punct = frozenset(".,;:!?*$%&#|()[]{}<>-_+=/\\\"@^~`")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.memo_bytes = 0
         self.plain = re.compile("[\\x00-\\x7f]*")
         if self.split is not None:
             letters = [c for c in map(chr, LETTERS) if c.isalpha() and all(self._alike(t.format(c)) for t in ("ab{0}Cd", "{0}b", "e{0}", "{0}", "x{0}{0}y", "{0}'s.", "2{0}-{0}"))]
             self.plain = re.compile(f"[\\x00-\\x7f{''.join(letters)}]*")
+            one = [c for c, low in zip(letters, pc.utf8_lower(pa.array(letters)).to_pylist()) if low == c.lower() and low.isalpha()]
+            self.stem = f"^[A-Za-z{''.join(one)}]+$"
+            self.tails = {ord(c): np.frombuffer(self.piece(c), "<u4") for c in self.punct}
+            self.tail_ids = np.array([len(self.tails.get(b, ())) for b in range(256)])
+            # Stems with the first and the number of their ids in the pool, and the call that asked for them last.
+            self.stems, self.first, self.count, self.used = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+            self.pool, self.calls = np.zeros(0, "<u4"), 0
 
     def _alike(self, word: str) -> bool:
         return self.word(word) == np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -80,16 +92,19 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         found = self.memo.get(piece)
         if found is None:
-            byte_chars = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.as_chars)
-            found = self.keep(piece, struct.pack(f"<{len(t := self.model.tokenize(byte_chars))}I", *[x.id for x in t]))
+            found = self.older.get(piece)
+            if found is None:
+                byte_chars = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.as_chars)
+                found = struct.pack(f"<{len(t := self.model.tokenize(byte_chars))}I", *[x.id for x in t])
+            self.keep(piece, found)
         return found
 
     def keep(self, piece: str, ids: bytes) -> bytes:
         if len(piece) <= LONGEST_KEPT:
             self.memo_bytes += ENTRY_BYTES + 2 * len(piece) + len(ids)
-            if self.memo_bytes > MEMO_BYTES:
-                self.memo.clear()
-                self.memo_bytes = 0
+            if self.memo_bytes > MEMO_BYTES // 2:
+                self.memo, self.older = {}, self.memo
+                self.memo_bytes = ENTRY_BYTES + 2 * len(piece) + len(ids)
             self.memo[piece] = ids
         return ids
 
@@ -101,23 +116,81 @@ class Encoder:
             return self.piece(word[:-1]) + self.piece(word[-1])
         return b"".join(map(self.piece, self.split.findall(word)))
 
-    def distinct(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some distinct words.
+    def learn(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The model's ids of some lower-cased words of letters: (how many each, all of them)."""
+        counts, ids = [], []
+        for a in range(0, len(stems), STEMS_AT_ONCE):
+            each = [self.model.tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(self.as_chars)) for x in stems[a : a + STEMS_AT_ONCE]]
+            counts.append(np.fromiter(map(len, each), np.int32, len(each)))
+            ids.append(np.array([t.id for one in each for t in one], "<u4"))
+        return np.concatenate(counts), np.concatenate(ids)
+
+    def look_up(self, stems: pa.Array) -> np.ndarray:
+        """Places of distinct stems among those that are kept, after the new ones were learnt."""
+        if COLUMN_BYTES * len(self.stems) + self.stems.nbytes + self.pool.nbytes > KEPT_BYTES:
+            stay = np.sort(np.argsort(-self.used, kind="stable")[: len(self.used) // 2])
+            self.pool = self.pool[_runs(self.first[stay], self.count[stay])]
+            self.stems, self.count, self.used = self.stems.take(pa.array(stay)), self.count[stay], self.used[stay]
+            self.first = np.cumsum(self.count, dtype=np.int64) - self.count
+        at = pc.fill_null(pc.index_in(stems, value_set=self.stems), -1).to_numpy().copy()
+        new = at < 0
+        if new.any():
+            more = stems.filter(pa.array(new))
+            count, ids = self.learn(_strings(more))
+            at[new] = np.arange(len(self.stems), len(self.stems) + len(more))
+            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count, dtype=np.int64) - count])
+            self.count, self.pool = np.concatenate([self.count, count]), np.concatenate([self.pool, ids])
+            self.stems, self.used = pa.concat_arrays([self.stems, more]), np.concatenate([self.used, np.zeros(len(more), np.int32)])
+        self.calls += 1
+        self.used[at] = self.calls
+        return at
+
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each of some distinct words (large strings): (how many each, all of them)."""
+        n = len(words)
+        ends, data = (np.frombuffer(x or b"", t) for x, t in zip(words.buffers()[1:], ("<i8", np.uint8)))
+        ends = ends[words.offset : words.offset + n + 1]
+        last = np.zeros(n, np.uint8)
+        some = np.diff(ends) > 0
+        last[some] = data[ends[1:][some] - 1]
+        tail = self.tail_ids[last]
+        raw = words.cast(pa.large_binary())
+        stems = pc.if_else(pa.array(tail > 0), pc.binary_slice(raw, 0, -1), raw).cast(pa.large_string())
+        simple = pc.and_(pc.match_substring_regex(stems, self.stem), pc.less_equal(pc.binary_length(stems), LONGEST_KEPT))
+        coded = pc.utf8_lower(stems.filter(simple)).dictionary_encode()
+        simple = simple.to_numpy(zero_copy_only=False)
+        tail[~simple] = 0
+        at = self.look_up(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        rest = self.others(_strings(words.filter(pa.array(~simple))))
+        counts = np.zeros(n, np.int64)
+        counts[simple] = self.count[at]
+        counts[~simple] = np.fromiter(map(len, rest), np.int64, len(rest)) // 4
+        lens = counts + tail
+        starts = np.cumsum(lens) - lens
+        ids = np.empty(int(lens.sum()), "<u4")
+        ids[_runs(starts[simple], counts[simple])] = self.pool[_runs(self.first[at], self.count[at])]
+        ids[_runs(starts[~simple], counts[~simple])] = np.frombuffer(b"".join(rest), "<u4")
+        for b in np.unique(last[tail > 0]):
+            mine = (last == b) & (tail > 0)
+            ids[((starts + counts)[mine, None] + np.arange(len(self.tails[b]))).ravel()] = np.tile(self.tails[b], np.count_nonzero(mine))
+        return lens, ids
+
+    def others(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words, one by one.
 
         Words with other characters than ASCII and the letters that were checked when the encoder was made are encoded by the library, which alone knows the Unicode tables it was built with.
         """
-        memo = self.memo
         # What is kept under a word of letters alone is that word's ids, whoever asked for it first.
-        known = [memo.get(w) if w.isalpha() else None for w in words]
-        other = []
+        known, other = [b""] * len(words), []
         for i, w in enumerate(words):
-            if known[i] is None:
-                if w.isascii() or self.plain.fullmatch(w) is not None:
-                    known[i] = self.word(w) if w else b""
-                elif (found := memo.get(w)) is not None:
-                    known[i] = found
-                else:
-                    other.append(i)
+            if w.isascii() or self.plain.fullmatch(w) is not None:
+                known[i] = self.word(w) if w else b""
+            elif (found := self.memo.get(w)) is not None:
+                known[i] = found
+            elif (found := self.older.get(w)) is not None:
+                known[i] = self.keep(w, found)
+            else:
+                other.append(i)
         for a in range(0, len(other), WORDS_AT_ONCE):
             some = other[a : a + WORDS_AT_ONCE]
             for i, e in zip(some, self.whole.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
@@ -134,14 +207,12 @@ class Encoder:
         ends, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        known = self.distinct(distinct)
-        lens = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        starts, pool = np.cumsum(lens) - lens, np.frombuffer(b"".join(known), "<u4")
+        (lens, pool), index = self.distinct(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+        starts = np.cumsum(lens) - lens
         index = index[ends[0] : ends[-1]]
         n = lens[index]
         before = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(starts[index] - before[:-1], n) + np.arange(before[-1])]
+        ids = pool[_runs(starts[index], n)]
         offsets = before[ends - ends[0]]
         odd = np.zeros(len(texts), bool)
         for s in self.special:
@@ -154,6 +225,16 @@ class Encoder:
         return ids, offsets
 
 
+def _runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, and so on ``lens[0]`` times, then the same of the next."""
+    ends = np.cumsum(lens, dtype=np.int64)
+    return np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _flat(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)]).astype(np.int64)
     return (np.concatenate(each).astype("<u4") if each else np.zeros(0, "<u4")), offsets
